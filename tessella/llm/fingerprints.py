@@ -1,11 +1,12 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A document is a bag of words, weighted by how often each comes. Sample k of a term of weight w takes r and c
-from Gamma(2, 1) and b from [0, 1), all hashed from the term and k; with t = floor(ln w / r + b) it ranks as
-ln c - r * (t - b + 1), and the term of least rank is the document's sample. Two documents share sample k with
-a probability that equals the generalised Jaccard similarity of their weights. The rank of the least term
-names it and its t, so a sample is kept as 16 bits of a hash of that rank, and the share of equal samples
-estimates the likeness. Gamma quantiles come from a table of equally likely values; b has 40 bits.
+A document is a bag of words, weighted by how often each comes. A draw of a term of weight w takes r and c from
+Gamma(2, 1) and b from [0, 1), all hashed from the term and the draw; with t = floor(ln w / r + b) it ranks as
+ln c - r * (t - b + 1), and the term of least rank is the sample. Two documents agree in a sample with a
+probability that equals the generalised Jaccard similarity of their weights. Each of four draws also deals the
+terms into 16 bins by hash and takes a sample in each, so that 64 samples cost four draws a term; a bin's rate
+is the similarity of what falls into it, and the share of equal samples among the bins that either document
+uses estimates the whole. The least rank names its term and t, so a sample is kept as 16 bits of its hash.
 
 Words are runs without ASCII white space, as written. A text without words, null included, has the fingerprint
 "empty": like every other such text (1), unlike all else (0). A null doc_id sorts as the least long. Rows that
@@ -15,68 +16,60 @@ only doc_id are ordered by a hash of their texts. A single document is its own n
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, read, text_or_empty
 
-SAMPLES = 64
-TABLE_BITS = 10
+#: Each term is drawn DRAWS times, each time into one of BINS bins that keep a sample of their own.
+DRAWS, BIN_BITS = 4, 4
+BINS = 1 << BIN_BITS
+SAMPLES = DRAWS * BINS
 LEAST_ID = -(2**63)
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of n equal parts, by Newton's method."""
-    out = []
-    x = 0.01
-    for i in range(n):
-        p = (i + 0.5) / n
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x / 2, x - step)
-            if abs(step) < 1e-14:
-                break
-        out.append(x)
-    return out
-
-
-def constants(values: list[float]) -> Column:
-    """An array literal (a cast string, folded once)."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+def uniform(h: Column, bits: int) -> Column:
+    """A number in (0, 1) from 20 bits of h."""
+    return (F.shiftrightunsigned(h, bits).bitwiseAND(0xFFFFF).cast("double") + 0.5) * (1 / 2**20)
 
 
-def rank(term: str, weight: str, k: int, gammas: Column, logs: Column) -> Column:
-    h = F.xxhash64(F.col(term), F.lit(k))
-    mask = (1 << TABLE_BITS) - 1
-    r = F.get(gammas, h.bitwiseAND(mask).cast("int"))
-    log_c = F.get(logs, F.shiftrightunsigned(h, TABLE_BITS).bitwiseAND(mask).cast("int"))
-    b = F.shiftrightunsigned(h, 24).cast("double") / 2.0**40
-    return log_c - r * (F.floor(F.log(F.col(weight).cast("double")) / r + b).cast("double") - b + 1.0)
+def rank(h: Column, g: Column, weight: Column) -> Column:
+    """The term's rank from two hashes; a sum of two exponentials has the law Gamma(2, 1)."""
+    r = -F.log(uniform(h, 0) * uniform(h, 20))
+    log_c = F.log(-F.log(uniform(g, 0) * uniform(g, 20)))
+    b = uniform(h, 40)
+    return log_c - r * (F.floor(F.log(weight.cast("double")) / r + b).cast("double") - b + 1.0)
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and sketch (array<int> of SAMPLES, null without words) for each key of texts (keys, text).
+    """keys and sketch (array<bigint>, four 16-bit samples each; null without words) of texts (keys, text).
 
     If texts are partitioned by some of the keys, no row moves.
     """
-    values = gamma_quantiles(1 << TABLE_BITS)
-    gammas, logs = constants(values), constants([math.log(x) for x in values])
     words = texts.select(*keys, F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word"))
     terms = words.groupBy(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).agg(F.count(F.lit(1)).alias("weight"))
-    least = terms.groupBy(*keys).agg(*[F.min(F.when(F.col("term").isNotNull(), rank("term", "weight", k, gammas, logs))).alias(f"m{k}") for k in range(SAMPLES)])
-    bits = F.array(*[F.xxhash64(f"m{k}").bitwiseAND(0xFFFF).cast("int") for k in range(SAMPLES)])
-    return least.select(*keys, F.when(F.col("m0").isNotNull(), bits).alias("sketch"))
+    drawn = terms.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_h", F.xxhash64("term", "draw")).withColumn("_g", F.xxhash64("_h"))
+    slot = F.col("draw") * BINS + F.shiftrightunsigned("_g", 64 - BIN_BITS).cast("int")
+    least = drawn.groupBy(*keys, F.when(F.col("term").isNotNull(), slot).alias("slot")).agg(F.min(rank(F.col("_h"), F.col("_g"), F.col("weight"))).alias("least"))
+    sample = least.select(*keys, (F.floor(F.col("slot") / 4)).cast("int").alias("word"), F.expr("shiftleft(1 + pmod(xxhash64(least), 65535), 16 * pmod(slot, 4))").alias("bits"))
+    packed = sample.groupBy(*keys).agg(*[F.sum(F.when(F.col("word") == k, F.col("bits"))).alias(f"s{k}") for k in range(SAMPLES // 4)])
+    some = F.coalesce(*[F.col(f"s{k}") for k in range(SAMPLES // 4)]).isNotNull()
+    return packed.select(*keys, F.when(some, F.array(*[F.coalesce(f"s{k}", F.lit(0).cast("long")) for k in range(SAMPLES // 4)])).alias("sketch"))
 
 
 def as_text(sketch: str) -> Column:
-    return F.coalesce(F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), ""), F.lit("empty"))
+    return F.coalesce(F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""), F.lit("empty"))
 
 
 def likeness(a: str, b: str) -> Column:
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(float(SAMPLES))
-    return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(same)
+    """The share of equal samples among those that either has."""
+
+    def lanes(sketch: str) -> Column:
+        return F.flatten(F.transform(sketch, lambda x: F.array(*[F.shiftrightunsigned(x, 16 * i).bitwiseAND(0xFFFF) for i in range(4)])))
+
+    kinds = F.zip_with(lanes(a), lanes(b), lambda x, y: F.when((x == 0) & (y == 0), 0).when(x == y, 1).otherwise(2))
+    same, used = F.size(F.filter(kinds, lambda e: e == 1)), F.size(F.filter(kinds, lambda e: e > 0))
+    return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(same / used)
 
 
 def next_keys(ids: DataFrame) -> DataFrame:
