@@ -132,13 +132,18 @@ def looks_repeated(bitmap: np.ndarray, h1: np.ndarray, h2: np.ndarray, bits: int
     return out
 
 
-def kept_words(docs: DataFrame, width: int = 20, load: float = 1.0, most_bits: int = 26, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by a space; with digest its SHA-256)."""
+def kept_words(docs: DataFrame, width: int = 20, load: float = 1.0, most_bits: int = 26, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, n_words, n_removed and kept of each row.
+
+    kept: the words left, joined by a space; with digest its SHA-256; with columns to carry, the text as it is
+    if it loses no word.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *carry)
+    plain = docs.select("doc_id", "text")
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(most_bits, max(16, int(np.ceil(np.log2(max(1, load * letters / 6))))))
-    shared = spark.sparkContext.broadcast(sketch(docs, width, bits))
+    shared = spark.sparkContext.broadcast(sketch(plain, width, bits))
 
     def suspects():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,13 +155,14 @@ def kept_words(docs: DataFrame, width: int = 20, load: float = 1.0, most_bits: i
 
         return run
 
-    found = map_texts(docs, suspects, "h1 long, h2 long, doc_id long, start int")
+    found = map_texts(plain, suspects, "h1 long, h2 long, doc_id long, start int")
     low = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     firsts = low.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "h1")).alias("firsts"))
 
     def remove():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            split, h1, h2, first = windows([t.encode() for t in batch.column(1).to_pylist()], width)
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            split, h1, h2, first = windows(texts, width)
             hit = looks_repeated(shared.value, h1, h2, bits)
             out: tuple[list, ...] = ([], [], [])
             lists = batch.column(2)
@@ -175,18 +181,38 @@ def kept_words(docs: DataFrame, width: int = 20, load: float = 1.0, most_bits: i
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + width, -1)
                 left = np.cumsum(gone)[:-1] == 0
-                kept = b" ".join(words if left.all() else [w for w, x in zip(words, left.tolist()) if x])
+                kept = texts[k] if carry and left.all() else b" ".join(words if left.all() else [w for w, x in zip(words, left.tolist()) if x])
                 out[0].append(len(words))
                 out[1].append(int(len(words) - left.sum()))
                 out[2].append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", *carry, "n_words", "n_removed", "kept"])
 
         return run
 
-    joined = docs.alias("d").join(firsts.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", "d.text", "f.firsts")
-    return map_texts(joined, remove, "doc_id long, n_words long, n_removed long, kept string")
+    joined = docs.alias("d").join(firsts.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", "d.text", "f.firsts", *(F.col(f"d.`{c}`") for c in carry))
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    return map_texts(joined, remove, f"doc_id long, {kinds}n_words long, n_removed long, kept string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its windows of 20 words that start earlier elsewhere."""
     return kept_words(read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(words[s + 1 : s + 20], ' ') AS k FROM (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS s FROM w WHERE len(words) >= 20)
+), later AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(0, len(words))) AS p FROM w
+), kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(e.word, ' ' ORDER BY e.p) AS t FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""

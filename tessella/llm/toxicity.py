@@ -257,6 +257,28 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), make, "doc_id long, score double, passages array<struct<start:int,end:int,score:double,p_value:double>>")
 
 
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, ~held_out()))
+    at = docs.columns.index("text")
+
+    def make():
+        m = shared.value
+        known = WordScores(m.scores)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                words = (text or "").lower().split()
+                found = maximal_segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+                keep.append(m.probability(m.evidence([s for _, _, s in found], len(words))) < threshold)
+            return batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    return map_texts(docs, make, docs.schema)
+
+
 def held_out() -> Column:
     """Rows that teach nothing: crc32 of doc_id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
