@@ -1,13 +1,15 @@
 """Exact removal of repeated word windows behind a count-min prefilter.
 
-A window is `width` consecutive words of one document. The first pass counts all windows in count-min sketches,
-one a task, whose merged counters overestimate each window's count; a window that any row of the sketch counts
-once is unique and needs nothing more. The second pass groups exactly, by a 128-bit fingerprint, the windows
-that all rows count more than once, and keeps where each of them starts first. In the third pass each document
-removes the words covered by its repeated-looking windows except where such a window has its first start: a
-window that only looked repeated is its own first start, so the prefilter's errors cost work, never words.
-
-The sketch's width follows the input (about `load` counters a word) up to 2**`most_bits`; beyond, it filters
+A window is `width` consecutive words of one document; its anchor is the least hash among its runs of `GRAM`
+words. Equal windows have equal anchors at different places, so a window can only repeat if its anchor does. The
+first pass counts anchors (about a seventh as many as words) in count-min sketches, one a task, whose merged
+counters overestimate each anchor's count; a window whose anchor some row of the sketch counts once is unique
+and needs nothing more. The second pass groups the others exactly, by a 96-bit fingerprint of the window, and
+keeps where each starts first. In the third pass each document removes the words covered by its
+repeated-looking windows except where such a window has its first start: a window that only looked repeated is
+its own first start, so the prefilter's errors cost work, never words.
+
+The sketch's width follows the input (about `load` counters an anchor) up to 2**`most_bits`; beyond, it filters
 less and the exact pass takes more rows. Only the merged sketch's one bit a counter goes through the driver.
 
 Order: smaller doc_id, then earlier start; a null doc_id comes before all others. Rows with the same doc_id
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import map_texts, read, slices, text_or_empty
 
-ROWS = 2
+ROWS, GRAM = 2, 8
 BLOCK_BITS = 16
 
 
@@ -53,31 +55,51 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def windows(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text; the two hashes of all windows of all texts in order; each text's first window."""
+def sliding(x: np.ndarray, n: int, f) -> np.ndarray:
+    """f (a minimum or maximum) over each n consecutive values."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        x = f(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def windows(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text; of all windows in order two hashes and the anchor; each text's first window; all anchors by place."""
     seen = Words()
     split = [t.split() for t in texts]
     ids = np.fromiter((i for words in split for i in map(seen.__getitem__, words)), np.int64)
     table = np.array(seen.hashes, np.uint64).reshape(-1, 2)
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    whole = max(0, len(ids) - width + 1)
-    h = []
-    for k in range(2):
-        word, total = table[:, k][ids], np.zeros(whole, np.uint64)
-        for j in range(width):
-            total += word[j : j + whole] * MULTIPLIERS[k, j]
-        h.append(mixed(total))
     ends = np.cumsum(counts)
     own = np.maximum(counts - width + 1, 0)
     first = np.concatenate([[0], np.cumsum(own)])
     keep = np.repeat(ends - counts - first[:-1], own) + np.arange(first[-1])
-    return split, h[0][keep], h[1][keep], first
+    if not len(keep):
+        none = np.zeros(0, np.uint64)
+        return split, none, none, none, first, none
+
+    def hashed(k: int, n: int) -> np.ndarray:
+        word, whole = table[:, k][ids], len(ids) - n + 1
+        total = np.zeros(whole, np.uint64)
+        for j in range(n):
+            total += word[j : j + whole] * MULTIPLIERS[k, j]
+        return mixed(total)
+
+    gram = min(GRAM, width)
+    grams, span = hashed(0, gram), width - gram + 1
+    least = sliding(grams, span, np.minimum)
+    valid = np.zeros(len(least) + 2 * (span - 1), np.uint64)
+    valid[keep + span - 1] = least[keep]
+    anchors = grams[grams == sliding(valid, span, np.maximum)]
+    return split, hashed(0, width)[keep], hashed(1, width)[keep], least[keep], first, anchors
 
 
-def places(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The window's counter in each row of the sketch."""
+def places(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The anchor's counter in each row of the sketch."""
     shift = np.uint64(64 - bits)
-    return [h1 >> shift, h2 >> shift][:ROWS]
+    return [mixed(anchors * MULTIPLIERS[row, -1]) >> shift for row in range(ROWS)]
 
 
 def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -93,9 +115,9 @@ def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
         some = False
         for batch in batches:
             for part in slices(batch, "text"):
-                _, h1, h2, _ = windows([t.encode() for t in part.column(0).to_pylist()], width)
-                some |= len(h1) > 0
-                for row, at in zip(table, places(h1, h2, bits)):
+                anchors = windows([t.encode() for t in part.column(0).to_pylist()], width)[-1]
+                some |= len(anchors) > 0
+                for row, at in zip(table, places(anchors, bits)):
                     at, n = np.unique(at, return_counts=True)
                     row[at] = np.minimum(row[at] + np.minimum(n, 2), 2)
         if some:
@@ -125,14 +147,14 @@ def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     return out
 
 
-def looks_repeated(bitmap: np.ndarray, h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(h1), bool)
-    for row, at in zip(bitmap.reshape(ROWS, -1), places(h1, h2, bits)):
+def looks_repeated(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
+    out = np.ones(len(anchors), bool)
+    for row, at in zip(bitmap.reshape(ROWS, -1), places(anchors, bits)):
         out &= (row[at >> np.uint64(3)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
     return out
 
 
-def kept_words(docs: DataFrame, width: int = 20, load: float = 1.0, most_bits: int = 26, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def kept_words(docs: DataFrame, width: int = 20, load: float = 2.0, most_bits: int = 26, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns to carry, n_words, n_removed and kept of each row.
 
     kept: the words left, joined by a space; with digest its SHA-256; with columns to carry, the text as it is
@@ -142,28 +164,28 @@ def kept_words(docs: DataFrame, width: int = 20, load: float = 1.0, most_bits: i
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *carry)
     plain = docs.select("doc_id", "text")
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(most_bits, max(16, int(np.ceil(np.log2(max(1, load * letters / 6))))))
+    bits = min(most_bits, max(16, int(np.ceil(np.log2(max(1, load * letters / 42))))))
     shared = spark.sparkContext.broadcast(sketch(plain, width, bits))
 
     def suspects():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = batch.column(0)
-            _, h1, h2, first = windows([t.encode() for t in batch.column(1).to_pylist()], width)
-            hit = np.flatnonzero(looks_repeated(shared.value, h1, h2, bits))
+            _, h1, h2, anchor, first, _ = windows([t.encode() for t in batch.column(1).to_pylist()], width)
+            hit = np.flatnonzero(looks_repeated(shared.value, anchor, bits))
             doc = np.searchsorted(first, hit, side="right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64)), ids.take(pa.array(doc)), pa.array((hit - first[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+            return pa.RecordBatch.from_arrays([pa.array(h1[hit].view(np.int64)), pa.array((h2[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(doc)), pa.array((hit - first[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
         return run
 
-    found = map_texts(plain, suspects, "h1 long, h2 long, doc_id long, start int")
+    found = map_texts(plain, suspects, "h1 long, h2 int, doc_id long, start int")
     low = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     firsts = low.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "h1")).alias("firsts"))
 
     def remove():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t.encode() for t in batch.column(1).to_pylist()]
-            split, h1, h2, first = windows(texts, width)
-            hit = looks_repeated(shared.value, h1, h2, bits)
+            split, h1, _, anchor, first, _ = windows(texts, width)
+            hit = looks_repeated(shared.value, anchor, bits)
             out: tuple[list, ...] = ([], [], [])
             lists = batch.column(2)
             for k, words in enumerate(split):
