@@ -1,4 +1,6 @@
 """All registered queries and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessella.plans.oracles import ORACLES
+from tessella.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
