@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Where checkpoints go if the session names no folder (tests, local mode).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 

@@ -111,19 +111,23 @@ def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ROWS, 1 << bits), np.uint8)
+        # a bit a counter for "at least 1" and one for "at least 2"
+        once, twice = np.zeros((2, ROWS, (1 << bits) // 8), np.uint8)
         some = False
         for batch in batches:
             for part in slices(batch, "text"):
                 anchors = windows([t.encode() for t in part.column(0).to_pylist()], width)[-1]
                 some |= len(anchors) > 0
-                for row, at in zip(table, places(anchors, bits)):
+                for one, two, at in zip(once, twice, places(anchors, bits)):
                     at, n = np.unique(at, return_counts=True)
-                    row[at] = np.minimum(row[at] + np.minimum(n, 2), 2)
+                    byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
+                    again = (n > 1) | (one[byte] & bit > 0)
+                    np.bitwise_or.at(two, byte[again], bit[again])
+                    np.bitwise_or.at(one, byte, bit)
         if some:
-            for k, part in enumerate(table.reshape(-1, block)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(np.stack([part > 0, part > 1])).tobytes()], pa.binary())], ["block", "counts"])
+            for k, (one, two) in enumerate(zip(once.reshape(-1, block // 8), twice.reshape(-1, block // 8))):
+                if one.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([one.tobytes() + two.tobytes()], pa.binary())], ["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
