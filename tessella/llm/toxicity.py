@@ -37,7 +37,7 @@ from tessella.llm.common import cut, map_texts, read, slices, text_or_empty
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
 STEMS = (6, 5, 4)
-PRIOR, LEAST_Z, STRONG, DRIFT, TOP, LOW = 0.02, 4.0, 5.0, 0.15, 6.0, -3.0
+PRIOR, LEAST_Z, STRONG, DRIFT, TOP, LOW = 0.02, 4.0, 3.9, 0.15, 6.0, -3.0
 LOG_SIGNIFICANT = math.log(0.05)
 BIN, BINS = 0.25, 400
 
