@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from tessella.functions.text import cosine, search_tokens
 
 
+#: Rows of query terms up to which they are broadcast.
+FEW = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> bool:
+    """Whether df has at most so many rows; counts no further."""
+    return df.limit(most + 1).count() <= most
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(id, run_id, term, tf, document_length) of chunks (id, run_id, text)."""
     terms = chunks.withColumn("terms", search_tokens(F.col("text")))
@@ -31,7 +40,7 @@ def conflicting_ids(chunks: DataFrame) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) of the best scoped chunks (id, text) for each of a few queries (query_id, query).
+    """(query_id, id, score, rank) of the best scoped chunks (id, text) for each query (query_id, query).
 
     One scan makes each chunk's length and its frequencies of the queries' terms; only chunks that hold a term move.
     """
@@ -40,10 +49,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 20, k1: float = 1.2
     asked = queries.select("query_id", F.posexplode(F.array_distinct(search_tokens(F.col("query")))).alias("place", "term"))
     tokens = chunks.select("id", search_tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
     whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    # the query set's terms are bounded by the query length, its one-row statistics by definition
-    hits = tokens.select("id", "dl", F.explode("terms").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # a counted set of query terms is broadcast, and with it their document frequencies; a larger one is shuffled
+    small = F.broadcast if few(asked) else lambda x: x
+    hits = tokens.select("id", "dl", F.explode("terms").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(asked), "term").join(F.broadcast(whole))
+    scored = hits.join(small(df), "term").join(small(asked), "term").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     in_order = F.array_sort(F.collect_list(F.struct("place", part.alias("s"))))

@@ -75,10 +75,10 @@ SELECT row_number() OVER (ORDER BY score DESC, parent_id) AS rank, parent_id AS
     "scope_resolution": f"SELECT topic_id, user_id, count(*) AS n_runs, CAST(1 AS BIGINT) AS n_versions FROM {_S} WHERE state = 'active' AND status = 'published' GROUP BY 1, 2",
     "source_listing": f"SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY doc_id DESC) AS place FROM {_S} WHERE user_id = 'user-1' AND state = 'active' QUALIFY place <= 5",
     "lifecycle_transition": f"""WITH t(command, state, next) AS (VALUES ('archive', 'active', 'archived'), ('restore', 'archived', 'active'), ('restore', 'trashed', 'active'), ('trash', 'active', 'trashed'), ('trash', 'archived', 'trashed'), ('purge', 'trashed', 'purging')),
-e AS (SELECT event_id % 500 AS source_id, CASE event_type WHEN 'click' THEN 'archive' WHEN 'view' THEN 'restore' WHEN 'error' THEN 'trash' ELSE 'purge' END AS command, event_id % 3 AS ev FROM events WHERE event_id < 5000),
-s AS (SELECT doc_id, state, doc_id % 2 AS version FROM {_S} WHERE doc_id < 450),
+e AS (SELECT event_id AS source_id, CASE event_type WHEN 'click' THEN 'archive' WHEN 'view' THEN 'restore' WHEN 'error' THEN 'trash' ELSE 'purge' END AS command, event_id % 3 AS ev FROM events),
+s AS (SELECT doc_id, state, doc_id % 2 AS version FROM {_S}),
 o AS (SELECT e.command, s.state AS was, t.next, s.version, CASE WHEN s.doc_id IS NULL THEN 'not_found' WHEN s.version <> e.ev THEN 'conflict' WHEN t.next IS NULL THEN 'invalid' ELSE 'applied' END AS outcome FROM e LEFT JOIN s ON s.doc_id = e.source_id LEFT JOIN t ON t.command = e.command AND t.state = s.state)
-SELECT command, outcome, CASE WHEN outcome = 'applied' THEN next ELSE was END AS state, count(*) AS n, CAST(sum(version + CASE WHEN outcome = 'applied' THEN 1 ELSE 0 END) AS BIGINT) AS versions FROM o GROUP BY 1, 2, 3""",
+SELECT command, outcome, CASE WHEN outcome = 'applied' THEN next ELSE was END AS state, count(*) AS n, CAST(coalesce(sum(version + CASE WHEN outcome = 'applied' THEN 1 ELSE 0 END), 0) AS BIGINT) AS versions FROM o GROUP BY 1, 2, 3""",
     "run_advance": "SELECT 'run-' || doc_id AS run_id, ['extracting', 'chunking', 'embedding', 'validating', 'publishing'][doc_id % 6 + 1] AS checkpoint, ['running', 'running', 'running', 'validating', 'publishing'][doc_id % 6 + 1] AS status, CAST([20, 40, 60, 80, 90][doc_id % 6 + 1] AS BIGINT) AS progress, doc_id % 4 + 1 AS version FROM documents WHERE doc_id % 6 < 5",
     "job_claim": "SELECT event_id AS job_id, 'running' AS status, event_id % 4 + 1 AS attempts, CAST(floor(value) AS BIGINT) % 10 AS priority, TIMESTAMP '2024-02-01 00:02:00' AS leased_until FROM events WHERE (event_type IN ('click', 'view') AND ts <= TIMESTAMP '2024-02-01') OR (event_type = 'error' AND ts < TIMESTAMP '2024-02-01' AND event_id % 4 < 3) ORDER BY priority DESC, ts, event_id LIMIT 25",
     "job_fail_requeue": "SELECT event_id AS job_id, CASE WHEN event_id % 4 >= 3 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN event_id % 4 >= 3 THEN ts ELSE TIMESTAMP '2024-02-01 00:00:30' END AS available_at FROM events WHERE event_type = 'error'",
@@ -88,7 +88,7 @@ SELECT command, outcome, CASE WHEN outcome = 'applied' THEN next ELSE was END AS
     "index_replace_run": "SELECT label AS run_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings WHERE label <> 2 OR vec_id % 2 = 0 GROUP BY 1",
     "index_integrity": "SELECT 'no_vector' AS \"check\", count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'no_document', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'repeated', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)",
     "redact_props": "SELECT event_id, '{\"token\":\"[REDACTED]\",\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS props FROM events",
-    "retrieval_metrics": f"WITH {_bm25(_IDS.format('documents'), '(SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark WHERE item_id < 20)', 3)} SELECT item_id AS query_id, count(hits.id) AS n_hits, round(max(hits.score), 6) AS best FROM benchmark LEFT JOIN hits ON query_id = item_id WHERE item_id < 20 GROUP BY 1",
+    "retrieval_metrics": f"WITH {_bm25(_IDS.format('documents'), '(SELECT item_id AS query_id, text AS query FROM benchmark)', 3)} SELECT item_id AS query_id, count(hits.id) AS n_hits, round(max(hits.score), 6) AS best FROM benchmark LEFT JOIN hits ON query_id = item_id GROUP BY 1",
     "conversation_export": "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, '## ' || role || chr(10) || chr(10) || text) AS markdown FROM conversations GROUP BY 1",
     "canonical_sources": f"SELECT lpad(CAST(page_id AS VARCHAR), 8, '0') AS source_id, first_value(lpad(CAST(page_id AS VARCHAR), 8, '0')) OVER w AS canonical_id, first_value(lpad(CAST(page_id AS VARCHAR), 8, '0')) OVER w <> lpad(CAST(page_id AS VARCHAR), 8, '0') AS duplicate FROM {_NORMAL} WINDOW w AS (PARTITION BY host ORDER BY CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END, page_id % 5, page_id)",
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
