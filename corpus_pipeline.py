@@ -52,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pii", pii), ("packing", packing)]
-#: SQL can't express learning, tokenizing and packing; tests hold the pipeline against a brute-force version.
+#: SQL can't express learning, tokenizing and packing.
 ORACLE_SQL = None
 
 
