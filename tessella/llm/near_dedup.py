@@ -3,10 +3,11 @@
 A document is its set of word shingles. Documents of equal sets are one class, joined once. Each class has
 `BANDS` x `ROWS` MinHash samples: bands of equal samples make candidate pairs, and all samples are folded into
 a parity bitmap (odd sketch); the bits set in the XOR of two bitmaps estimate how many samples differ. A bucket
-of at most `SMALL` classes makes all its pairs; a larger one pairs each class with the bucket's pivot, its
-least class by a hash. Pairs whose sketches are likely enough to be similar connect candidate clusters,
-and inside a cluster links are decided exactly on full sets, block against block, with no pair written but
-those that join two parts of the cluster.
+of at most `SMALL` classes makes all its pairs; a larger one first pairs each class with the bucket's pivot, its
+least class by a hash. Pairs of near enough sizes whose sketches are likely enough to be similar connect candidate
+clusters. A larger bucket that still holds more than one cluster then compares the sketches of all its pairs across
+clusters, block against block, and what it joins is one cluster. Inside a cluster links are decided exactly on full
+sets, block against block, with no pair written but those that join two parts of the cluster.
 
 At similarity 0.8 a pair misses all 40 bands of 5 samples with probability 1.3e-7, and a sketch underestimates
 0.8 as below `LOOSE` with less than 1e-7; nothing else is approximate.
@@ -32,8 +33,13 @@ SAMPLES = BANDS * ROWS
 SMALL = 4
 #: Estimated similarity below which a pair isn't compared exactly.
 LOOSE = 0.62
+#: Odd bits of two sketches above which a pair isn't compared exactly. Of k samples k * (1 - J) differ and toggle
+#: two bits each; n * (1 - exp(-2 d / n)) / 2 bits are then odd.
+MOST_ODD = int(SKETCH_BITS * (1 - np.exp(-4 * SAMPLES * (1 - LOOSE) / SKETCH_BITS)) / 2)
 #: Classes of a cluster that are compared in one task with as many others.
 BLOCK = 1024
+#: Sketches of a bucket that are compared in one task with as many others.
+SKETCH_BLOCK = 4096
 #: Bits of the map of clustered ids.
 MEMBER_BITS = 24
 
@@ -111,29 +117,84 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def likely(a: str, b: str) -> F.Column:
-    """Whether two odd sketches estimate a similarity of LOOSE or more.
-
-    Of k samples k * (1 - J) differ and toggle two bits each; n * (1 - exp(-2 d / n)) / 2 bits are then odd.
-    """
-    differ = 2 * SAMPLES * (1 - LOOSE)
-    most = SKETCH_BITS * (1 - np.exp(-2 * differ / SKETCH_BITS)) / 2
+    """Whether two odd sketches estimate a similarity of LOOSE or more."""
     parts = [F.bit_count(F.element_at(a, k + 1).bitwiseXOR(F.element_at(b, k + 1))) for k in range(SKETCH_BITS // 64)]
-    return sum(parts[1:], parts[0]) <= F.lit(int(most))
+    return sum(parts[1:], parts[0]) <= F.lit(MOST_ODD)
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of class ids that share a band and whose sketches are likely similar."""
-    bands = classes.select("id", F.explode("bands").alias("key"))
-    stats = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id")).alias("h")).filter("n > 1")
-    shared = cut(bands.join(stats, "key"))
+def first_edges(shared: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """Distinct likely pairs (a, b) of class ids: all those of small buckets, those with the pivot of larger ones.
+
+    shared: (key, id, n, h), the buckets of n > 1 classes; h is the least hash of an id.
+    """
     pivots = shared.filter((F.col("n") > SMALL) & (F.xxhash64("id") == F.col("h"))).select("key", F.col("id").alias("p"))
     large = shared.filter(F.col("n") > SMALL).join(pivots, "key").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     few = shared.filter(F.col("n") <= SMALL).select("key", "id")
     small = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key")
     pairs = large.union(small.select("a", "b")).filter("a < b").distinct()
-    odd = classes.select("id", "odd")
-    both = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("x")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("y")), "b")
-    return both.filter(likely("x", "y")).select("a", "b")
+    one = classes.select(F.col("id").alias("a"), F.col("odd").alias("x"), F.col("n_shingles").alias("n"))
+    other = classes.select(F.col("id").alias("b"), F.col("odd").alias("y"), F.col("n_shingles").alias("m"))
+    near = 100 * F.least("n", "m") >= per_cent * F.greatest("n", "m")  # the smaller set over the larger bounds the similarity
+    return pairs.join(one, "a").join(other, "b").filter(near & likely("x", "y")).select("a", "b")
+
+
+def likely_parts(labels: np.ndarray, sizes: np.ndarray, odd: np.ndarray, half: np.ndarray | None, per_cent: int) -> list[tuple[int, int]]:
+    """(least label, label) for each further label of each part that likely pairs across labels connect.
+
+    half: pairs count only between its two values (None: all pairs).
+    """
+    order = np.argsort(sizes, kind="stable")
+    labels, sizes, odd = labels[order], sizes[order], odd[order]
+    half = half[order] if half is not None else None
+    ends = np.searchsorted(sizes, sizes * 100 // per_cent, "right")
+    _, root = np.unique(labels, return_inverse=True)
+    for i, end in enumerate(ends.tolist()):
+        others = root[i + 1 : end] != root[i]
+        if half is not None:
+            others &= half[i + 1 : end] != half[i]
+        at = np.flatnonzero(others) + i + 1
+        hit = at[np.bitwise_count(odd[at] ^ odd[i]).sum(axis=1, dtype=np.int64) <= MOST_ODD]
+        for j in hit.tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+    low = np.full(len(labels), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, labels)
+    return sorted({(a, b) for a, b in zip(low[root].tolist(), labels.tolist()) if a != b})
+
+
+def rest_edges(shared: DataFrame, classes: DataFrame, clusters: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of clusters (a lone class is its own) that some likely pair in a larger bucket joins."""
+    large = shared.filter(F.col("n") > SMALL).select("key", "id").join(clusters, "id", "left")
+    large = large.select("key", "id", F.coalesce("component", "id").alias("label"))
+    mixed_up = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rows = large.join(mixed_up.select("key", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int").alias("blocks")), "key")
+    rows = rows.join(classes.select("id", "n_shingles", "odd"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(key, table):
+        table = table.combine_chunks()
+        odd = table["odd"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+        half = table["own"].to_numpy() if key[1].as_py() != key[2].as_py() else None
+        pairs = likely_parts(table["label"].to_numpy(), table["n_shingles"].to_numpy(), odd, half, per_cent)
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return dealt.select("key", "i", "j", "own", "label", "n_shingles", "odd").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def candidate_clusters(classes: DataFrame, per_cent: int) -> DataFrame:
+    """(id, component) of the classes that likely pairs within buckets connect with others."""
+    bands = classes.select("id", F.explode("bands").alias("key"))
+    stats = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id")).alias("h")).filter("n > 1")
+    shared = cut(bands.join(stats, "key"))
+    first = components(first_edges(shared, classes, per_cent))
+    rest = cut(rest_edges(shared, classes, first, per_cent))
+    if rest.isEmpty():
+        return first
+    joined = components(rest)
+    lone = joined.join(first.select("id"), "id", "left_anti")
+    merged = first.join(joined.select(F.col("id").alias("component"), F.col("component").alias("whole")), "component", "left")
+    return cut(merged.select("id", F.coalesce("whole", "component").alias("component")).union(lone.select("id", "component")))
 
 
 def joined_parts(ids: np.ndarray, sets: list[np.ndarray], half: np.ndarray | None, per_cent: int) -> list[tuple[int, int]]:
@@ -231,8 +292,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80) -> Da
     least = cut(base.filter(own.isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("id")))
     longs = [F.conv(F.hex(F.substring("odd", 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(SKETCH_BITS // 64)]
     # one row a class, with its bitmap as 64-bit words
-    classes = cut(base.join(least, ["s1", "s2"]).filter("doc_id = id").dropDuplicates(["id", "s1", "s2"]).select("id", "bands", F.array(*longs).alias("odd")))
-    clusters = components(candidate_edges(classes))
+    classes = cut(base.join(least, ["s1", "s2"]).filter("doc_id = id").dropDuplicates(["id", "s1", "s2"]).select("id", "n_shingles", "bands", F.array(*longs).alias("odd")))
+    clusters = candidate_clusters(classes, per_cent)
     links = cut(exact_edges(clusters, docs, shingle, per_cent))
     found = components(links).withColumnRenamed("id", "class_id")
     members = base.drop("bands", "odd").join(least, ["s1", "s2"], "left")

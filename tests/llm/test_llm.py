@@ -117,6 +117,44 @@ def test_near_duplicates(spark):
     assert got == brute_components(enumerate(texts), 2, 80)
 
 
+def test_near_duplicates_share_a_passage(spark):
+    """Near copies that meet only in buckets full of texts that hold the same passage and are near nothing."""
+    texts, want, some = [], {}, []
+    for seed in (20, 25, 26):
+        rng, at = random.Random(seed), len(texts)
+        passage = [f"p{seed}x{k}" for k in range(40)]
+        own = [4, *(rng.randrange(30, 45) for _ in range(6000)), 4]
+        texts += [" ".join([*passage, *(f"o{rng.randrange(10**9)}" for _ in range(n))]) for n in own]
+        want |= {i: i for i in range(at, len(texts) - 1)} | {len(texts) - 1: at}
+        some += [*range(at, at + 6000, 60), len(texts) - 1]
+    assert {i: c for i, (_, c, _) in brute_components([(i, texts[i]) for i in some], 2, 80).items()} == {i: want[i] for i in some}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts), 2).collect()} == want
+
+
+def test_likely_parts_join_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (6, 16), dtype=np.uint64)
+    odd = base[rng.integers(0, 6, 80)]
+    for k in range(80):
+        for bit in rng.integers(0, 1024, rng.integers(0, 140)):
+            odd[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    labels, sizes, half = rng.integers(0, 60, 80), rng.integers(80, 140, 80), rng.integers(0, 2, 80)
+    for sides in (None, half):
+        root = {int(x): int(x) for x in labels}
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        def parts(pairs):
+            root.update({x: x for x in root})
+            for a, b in pairs:
+                root[find(a)] = find(b)
+            return {frozenset(y for y in root if find(y) == find(x)) for x in root}
+
+        near = [(int(labels[i]), int(labels[j])) for i in range(80) for j in range(i) if (sides is None or sides[i] != sides[j]) and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and sum(int(x).bit_count() for x in odd[i] ^ odd[j]) <= near_dedup.MOST_ODD]
+        assert parts(near_dedup.likely_parts(labels, sizes, odd, sides, 80)) == parts(near) != parts([])
+
+
 def test_sharding_is_minimax():
     sizes = np.array([5, 1, 9, 2, 2, 8, 3])
     capacity, cuts = sharding.minimax_cuts(sizes, 3)
