@@ -4,7 +4,7 @@ Equal texts are one group. Groups are ordered by a 64-bit hash of the text; the
 the atoms, at most 2**bits whatever the input, so that a group is never cut. The driver gets the size of each
 atom, binary-searches the smallest capacity with which a greedy pass needs no more shards than allowed, and
 cuts there. Rows find their shard from the cuts alone. A group is atomic: one that is larger than an even
-share makes its shard larger than the others.
+share has a shard of its own, larger than the others, which share the rest evenly.
 
 Nulls count as empty texts. A row with a null doc_id is placed like any other. Rows that agree in doc_id and
 text take neighbouring slots in an arbitrary order. An empty table gives no row.
@@ -32,16 +32,53 @@ def greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
     return None
 
 
+def cut_apart(sizes: np.ndarray, alone: list[int], shards: int, most: int) -> tuple[int, list[int]] | None:
+    """The smallest capacity, and the ends of the shards, if each atom of alone is a shard; None if `most` isn't enough."""
+    edges = [-1, *alone, len(sizes)]
+    stretches = [(a + 1, b) for a, b in zip(edges, edges[1:]) if a + 1 < b]
+
+    def cuts(capacity: int) -> list[int] | None:
+        out: list[int] = []
+        for a, b in stretches:
+            part = greedy(np.cumsum(sizes[a:b], dtype=np.int64), capacity, shards - len(alone) - len(out))
+            if part is None:
+                return None
+            out += [a + c for c in part]
+        return sorted([*out, *(k + 1 for k in alone)])
+
+    if cuts(most) is None:
+        return None
+    low, high = 0, most
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if cuts(middle) else (middle + 1, high)
+    return low, cuts(low)
+
+
 def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity, and the ends of the shards, for ordered sizes."""
+    """The smallest capacity, and the ends of the shards, for ordered sizes.
+
+    An atom above the even share of what is left gets a shard of its own, if that needs no larger capacity, and
+    the stretches around it are cut anew over the other shards. All shards are used if there are atoms enough.
+    """
     if not len(sizes):
         return 0, []
-    ends = np.cumsum(sizes, dtype=np.int64)
-    low, high = max(int(sizes.max()), -(-int(ends[-1]) // shards)), int(ends[-1])
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if greedy(ends, middle, shards) else (middle + 1, high)
-    return low, greedy(ends, low, shards)
+    capacity, cuts = cut_apart(sizes, [], shards, int(sizes.sum()))
+    alone: list[int] = []
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        rest = int(sizes.sum()) - int(sizes[alone].sum())
+        found = cut_apart(sizes, sorted([*alone, k]), shards, capacity) if int(sizes[k]) * (shards - len(alone)) > rest else None
+        if found is None:
+            break
+        alone, cuts = sorted([*alone, k]), found[1]
+    while len(cuts) < min(shards, len(sizes)):
+        ends = np.cumsum(sizes, dtype=np.int64)
+        spans = [(a, b) for a, b in zip([0, *cuts], cuts) if b - a > 1]
+        a, b = max(spans, key=lambda x: int(sizes[x[0] : x[1]].sum()))
+        start = int(ends[a - 1]) if a else 0
+        at = a + int(np.argmin(np.abs(2 * (ends[a : b - 1] - start) - (int(ends[b - 1]) - start)))) + 1
+        cuts = sorted([*cuts, at])
+    return capacity, cuts
 
 
 def shard(rows: DataFrame, group_hash: str, size: str, order: list[str], shards: int = 24, bits: int = 18) -> DataFrame:

@@ -163,6 +163,19 @@ def test_sharding_is_minimax():
     assert sharding.minimax_cuts(np.zeros(0, np.int64), 3) == (0, [])
 
 
+@pytest.mark.parametrize("large", [[(500, 1 / 3)], [(0, 0.1)], [(999, 0.06)], [(300, 0.2), (301, 0.2), (700, 0.1)]])
+def test_sharding_uses_all_shards(large):
+    sizes = np.random.default_rng(9).integers(50, 150, 1000)
+    rest = sizes.sum() / (1 - sum(x for _, x in large))
+    for at, x in large:
+        sizes[at] = int(x * rest)
+    capacity, cuts = sharding.minimax_cuts(sizes, 24)
+    parts = [int(sizes[a:b].sum()) for a, b in zip([0, *cuts], cuts)]
+    assert len(parts) == 24 and max(parts) == capacity and sum(parts) == sizes.sum()
+    even = sorted(parts)[: 24 - len(large)]
+    assert even[-1] <= 1.35 * sum(even) / len(even)
+
+
 def test_main_text():
     page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>One\n two.<br>Three<p>Four.</article><div id=comments><p>No</p></div><footer>© x</footer>"
     assert main_text.main_text(page) == "A & B\n\nOne two. Three\n\nFour."
