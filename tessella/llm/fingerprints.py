@@ -3,10 +3,9 @@
 A document is a bag of words, weighted by how often each comes. A draw of a term of weight w takes r and c from
 Gamma(2, 1) and b from [0, 1), all hashed from the term and the draw; with t = floor(ln w / r + b) it ranks as
 ln c - r * (t - b + 1), and the term of least rank is the sample. Two documents agree in a sample with a
-probability that equals the generalised Jaccard similarity of their weights. Each of four draws also deals the
-terms into 16 bins by hash and takes a sample in each, so that 64 samples cost four draws a term; a bin's rate
-is the similarity of what falls into it, and the share of equal samples among the bins that either document
-uses estimates the whole. The least rank names its term and t, so a sample is kept as 16 bits of its hash.
+probability that equals the generalised Jaccard similarity of their weights. Each of 64 draws is over all terms
+of the document, so the share of equal samples estimates that similarity whatever the weights. The least rank names
+its term and t, so a sample is kept as 16 bits of its hash.
 
 Words are runs without ASCII white space, as written. A text without words, null included, has the fingerprint
 "empty": like every other such text (1), unlike all else (0). A null doc_id sorts as the least long. Rows that
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, read, text_or_empty
 
-#: Each term is drawn DRAWS times, each time into one of BINS bins that keep a sample of their own.
-DRAWS, BIN_BITS = 4, 4
-BINS = 1 << BIN_BITS
-SAMPLES = DRAWS * BINS
+#: Draws of each document, each over all its terms.
+SAMPLES = 64
 LEAST_ID = -(2**63)
 
 
@@ -48,13 +45,19 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """
     words = texts.select(*keys, F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word"))
     terms = words.groupBy(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).agg(F.count(F.lit(1)).alias("weight"))
-    drawn = terms.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("_h", F.xxhash64("term", "draw")).withColumn("_g", F.xxhash64("_h"))
-    slot = F.col("draw") * BINS + F.shiftrightunsigned("_g", 64 - BIN_BITS).cast("int")
-    least = drawn.groupBy(*keys, F.when(F.col("term").isNotNull(), slot).alias("slot")).agg(F.min(rank(F.col("_h"), F.col("_g"), F.col("weight"))).alias("least"))
-    sample = least.select(*keys, (F.floor(F.col("slot") / 4)).cast("int").alias("word"), F.expr("shiftleft(1 + pmod(xxhash64(least), 65535), 16 * pmod(slot, 4))").alias("bits"))
-    packed = sample.groupBy(*keys).agg(*[F.sum(F.when(F.col("word") == k, F.col("bits"))).alias(f"s{k}") for k in range(SAMPLES // 4)])
-    some = F.coalesce(*[F.col(f"s{k}") for k in range(SAMPLES // 4)]).isNotNull()
-    return packed.select(*keys, F.when(some, F.array(*[F.coalesce(f"s{k}", F.lit(0).cast("long")) for k in range(SAMPLES // 4)])).alias("sketch"))
+    some = F.col("term").isNotNull()
+
+    def least(draw: int) -> Column:
+        h = F.xxhash64("term", F.lit(draw))
+        return F.min(F.when(some, rank(h, F.xxhash64(h), F.col("weight")))).alias(f"m{draw}")
+
+    drawn = terms.groupBy(*keys).agg(*[least(k) for k in range(SAMPLES)])
+
+    def lane(draw: int) -> Column:
+        return F.shiftleft(1 + F.pmod(F.xxhash64(f"m{draw}"), F.lit(65535)), 16 * (draw % 4))
+
+    packed = [sum((lane(k + i) for i in range(1, 4)), lane(k)) for k in range(0, SAMPLES, 4)]
+    return drawn.select(*keys, F.when(F.col("m0").isNotNull(), F.array(*packed)).alias("sketch"))
 
 
 def as_text(sketch: str) -> Column:

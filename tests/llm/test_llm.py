@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import main_text, near_dedup, packing, pii, prefix_bpe, sharding, substring_dedup, topk_search, toxicity
-from tessella.llm.fingerprints import compare_with_next
+from tessella.llm.fingerprints import compare_with_next, fingerprints, likeness
 
 DOCS = "doc_id long, text string"
 
@@ -82,6 +82,19 @@ def test_fingerprints(spark):
     assert rows[4].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 < rows[4].near_edited < 1
 
 
+def test_likeness_of_skewed_weights(spark):
+    """Within four standard errors of 64 samples of the exact generalised Jaccard similarity."""
+    words = lambda name, n: {f"{name}{k}": 1 for k in range(n)}
+    bags = [({"the": 1000} | words("a", 30), {"the": 1000} | words("b", 30)), ({"the": 200} | words("a", 60), {"the": 200} | words("b", 60)), ({"the": 50} | words("a", 100), {"the": 20} | words("a", 80)), (words("a", 50), words("b", 50))]
+    text = lambda bag: " ".join(w for w, n in bag.items() for _ in range(n))
+    frame = spark.createDataFrame([(k, text(a), text(b)) for k, (a, b) in enumerate(bags)], "id long, x string, y string")
+    x, y = (fingerprints(frame.selectExpr("id", f"{c} as text"), ["id"]).withColumnRenamed("sketch", c) for c in "xy")
+    got = {r.id: r.near for r in x.join(y, "id").select("id", likeness("x", "y").alias("near")).collect()}
+    for k, (a, b) in enumerate(bags):
+        exact = sum(min(a.get(w, 0), b.get(w, 0)) for w in a | b) / sum(max(a.get(w, 0), b.get(w, 0)) for w in a | b)
+        assert abs(got[k] - exact) <= 4 * (exact * (1 - exact) / 64) ** 0.5
+
+
 def brute_components(rows, k, per_cent):
     sets = {}
     for i, t in rows:
