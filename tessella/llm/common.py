@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,18 +52,31 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, column: str = "text") -> DataFrame:
-    """mapInArrow over slices of bounded text size; make() runs once a task and may hold caches."""
+def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow over slices of bounded text size; make() runs once a task and may hold caches.
+
+    Python workers outlive their tasks: what make() holds goes when the task ends, and its memory to the system.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield f(part)
+        del f
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ranked(df: DataFrame, key: str, counts: dict, order: list[str], name: str = "rank", cells: int = 100_000, least: int = 200) -> DataFrame:
     """Add a gapless rank from 0 among the rows of one key, without sorting a key in one task.
 

@@ -14,51 +14,111 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
 
+import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, map_texts, ranked, read, text_or_empty
 
-CACHE_WORDS = 400_000
-#: Latin text on which all Unicode versions agree, and the vocabulary's word pattern.
-PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Chunks that a task keeps with their ids, and the longest one kept.
+CACHE_CHUNKS, LONGEST_KEPT = 500_000, 48
+#: Bytes of text that are encoded at a time: each distinct chunk of them is looked up once.
+SLICE = 4 << 20
+#: A space that something else than one word's character may follow (more than the vocabulary's white space).
+RUN = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
+#: A space before which the vocabulary's word pattern always ends a word.
+EDGE = re.compile(r" (?=\S)")
 
 
-class IdBytes:
-    """A text's ids as little-endian unsigned 32-bit integers; plain words are looked up, the library does the rest."""
+@functools.lru_cache(maxsize=1)
+def vocabulary(path: str) -> tuple:
+    """The library's tokenizer, the bytes of each token (one symbol a byte) and the special tokens."""
+    from tokenizers import Tokenizer
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    library = Tokenizer.from_file(path)
+    ids = library.get_vocab()
+    lengths = np.zeros(max(ids.values()) + 1, np.int64)
+    lengths[list(ids.values())] = [len(t) for t in ids]
+    return library, lengths, [t.content for t in library.get_added_tokens_decoder().values()]
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+class IdBytes:
+    """Texts' ids as little-endian unsigned 32-bit integers.
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.ids(text)
-        known, words = self.known, WORDS.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = [w for w in {*words} if w not in known]
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-            return b"".join(map(known.__getitem__, words))
+    No word of the vocabulary's pattern reaches over a space that something other than white space follows, so a
+    text is encoded as the chunks between such spaces. New chunks are encoded together by the library, as one
+    text, and cut apart again by the lengths of their tokens; a bounded number of short ones is kept.
+    """
 
+    def __init__(self, path: str):
+        self.library, self.lengths, self.special = vocabulary(path)
+        self.known: dict[str, bytes] = {}
 
-@functools.lru_cache(maxsize=2)
-def id_bytes(path: str) -> IdBytes:
-    return IdBytes(path)
+    def ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of each chunk with the space before it."""
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum(pc.binary_length(pa.array(chunks, pa.string())).to_numpy() + 1, dtype=np.int64)
+        at = np.searchsorted(ends, wanted)
+        if len(ids) == 0 or at[-1] >= len(ends) or (ends[at] != wanted).any():
+            raise ValueError("a token reaches over a word's edge: the vocabulary isn't byte-level")
+        data, cuts = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return {c: data[x:y] for c, x, y in zip(chunks, cuts, cuts[1:])}
+
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some distinct chunks with the space before it."""
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        if len(known) + len(new) > CACHE_CHUNKS:
+            kept = {c: known[c] for c in chunks if c in known}  # what these texts use is likely to come again
+            known.clear()
+            known.update(kept)
+        if new:
+            known.update(self.fresh(new))
+        out = [*map(known.__getitem__, chunks)]
+        for c in new:
+            if len(c) > LONGEST_KEPT:
+                del known[c]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        runs = pc.match_substring_regex(texts, RUN).to_numpy(zero_copy_only=False) & ~special
+        lists = pc.split_pattern(pc.if_else(pa.array(special | runs), "", texts), " ")
+        distinct = lists.flatten().dictionary_encode()
+        index, chunks = distinct.indices.to_numpy().astype(np.int64), distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ends = lists.offsets.to_numpy()
+        heads = ends[:-1]
+        # the chunk before a text's first edge has no space before it
+        own = [self.ids(chunks[k]) for k in index[heads].tolist()]
+        index[heads] = len(chunks) + np.arange(len(own))
+        used = np.zeros(len(chunks) + len(own), bool)
+        used[index] = True
+        spaced = iter(self.lookup([c for c, u in zip(chunks, used.tolist()) if u]))
+        found = [*(next(spaced) if u else b"" for u in used[: len(chunks)].tolist()), *own]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        n = sizes[index]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[index] - before[:-1], n) + np.arange(before[-1])].tobytes()
+        cuts = (4 * before[ends]).tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.flatnonzero(special).tolist():
+            out[k] = self.ids(texts[k].as_py())
+        for k in np.flatnonzero(runs).tolist():
+            head, *rest = EDGE.split(texts[k].as_py())
+            each = [*{*rest}]
+            held = dict(zip(each, self.lookup(each)))
+            out[k] = self.ids(head) + b"".join(map(held.__getitem__, rest))
+        return out
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -68,13 +128,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     """
 
     def make():
-        tok = id_bytes(path)
-        end = array("I", [end_id]).tobytes()
+        tok = IdBytes(path)
+        end = np.array([end_id], "<u4").tobytes()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = tok.encode(text) + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1))):
+                data += end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -84,7 +144,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
         return run
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), make, "doc_id long, piece int, start long, length long, ids_crc32 long", most=SLICE)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
