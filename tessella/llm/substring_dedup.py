@@ -12,8 +12,10 @@ its own first start, so the prefilter's errors cost work, never words.
 The sketch's width follows the input (about `load` counters an anchor) up to 2**`most_bits`; beyond, it filters
 less and the exact pass takes more rows. Only the merged sketch's one bit a counter goes through the driver.
 
-Order: smaller doc_id, then earlier start; a null doc_id comes before all others. Rows with the same doc_id
-and the same text are one document: neither loses words to the other. Null texts are empty.
+Order: smaller doc_id, then earlier start. Rows without doc_id come before all others, by a hash of their texts.
+Rows with the same doc_id and the same text are one document: neither loses words to the other. Null texts are
+empty and have no words; an empty table has no rows. A long text is one document like any other: its windows are
+all rows of their own. Columns to carry may have any names, those of the result included (positions tell them apart).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_texts, read, slices, text_or_empty
+from tessella.llm.common import map_texts, read, release, slices, text_or_empty
 
 ROWS, GRAM = 2, 8
 BLOCK_BITS = 16
@@ -105,35 +107,47 @@ def places(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
 def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """ROWS x 2**bits: whether a counter of the merged count-min sketch is over 1 (packed bits).
 
-    Tasks send blocks of counters, cut off at 2: two sketches' sum exceeds 1 just if the true sum does.
+    Tasks send their sketch in blocks of counters, cut off at 2: two sketches' sum exceeds 1 just if the true sum
+    does. A block is sent as the places of its counters, two bytes each, or as bits if it is fuller than that, so
+    what is sent follows the anchors, however many tasks there are.
     """
     block = 1 << min(bits, BLOCK_BITS)
     spark = docs.sparkSession
 
+    def packed(bitmap: np.ndarray) -> bytes:
+        at = np.flatnonzero(np.unpackbits(bitmap)).astype("<u2").tobytes()
+        return b"p" + at if len(at) < len(bitmap) else b"b" + bitmap.tobytes()
+
+    def unpacked(data: bytes) -> np.ndarray:
+        if data[:1] == b"b":
+            return np.frombuffer(data, np.uint8, offset=1)
+        out = np.zeros(block, np.uint8)
+        out[np.frombuffer(data, "<u2", offset=1)] = 1
+        return np.packbits(out)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a bit a counter for "at least 1" and one for "at least 2"
         once, twice = np.zeros((2, ROWS, (1 << bits) // 8), np.uint8)
-        some = False
         for batch in batches:
             for part in slices(batch, "text"):
                 anchors = windows([t.encode() for t in part.column(0).to_pylist()], width)[-1]
-                some |= len(anchors) > 0
                 for one, two, at in zip(once, twice, places(anchors, bits)):
                     at, n = np.unique(at, return_counts=True)
                     byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8)
                     again = (n > 1) | (one[byte] & bit > 0)
                     np.bitwise_or.at(two, byte[again], bit[again])
                     np.bitwise_or.at(one, byte, bit)
-        if some:
-            for k, (one, two) in enumerate(zip(once.reshape(-1, block // 8), twice.reshape(-1, block // 8))):
-                if one.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([one.tobytes() + two.tobytes()], pa.binary())], ["block", "counts"])
+        for k, (one, two) in enumerate(zip(once.reshape(-1, block // 8), twice.reshape(-1, block // 8))):
+            if one.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(one)], pa.binary()), pa.array([packed(two)], pa.binary())], ["block", "once", "twice"])
+        del once, twice
+        release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                one, two = np.frombuffer(data, np.uint8).reshape(2, -1)
+            for k, one, two in zip(*(c.to_pylist() for c in batch.columns)):
+                one, two = unpacked(one), unpacked(two)
                 if k in blocks:
                     a, b = blocks[k]
                     blocks[k] = (a | one, b | two | a & one)
@@ -142,9 +156,8 @@ def sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array([*blocks], pa.int32()), pa.array([b.tobytes() for _, b in blocks.values()], pa.binary())], ["block", "repeated"])
 
-    tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
-    parts = docs.select(text_or_empty().alias("text")).coalesce(tasks).mapInArrow(count, "block int, counts binary")
-    merged = parts.repartition(tasks, "block").mapInArrow(merge, "block int, repeated binary").collect()
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "block int, once binary, twice binary")
+    merged = parts.repartition("block").mapInArrow(merge, "block int, repeated binary").collect()
     out = np.zeros((ROWS << bits) // 8, np.uint8)
     for r in merged:
         out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["repeated"], np.uint8)
@@ -165,25 +178,32 @@ def kept_words(docs: DataFrame, width: int = 20, load: float = 2.0, most_bits: i
     if it loses no word.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *carry)
-    plain = docs.select("doc_id", "text")
+    # what is carried gets names of its own, so that no column of docs can clash with those made here
+    taken = {c: f"_c{k}" for k, c in enumerate(carry)}
+    text = text_or_empty()
+    unnamed = F.col("doc_id").isNull()
+    docs = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.when(unnamed, F.xxhash64(text).bitwiseOR(1)).otherwise(0).alias("_sub"), text.alias("text"), *(F.col(f"`{c}`").alias(x) for c, x in taken.items())
+    )
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(most_bits, max(16, int(np.ceil(np.log2(max(1, load * letters / 42))))))
-    shared = spark.sparkContext.broadcast(sketch(plain, width, bits))
+    shared = spark.sparkContext.broadcast(sketch(docs, width, bits))
 
     def suspects():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column(0)
-            _, h1, h2, anchor, first, _ = windows([t.encode() for t in batch.column(1).to_pylist()], width)
+            _, h1, h2, anchor, first, _ = windows([t.encode() for t in batch.column(2).to_pylist()], width)
             hit = np.flatnonzero(looks_repeated(shared.value, anchor, bits))
             doc = np.searchsorted(first, hit, side="right") - 1
-            return pa.RecordBatch.from_arrays([pa.array(h1[hit].view(np.int64)), pa.array((h2[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(doc)), pa.array((hit - first[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+            owner = pa.array(doc)
+            return pa.RecordBatch.from_arrays([pa.array(h1[hit].view(np.int64)), pa.array((h2[hit] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array((hit - first[doc]).astype(np.int32))], ["h1", "h2", "_id", "_sub", "start"])
 
         return run
 
-    found = map_texts(plain, suspects, "h1 long, h2 int, doc_id long, start int")
-    low = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    firsts = low.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "h1")).alias("firsts"))
+    found = map_texts(docs.select("_id", "_sub", "text"), suspects, "h1 long, h2 int, _id long, _sub long, start int")
+    low = found.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_sub", "start")).alias("at"))
+    # dealt by document before the lists are made: rows are a third of the size of partial lists
+    dealt = low.select("at._id", "at._sub", "at.start", "h1").repartition("_id", "_sub")
+    firsts = dealt.groupBy("_id", "_sub").agg(F.collect_list(F.struct("start", "h1")).alias("firsts"))
 
     def remove():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,7 +220,7 @@ def kept_words(docs: DataFrame, width: int = 20, load: float = 2.0, most_bits: i
                     if lists[k].is_valid:
                         flat = lists[k].values
                         start, h = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
-                        mine = start < len(own)
+                        mine = start < len(own)  # rows may share a doc_id
                         start, h = start[mine], h[mine]
                         own[start[h1[first[k] + start] == h]] = False
                     at = np.flatnonzero(own)
@@ -211,13 +231,14 @@ def kept_words(docs: DataFrame, width: int = 20, load: float = 2.0, most_bits: i
                 out[0].append(len(words))
                 out[1].append(int(len(words) - left.sum()))
                 out[2].append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
-            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", *carry, "n_words", "n_removed", "kept"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["_id", *taken.values(), "_words", "_removed", "_kept"])
 
         return run
 
-    joined = docs.alias("d").join(firsts.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", "d.text", "f.firsts", *(F.col(f"d.`{c}`") for c in carry))
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return map_texts(joined, remove, f"doc_id long, {kinds}n_words long, n_removed long, kept string")
+    joined = docs.join(firsts, ["_id", "_sub"], "left").select(F.when(F.col("_sub") == 0, F.col("_id")).alias("_id"), "text", "firsts", *taken.values())
+    kinds = "".join(f"{x} {docs.schema[x].dataType.simpleString()}, " for x in taken.values())
+    done = map_texts(joined, remove, f"_id long, {kinds}_words long, _removed long, _kept string")
+    return done.select(F.col("_id").alias("doc_id"), *(F.col(x).alias(c) for c, x in taken.items()), F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_kept").alias("kept"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
