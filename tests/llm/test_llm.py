@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,14 +83,48 @@ def test_fingerprints(spark):
     assert rows[4].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 < rows[4].near_edited < 1
 
 
+def brute_facts(rows):
+    """(n_chars, edited text) of rows (doc_id, text) with distinct ids."""
+    rows = [(i, t or "") for i, t in sorted(rows)]
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        out[i] = (len(t), t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half])
+    return out
+
+
+def jaccard(a, b):
+    x, y = (Counter((t or "").encode().split()) for t in (a, b))
+    return sum((x & y).values()) / max(1, sum((x | y).values())) if x or y else 1.0
+
+
+def test_edited_texts_and_likenesses(spark):
+    """Of many texts (empty, of white space, long, in several scripts): exact digests; likenesses without bias."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)] + ["é😀", "日本", "a"]
+    texts = [None, "", "  ", "\n x", "one", "word " * 30_000] + ["".join(rng.choice([" ", "  ", "\n", "\t"]) + rng.choice(vocabulary) for _ in range(rng.randrange(1, 120))) for _ in range(150)]
+    order = rng.sample(range(1000), len(texts))
+    source = dict(zip(order, texts))
+    rows = {r.doc_id: r for r in compare_with_next(spark.createDataFrame([*source.items()], DOCS)).collect()}
+    facts, ids = brute_facts(source.items()), sorted(source)
+    off = []
+    for k, i in enumerate(ids):
+        n, edited = facts[i]
+        assert (rows[i].n_chars, rows[i].edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
+        off += [rows[i].near_edited - jaccard(source[i], edited), rows[i].near_next - jaccard(source[i], source[ids[(k + 1) % len(ids)]])]
+    assert max(map(abs, off)) < 0.27 and abs(sum(off) / len(off)) < 0.02 and (sum(x * x for x in off) / len(off)) ** 0.5 < 0.07
+    single = compare_with_next(spark.createDataFrame([(7, "a b c d")], DOCS)).collect()
+    assert [(r.doc_id, r.near_next) for r in single] == [(7, 1.0)]
+    assert compare_with_next(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_likeness_of_skewed_weights(spark):
     """Within four standard errors of 64 samples of the exact generalised Jaccard similarity."""
     words = lambda name, n: {f"{name}{k}": 1 for k in range(n)}
     bags = [({"the": 1000} | words("a", 30), {"the": 1000} | words("b", 30)), ({"the": 200} | words("a", 60), {"the": 200} | words("b", 60)), ({"the": 50} | words("a", 100), {"the": 20} | words("a", 80)), (words("a", 50), words("b", 50))]
-    text = lambda bag: " ".join(w for w, n in bag.items() for _ in range(n))
-    frame = spark.createDataFrame([(k, text(a), text(b)) for k, (a, b) in enumerate(bags)], "id long, x string, y string")
-    x, y = (fingerprints(frame.selectExpr("id", f"{c} as text"), ["id"]).withColumnRenamed("sketch", c) for c in "xy")
-    got = {r.id: r.near for r in x.join(y, "id").select("id", likeness("x", "y").alias("near")).collect()}
+    words = lambda bag: [w for w, n in bag.items() for _ in range(n)]
+    frame = spark.createDataFrame([(k, [words(a), words(b)]) for k, (a, b) in enumerate(bags)], "id long, parts array<array<string>>")
+    got = {r.id: r.near for r in fingerprints(frame, ["id"], {"x": [0], "y": [1]}).select("id", likeness("x", "y").alias("near")).collect()}
     for k, (a, b) in enumerate(bags):
         exact = sum(min(a.get(w, 0), b.get(w, 0)) for w in a | b) / sum(max(a.get(w, 0), b.get(w, 0)) for w in a | b)
         assert abs(got[k] - exact) <= 4 * (exact * (1 - exact) / 64) ** 0.5
