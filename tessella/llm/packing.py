@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, map_texts, ranked, read, text_or_empty
 
 #: Chunks that a task keeps with their ids, and the longest one kept.
-CACHE_CHUNKS, LONGEST_KEPT = 500_000, 48
+CACHE_CHUNKS, LONGEST_KEPT = 300_000, 48
 #: Bytes of text that are encoded at a time: each distinct chunk of them is looked up once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: A space that something else than one word's character may follow (more than the vocabulary's white space).
 RUN = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 #: A space before which the vocabulary's word pattern always ends a word.
