@@ -37,8 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words of 20-word windows that start earlier; a text that loses none is as it was."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return counted(kept_words(docs, carry=rest).withColumnRenamed("kept", "text"), docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = kept_words(docs, carry=tuple(rest))
+    return counted(found.toDF("doc_id", *rest, "\0words", "\0removed", "text"), docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
