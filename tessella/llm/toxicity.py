@@ -1,38 +1,41 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Learning counts, in labelled training documents, how many toxic and other documents hold a feature: a word, or
-the first 4, 5 or 6 letters of one, so that inflected forms never seen share their stem's evidence. Log-odds
-with a Dirichlet prior (its weights follow the features' overall counts) and their z-scores give the lexicon;
-a word scores as its most specific significant feature, less a drift that makes ordinary text negative.
+the first 4, 5 or 6 letters of one, so that inflected forms never seen share their stem's evidence. Near copies
+weigh as one document together: a document's weight is one over the number of training documents of its label
+that share a least four-word hash, the largest of four such shares; none is left out. Log-odds with a Dirichlet
+prior (its weights follow the features' overall counts) and their z-scores give the lexicon; a word scores as its
+most specific significant feature, less a drift that makes ordinary text negative.
 
 Scoring runs the linear-time search for all maximal scoring segments over a text's words. Under the null a
-text of n words has about K n exp(-lambda S) segments of score S or more; lambda and K come from the training
-documents that are not toxic. Segments with a small expected count are significant passages, their negative
-log expectations add up to the document's evidence, and a monotone fit on the training documents turns
-evidence into a probability.
+text of n words has about K n exp(-lambda S) segments of score S or more. Segments with a small expected count are
+significant passages, their negative log expectations add up to the document's evidence, and a monotone fit turns
+evidence into a probability. lambda, K and the fit come from training documents scored by a lexicon that the other
+half of them taught: halves are dealt by a least four-word hash, so that near copies fall together.
 
 The sample: at most `sample` labelled documents (all, if there are no more), chosen by a hash of doc_id, and a
 lexicon of at most `lexicon` features, the most significant; both only bound the model. Every text is scored
-whole. Null texts are empty; an empty text has no evidence and the lowest score. Labels that repeat a doc_id
-count as toxic if one is; null labels and null ids teach nothing. Without any toxic training document all
-scores are 0.
+whole. Null texts are empty; an empty text has no evidence and the lowest score, and a long one is scanned in one
+pass. Labels that repeat a doc_id count as toxic if one is; null labels and null ids teach nothing, and each row
+of documents that repeats a labelled doc_id teaches. Without any toxic training document all scores are 0. An
+empty table has no rows. Of documents only doc_id and text are read; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, map_texts, read, slices, text_or_empty
+from tessella.llm.common import cut, map_texts, read, release, slices, text_or_empty
+from tessella.llm.near_dedup import FACTORS, mixed, shingle_sets
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
@@ -40,6 +43,8 @@ STEMS = (6, 5, 4)
 PRIOR, LEAST_Z, STRONG, DRIFT, TOP, LOW = 0.02, 4.0, 3.9, 0.15, 6.0, -3.0
 LOG_SIGNIFICANT = math.log(0.05)
 BIN, BINS = 0.25, 400
+#: Least hashes that tell near copies of training documents, and the units of a document's weight.
+HASHES, UNIT = 4, 64
 
 
 def features(word: str) -> list[str]:
@@ -76,7 +81,7 @@ class WordScores(dict):
         self.scores = scores
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         get = self.scores.get
         best = LOW
@@ -87,73 +92,101 @@ class WordScores(dict):
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), after Ruzzo and Tompa."""
+    """All maximal scoring segments (start, end, score), after Ruzzo and Tompa, in linear time.
+
+    A candidate keeps the place of the last one before it that starts at a lower total: those between need no look.
+    """
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    segments: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
-    for i in positive.tolist():
-        start, end, before, after = i, i + 1, float(total[i]), float(total[i + 1])
+    befores, afters = total[positive].tolist(), total[positive + 1].tolist()
+    segments: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, last lower one
+    for i, before, after in zip(positive.tolist(), befores, afters):
+        start, end = i, i + 1
+        j = len(segments) - 1
         while True:
-            j = len(segments) - 1
             while j >= 0 and segments[j][2] >= before:
-                j -= 1
+                j = segments[j][4]
             if j < 0 or segments[j][3] >= after:
                 break
-            start, before = segments[j][0], segments[j][2]
+            start, _, before, _, lower = segments[j]
             del segments[j:]
-        segments.append((start, end, before, after))
-    return [(a, b, y - x) for a, b, x, y in segments]
+            j = lower
+        segments.append((start, end, before, after, j))
+    return [(a, b, y - x) for a, b, x, y, _ in segments]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: int) -> DataFrame:
-    """(text, toxic) of the training sample. The sampled labels are few by the bound, and so broadcast.
+    """(text, toxic, keys) of the training sample. The sampled labels are few by the bound, and so broadcast.
 
-    Copies teach as one document: of texts with the same smallest hash of four words, one of each label stays.
+    keys: for each of `HASHES` hashes the least one among the text's runs of four words, mixed with the label.
     """
     usable_labels = labels.filter(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable_labels.count()
     if n > sample:
         share = int(2**32 * sample / n * 0.98)
         usable_labels = usable_labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share)
-    rows = docs.join(F.broadcast(usable_labels), "doc_id").select(text_or_empty().alias("text"), (F.col("toxic") > 0).alias("toxic"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(usable_labels), "doc_id").select("text", (F.col("toxic") > 0).alias("toxic"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = []
-        for text in batch.column(0).to_pylist():
-            words = text.lower().split()
-            keys.append(min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))), default=0) - 2**63)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["text", "toxic", "likeness"])
+        for shingles, toxic in zip(shingle_sets(batch.column(0).to_pylist(), 4), batch.column(1).to_pylist()):
+            low = [int((mixed(shingles * FACTORS[k])).min()) if len(shingles) else 0 for k in range(HASHES)]
+            keys.append([(x ^ (2 * k + toxic) * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for k, x in enumerate(low)])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["text", "toxic", "keys"])
 
-    keyed = map_texts(rows, lambda: run, "text string, toxic boolean, likeness long")
-    return keyed.dropDuplicates(["likeness", "toxic"]).drop("likeness")
+    return map_texts(rows, lambda: run, "text string, toxic boolean, keys array<long>")
 
 
-def feature_counts(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+def class_sizes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that several training rows have, sorted, and how many have each (at most `HASHES` x sample)."""
+    found = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
 
-        def flush() -> pa.RecordBatch:
-            names = [*(counts[0].keys() | counts[1].keys())]
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], ["feature", "n0", "n1"])
-            for c in counts:
+def weight(keys: list[int], sizes: tuple[np.ndarray, np.ndarray]) -> int:
+    """A row's weight in `UNIT`s: one over the size of the smallest class it is in."""
+    known, n = sizes
+    if not len(known):
+        return UNIT
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return max(1, round(UNIT / np.where(known[at] == keys, n[at], 1).min()))
+
+
+def feature_counts(rows: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(feature, half, n0, n1): the summed weights of rows of each label that hold the feature, by half."""
+    shared = rows.sparkSession.sparkContext.broadcast(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, bool], dict[str, int]] = {(half, toxic): defaultdict(int) for half in (0, 1) for toxic in (False, True)}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for half in (0, 1):
+                zero, one = counts[half, False], counts[half, True]
+                names = [*(zero.keys() | one.keys())]
+                columns = [pa.array(names, pa.string()), pa.array([half] * len(names), pa.int32()), *(pa.array([c.get(f, 0) for f in names], pa.int64()) for c in (zero, one))]
+                yield pa.RecordBatch.from_arrays(columns, ["feature", "half", "n0", "n1"])
+            for c in counts.values():
                 c.clear()
-            return out
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    counts[toxic].update({f for w in {*WORD.findall(text.lower())} for f in features(w)})
-            if sum(map(len, counts)) > 400_000:
-                yield flush()
-        yield flush()
+                for text, toxic, keys in zip(*(c.to_pylist() for c in part.columns)):
+                    own, w = counts[keys[0] & 1, toxic], weight(keys, shared.value)
+                    for f in {f for word in {*WORD.findall(text.lower())} for f in features(word)}:
+                        own[f] += w
+            if sum(map(len, counts.values())) > 200_000:
+                yield from flush()
+        yield from flush()
+        release()
 
-    return rows.mapInArrow(run, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.mapInArrow(run, "feature string, half int, n0 long, n1 long").groupBy("feature", "half").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def log_odds(counts: DataFrame, lexicon: int) -> dict[str, float]:
     """The most significant features with their log-odds."""
+    counts = counts.groupBy("feature").agg((F.sum("n0") / UNIT).alias("n0"), (F.sum("n1") / UNIT).alias("n1"))
     n0, n1 = (x or 0 for x in counts.agg(F.sum("n0"), F.sum("n1")).first())
     if not n0 or not n1:
         return {}
@@ -189,19 +222,21 @@ def monotone(ones: np.ndarray, zeros: np.ndarray) -> list[float]:
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_000, lexicon: int = 50_000) -> Model:
     rows = cut(training_rows(docs, labels, usable, sample))
-    model = Model(log_odds(feature_counts(rows), lexicon))
+    counts = cut(feature_counts(rows, class_sizes(rows)))
+    model = Model(log_odds(counts, lexicon))
     if not model.scores:
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model.scores)
+    # a row is scored by what the other half teaches
+    shared = docs.sparkSession.sparkContext.broadcast([log_odds(counts.filter(F.col("half") != half), lexicon) for half in (0, 1)])
 
     def scan():
-        known = WordScores(shared.value)
+        known = [WordScores(scores) for scores in shared.value]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(0).to_pylist():
+            for text, keys in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 words = text.lower().split()
-                scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                scores = np.fromiter(map(known[keys[0] & 1].__getitem__, words), np.float64, len(words))
                 at, n = np.unique(np.round(scores, 1), return_counts=True)
                 for column, value in zip(out, (len(words), [s for _, _, s in maximal_segments(scores)], at.tolist(), n.tolist())):
                     column.append(value)

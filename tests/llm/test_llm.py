@@ -287,6 +287,53 @@ def test_segments_are_maximal():
     assert [(a, b) for a, b, _ in found] == [(0, 1), (2, 3), (4, 11)]
 
 
+def slow_segments(scores):
+    """All maximal segments by their definition: split at the best-scoring one (the longest of equal ones), again and again."""
+    total = [0.0]
+    for x in scores:
+        total.append(total[-1] + x)
+
+    def of(lo, hi):
+        best = max(((total[b] - total[a], b - a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
+        return [] if best[0] <= 0 else [*of(lo, best[2]), best[2:], *of(best[3], hi)]
+
+    return of(0, len(scores))
+
+
+def test_segments_equal_recursive_definition():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        scores = rng.normal(-0.2, 1, rng.integers(0, 40))
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(scores)] == slow_segments(scores.tolist())
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def seconds(n):
+        scores = np.tile([1.0, -2.0], n)  # each candidate starts lower than all before it
+        scores = np.concatenate([scores, -scores[::-1] + 0.5])
+        best = []
+        for _ in range(3):
+            start = time.process_time()
+            toxicity.maximal_segments(scores)
+            best.append(time.process_time() - start)
+        return min(best)
+
+    assert seconds(80_000) < 5 * seconds(40_000) + 0.05
+
+
+def test_copies_weigh_as_one_document(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    frame = docs(spark, [text] * 8 + ["some other text of its own"])
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    rows = toxicity.training_rows(frame, labels, F.lit(True), 1000)
+    sizes = toxicity.class_sizes(rows)
+    assert sorted(toxicity.weight(r["keys"], sizes) for r in rows.collect()) == [8] * 8 + [64]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmn"]
