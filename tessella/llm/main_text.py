@@ -1,22 +1,29 @@
 """Main text of web pages by two-pass block rules.
 
 A page becomes blocks at its block-level tags; what can't be article text by markup alone (scripts, styles,
-navigation, forms, asides, and elements named as adverts, notices, menus, comments and the like) is left out.
-The first pass judges each block by itself: many links or too few stop words make it bad, stop words and length
-make it good, and short blocks stay open. If the page marks its article (article, main, role=main), blocks
-outside it are bad and blocks inside need no stop words. In the second pass each open block inherits the label
-of its nearest decided neighbours: both agree, or else headings follow what comes after them and other blocks
+navigation, asides, and elements whose whole name is that of an advert, a notice, a menu, comments and the like) is
+left out. The first pass judges each block by itself: links with little text around them make it bad, stop words and
+length make it good, and short blocks, headings and doubtful ones stay open. The second pass gives each open block the
+label of its nearest decided neighbours: both agree, or else headings follow what comes after them and other blocks
 follow a good neighbour only if their own stop words speak for it.
 
-A null, empty or markup-only page has an empty text. A page cut off anywhere is read to its end. Repeated rows
-are extracted alone; page_id and url pass through, null or not.
+Markup that names the article (article, main, role=main) is one feature of a block, not a verdict: inside, fewer
+stop words do and what speaks against a block leaves it open, and open blocks look at neighbours inside; outside,
+what would be good is only open and needs a good neighbour on either side. A mark with nothing decided in it keeps
+its open blocks. On a page whose text the stop lists don't fit, length and links alone decide.
+
+A null, empty or markup-only page has an empty text. A page cut off anywhere is read to its end, and a long one in
+one pass. Repeated rows are extracted alone; page_id and url pass through, null or not. An empty table has no rows.
+Of pages only page_id, url and html are read; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +44,7 @@ STOP_WORDS = frozenset(
 )
 #: Elements of HTML by their role.
 RAW = frozenset("script style".split())
-DROPPED = frozenset("script style noscript template svg math iframe object embed nav footer aside form button select textarea dialog menu canvas audio video title head".split())
+DROPPED = frozenset("script style noscript template svg math iframe object embed nav footer aside button select textarea label dialog menu canvas audio video title head".split())
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split()
@@ -45,45 +52,71 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in class and id that name page furniture.
+#: Words in class and id that name page furniture, words that say nothing about it, and words that
+#: turn a name into one of something else.
 FURNITURE = frozenset(
     """ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu
     menubar modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related respond share sharing
     sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split()
 )
+PLAIN_NAMES = frozenset("area bar block bottom box buttons col column group header holder inner item items left link links list panel right section small top".split())
+HOLDERS = frozenset("container outer wrap wrapper".split())
+MODIFIERS = frozenset("hide is no not show with without has".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\Z)|[^>]*+(?:>|\Z))|</?\Z""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.34, 0.15, 0.25
+#: Share of stop words in a page's text below which no list fits its language.
+FITS = 0.08
+
+
+@functools.lru_cache(maxsize=10_000)
+def names_furniture(name: str) -> bool:
+    """Whether one class or id as a whole names furniture: its head word does, and it holds nothing else."""
+    words = [w.lower() for w in NAME.findall(name)]
+    if not words or MODIFIERS.intersection(words):
+        return False
+    holder = False
+    while len(words) > 1 and (words[-1] in PLAIN_NAMES or words[-1] in HOLDERS):
+        holder |= words.pop() in HOLDERS
+    return FURNITURE.issuperset(words) if holder else words[-1] in FURNITURE
 
 
 def furniture(tag: str, attributes: str) -> bool:
     """Whether an element is page furniture by its tag or its attributes."""
     if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and FURNITURE & {w.lower() for w in NAME.findall(value)}:
+        if name in ("class", "id") and any(map(names_furniture, value.split())):
             return True
     return False
 
 
-def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
-    """The page's blocks as (text, share of it in links, heading, inside the article), and whether an article is marked."""
-    out: list[tuple[str, float, bool, bool]] = []
+@dataclass
+class Block:
+    text: str
+    linked: float  # share of the text in links
+    heading: bool = False
+    inside: bool = False  # in an article or main element
+    form: bool = False
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    out: list[Block] = []
     text: list[str] = []
     linked = 0
     heading = False
     opened: list[tuple[str, bool, bool]] = []  # tag, dropped, article
     counts: Counter[str] = Counter()
     dropped = articles = links = 0
-    marked = False
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -91,7 +124,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((whole, min(1.0, linked / len(whole)), heading, articles > 0))
+                out.append(Block(whole, min(1.0, linked / len(whole)), heading, articles > 0, counts["form"] > 0))
             text.clear()
         linked, heading = 0, False
 
@@ -150,67 +183,83 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
             continue
         role = "main" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes) is not None
         article = tag in ("article", "main") or role
-        gone = not article and (furniture(tag, attributes) or tag == "header" and not articles)
+        # an article in an article may be a comment; the outermost one is judged by its text
+        gone = (not article or articles > 0) and (furniture(tag, attributes) or tag == "header" and not articles)
         if tag == "body" and counts["head"]:  # an unclosed head
             close(0)
-        marked |= article and not dropped
-        opened.append((tag, gone, article and not dropped))
+        article = article and not dropped and not gone
+        opened.append((tag, gone, article))
         counts[tag] += 1
         dropped += gone
-        articles += article and not dropped
+        articles += article
         links += tag == "a"
     flush()
-    return out, marked
+    return out
 
 
-def label(found: list[tuple[str, float, bool, bool]], marked: bool) -> list[bool]:
-    """Which blocks are main text."""
-    first: list[bool | None] = []
-    leaning: list[bool] = []
-    for text, linked, heading, inside in found:
-        words = WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        leaning.append(inside or stops >= STOPS_HIGH)
-        if marked and not inside or linked > LINKS and (not inside or linked > 0.8) or "©" in text and len(text) < LONG and not inside:
-            first.append(False)
-        elif len(text) < SHORT or heading:
-            first.append(None)
-        elif inside or stops >= STOPS_HIGH or stops >= STOPS_LOW and len(text) >= LONG:
-            first.append(True)
-        elif stops >= STOPS_LOW:
-            first.append(None)
-        else:
-            first.append(False)
-    if marked and True not in first:  # a short article: what it holds is the text
-        first = [inside and linked <= 0.8 for _, linked, _, inside in found]
+def nearest(labels: list[bool | None]) -> list[tuple[bool | None, bool | None]]:
+    """For each place the last decided label before it and the first after it."""
     before: list[bool | None] = []
-    for x in first:
-        before.append(x if x is not None else before[-1] if before else None)
     after: list[bool | None] = []
-    for x in reversed(first):
-        after.append(x if x is not None else after[-1] if after else None)
-    after.reverse()
+    for out, run in ((before, labels), (after, labels[::-1])):
+        last = None
+        for x in run:
+            out.append(last)
+            last = last if x is None else x
+    return [*zip(before, after[::-1])]
+
+
+def stop_shares(found: list[Block]) -> list[float]:
+    """The share of stop words in each block; 1 for all if they don't fit the page's language."""
+    words = [WORD.findall(b.text.lower()) for b in found]
+    stops = [sum(w in STOP_WORDS for w in x) for x in words]
+    prose = [k for k, b in enumerate(found) if b.linked <= LINKS]
+    if sum(stops[k] for k in prose) < FITS * sum(len(words[k]) for k in prose):
+        return [1.0] * len(found)
+    return [n / len(x) if x else 0.0 for n, x in zip(stops, words)]
+
+
+def first_pass(b: Block, stops: float, marked: bool) -> bool | None:
+    """A block's label by itself; None: open. marked: the page has an article with text."""
+    against = None if b.inside else False
+    if b.linked > LINKS and len(b.text) * (1 - b.linked) < SHORT or len(b.text) < LONG and ("©" in b.text or b.form):
+        return against
+    if b.heading or len(b.text) < SHORT:
+        return None
+    if stops >= (STOPS_LOW if b.inside or len(b.text) >= LONG else STOPS_HIGH):
+        return None if marked and not b.inside else True
+    return None if stops >= STOPS_LOW else against
+
+
+def label(found: list[Block]) -> list[bool]:
+    """Which blocks are main text."""
+    marked = any(b.inside for b in found)
+    shares = stop_shares(found)
+    first = [first_pass(b, s, marked) for b, s in zip(found, shares)]
+    around = nearest(first)
+    within = [k for k, b in enumerate(found) if b.inside]
+    for k, pair in zip(within, nearest([first[k] for k in within])):
+        around[k] = pair
     out = []
-    for k, x in enumerate(first):
+    for b, share, x, (a, z) in zip(found, shares, first, around):
         if x is None:
-            a, b = before[k], after[k]
-            if marked:
-                x = found[k][3]
-            elif a is None and b is None:  # nothing is decided on a page of a few words
-                x = found[k][1] == 0
-            elif a is None or b is None or a == b:
-                x = bool(a or b)
-            elif found[k][2]:
-                x = bool(b)
+            if marked and not b.inside:
+                x = bool(a and z)
+            elif a is None and z is None:  # nothing is decided: a page, or an article, of a few words
+                x = b.inside or b.linked == 0
+            elif a is None or z is None or a == z:
+                x = bool(a or z)
+            elif b.heading:
+                x = bool(z)
             else:
-                x = leaning[k] and True in (a, b)
+                x = b.inside or share >= STOPS_HIGH
         out.append(x)
     return out
 
 
 def main_text(page: str) -> str:
-    found, marked = blocks(page)
-    return "\n\n".join(b[0] for b, keep in zip(found, label(found, marked)) if keep)
+    found = blocks(page)
+    return "\n\n".join(b.text for b, keep in zip(found, label(found)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -230,6 +230,47 @@ def test_main_text():
     assert main_text.main_text("") == "" == main_text.main_text("<p>")
 
 
+PROSE = "The people of the village were glad that the rain had come, for it was late in the year and there was little water in the wells."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><div class='layout has-sidebar'><div id=page-with-banner><h1>Rain</h1><p>{PROSE}</div></div><div class=sidebar><p>{PROSE}</div>", f"Rain\n\n{PROSE}"),
+        (f"<div class='content-sidebar-wrap'><article><p>{PROSE}</article></div><div class=ad-container>{PROSE}</div>", PROSE),
+        # unmarked pages: stop words decide long blocks, neighbours decide short ones
+        (f"<p>{PROSE}<p>Short line.<p>{PROSE}<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>", f"{PROSE}\n\nShort line.\n\n{PROSE}"),
+        (f"<p>{PROSE}<p>{PROSE}<p>" + "Steel Bolt 20mm Zinc Nut 10mm Brass Washer 5mm " * 4, f"{PROSE}\n\n{PROSE}"),
+        # articles with many links, and comments that are articles in one
+        (f"<article><p>{PROSE}<p><a href=x>The rain and the wells of the village in the years before the war</a><p>{PROSE}</article>", f"{PROSE}\n\nThe rain and the wells of the village in the years before the war\n\n{PROSE}"),
+        (f"<article><p>{PROSE}<section id=comments><article class=comment><p>{PROSE}</article></section></article>", PROSE),
+        (f"<article><p>{PROSE}</article><p>{PROSE}", PROSE),
+        # no stop list fits: length and links
+        ("<p>" + "мы шли по дороге к старому дому " * 4 + "<p><a href=x>меню</a>", ("мы шли по дороге к старому дому " * 4).strip()),
+        (f"<form action=x><p>{PROSE * 2}<label>Name</label><input></form>", PROSE * 2),
+        ("<article><p>Tiny.</article><div><a href=x>All</a></div>", "Tiny."),
+        ("<p>" + "word of the " * 50_000, ("word of the " * 50_000).strip()),
+    ],
+)
+def test_main_text_of_other_pages(page, want):
+    assert main_text.main_text(page) == want
+
+
+def test_stop_words_matter(monkeypatch):
+    page = f"<p>{PROSE}<p>{PROSE}<p>" + "Steel Bolt 20mm Zinc Nut 10mm Brass Washer 5mm " * 4
+    before = main_text.main_text(page)
+    monkeypatch.setattr(main_text, "STOP_WORDS", frozenset())
+    assert main_text.main_text(page) != before
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", f"<p>{PROSE}", 9), (1, "u", f"<p>{PROSE}", 9), (None, None, None, 1), (2, "v", "", 2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in main_text.extract(frame).collect())
+    assert got == [(0, "", 0), (1, PROSE, len(PROSE)), (1, PROSE, len(PROSE)), (2, "", 0)]
+    assert main_text.extract(frame.limit(0)).count() == 0
+
+
 def test_plan_packs_all():
     rng = random.Random(5)
     counts = {}
