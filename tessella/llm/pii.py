@@ -207,7 +207,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_id").alias("id"), F.col("_h").alias("h"))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     found = docs.join(find(read(spark, sf_dir, "documents")), ["id", "h"], "left").select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     return found.select(
         "doc_id", *counts, F.sha2(F.encode(as_text("base"), "UTF-8"), 256).alias("base_sha256"), as_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_more")
     )

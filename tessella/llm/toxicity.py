@@ -10,8 +10,8 @@ most specific significant feature, less a drift that makes ordinary text negativ
 Scoring runs the linear-time search for all maximal scoring segments over a text's words. Under the null a
 text of n words has about K n exp(-lambda S) segments of score S or more. Segments with a small expected count are
 significant passages, their negative log expectations add up to the document's evidence, and a monotone fit turns
-evidence into a probability. lambda, K and the fit come from training documents scored by a lexicon that the other
-half of them taught: halves are dealt by a least four-word hash, so that near copies fall together.
+evidence into a probability. lambda, K and the fit come from training documents scored by a lexicon that
+`PARTS` - 1 in `PARTS` of the others taught: parts are dealt by a least four-word hash, so that near copies fall together.
 
 The sample: at most `sample` labelled documents (all, if there are no more), chosen by a hash of doc_id, and a
 lexicon of at most `lexicon` features, the most significant; both only bound the model. Every text is scored
@@ -45,6 +45,8 @@ LOG_SIGNIFICANT = math.log(0.05)
 BIN, BINS = 0.25, 400
 #: Least hashes that tell near copies of training documents, and the units of a document's weight.
 HASHES, UNIT = 4, 64
+#: Parts of the training documents, each scored by what the others teach.
+PARTS = 5
 
 
 def features(word: str) -> list[str]:
@@ -154,26 +156,30 @@ def weight(keys: list[int], sizes: tuple[np.ndarray, np.ndarray]) -> int:
     return max(1, round(UNIT / np.where(known[at] == keys, n[at], 1).min()))
 
 
+def part_of(keys: list[int]) -> int:
+    return keys[0] % PARTS
+
+
 def feature_counts(rows: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(feature, half, n0, n1): the summed weights of rows of each label that hold the feature, by half."""
+    """(feature, part, n0, n1): the summed weights of rows of each label that hold the feature, by part."""
     shared = rows.sparkSession.sparkContext.broadcast(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, bool], dict[str, int]] = {(half, toxic): defaultdict(int) for half in (0, 1) for toxic in (False, True)}
+        counts: dict[tuple[int, bool], dict[str, int]] = {(part, toxic): defaultdict(int) for part in range(PARTS) for toxic in (False, True)}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for half in (0, 1):
-                zero, one = counts[half, False], counts[half, True]
+            for k in range(PARTS):
+                zero, one = counts[k, False], counts[k, True]
                 names = [*(zero.keys() | one.keys())]
-                columns = [pa.array(names, pa.string()), pa.array([half] * len(names), pa.int32()), *(pa.array([c.get(f, 0) for f in names], pa.int64()) for c in (zero, one))]
-                yield pa.RecordBatch.from_arrays(columns, ["feature", "half", "n0", "n1"])
+                columns = [pa.array(names, pa.string()), pa.array([k] * len(names), pa.int32()), *(pa.array([c.get(f, 0) for f in names], pa.int64()) for c in (zero, one))]
+                yield pa.RecordBatch.from_arrays(columns, ["feature", "part", "n0", "n1"])
             for c in counts.values():
                 c.clear()
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for text, toxic, keys in zip(*(c.to_pylist() for c in part.columns)):
-                    own, w = counts[keys[0] & 1, toxic], weight(keys, shared.value)
+            for rows_of in slices(batch, "text"):
+                for text, toxic, keys in zip(*(c.to_pylist() for c in rows_of.columns)):
+                    own, w = counts[part_of(keys), toxic], weight(keys, shared.value)
                     for f in {f for word in {*WORD.findall(text.lower())} for f in features(word)}:
                         own[f] += w
             if sum(map(len, counts.values())) > 200_000:
@@ -181,7 +187,7 @@ def feature_counts(rows: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> Dat
         yield from flush()
         release()
 
-    return rows.mapInArrow(run, "feature string, half int, n0 long, n1 long").groupBy("feature", "half").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.mapInArrow(run, "feature string, part int, n0 long, n1 long").groupBy("feature", "part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def log_odds(counts: DataFrame, lexicon: int) -> dict[str, float]:
@@ -226,8 +232,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_
     model = Model(log_odds(counts, lexicon))
     if not model.scores:
         return model
-    # a row is scored by what the other half teaches
-    shared = docs.sparkSession.sparkContext.broadcast([log_odds(counts.filter(F.col("half") != half), lexicon) for half in (0, 1)])
+    # a row is scored by what the other parts teach
+    shared = docs.sparkSession.sparkContext.broadcast([log_odds(counts.filter(F.col("part") != k), lexicon) for k in range(PARTS)])
 
     def scan():
         known = [WordScores(scores) for scores in shared.value]
@@ -236,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 200_
             out: tuple[list, ...] = ([], [], [], [])
             for text, keys in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 words = text.lower().split()
-                scores = np.fromiter(map(known[keys[0] & 1].__getitem__, words), np.float64, len(words))
+                scores = np.fromiter(map(known[part_of(keys)].__getitem__, words), np.float64, len(words))
                 at, n = np.unique(np.round(scores, 1), return_counts=True)
                 for column, value in zip(out, (len(words), [s for _, _, s in maximal_segments(scores)], at.tolist(), n.tolist())):
                     column.append(value)
