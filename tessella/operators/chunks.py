@@ -2,7 +2,7 @@
 
 blocks: run_id, block_no, page_number, kind, text, title_path. Token windows come from array expressions on
 each block, the separators and offsets from one window a run, and the greedy grouping into parents from a fold
-over the run's units, which holds token counts and heading paths but no text.
+over the run's units. A run is one imported document, so what meets in a row is bounded by the import limit.
 """
 
 from __future__ import annotations
@@ -14,24 +14,36 @@ from tessella.functions.text import CHUNK_RE, stable_id
 
 
 def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> DataFrame:
-    """Add windows: array of (start, end, tokens) of token windows over a text column."""
+    """Add windows: array of (start, end, tokens) of token windows over a text column.
+
+    Sums over runs of tokens give the offsets at which windows start and end, so that time follows the text.
+    Intermediate arrays pass generators of one row: without them Catalyst would put the regular expressions in
+    every use of their result.
+    """
     if maximum < 1 or not 0 <= overlap < maximum:
         raise ValueError("windows need a maximum of 1 or more and an overlap below it")
     step = maximum - overlap
+
+    def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+        return frame.withColumn(name, F.explode(F.array(value)))
+
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
+
     tokens, gaps = F.regexp_extract_all(F.col(text), F.lit(CHUNK_RE), F.lit(0)), F.split(F.col(text), CHUNK_RE, -1)
-    df = df.withColumn("_tokens", tokens).withColumn("_gaps", gaps)
-    df = df.withColumn("_g", F.transform("_gaps", lambda g: F.length(g))).withColumn("_t", F.transform("_tokens", lambda t: F.length(t))).drop("_tokens", "_gaps")
-    n = F.size("_t")
+    found = once(df, "_s", F.struct(F.transform(gaps, F.length).alias("g"), F.transform(tokens, F.length).alias("t")))
+    n = F.size("_s.t")
     count = F.when(n == 0, 0).when(n <= maximum, 1).otherwise(1 + F.ceil((n - maximum) / step)).cast("int")
-    total = lambda a, k: F.aggregate(F.slice(a, 1, k), F.lit(0), lambda s, x: s + x)
+    found = once(found, "_l", F.struct(F.zip_with(F.slice("_s.g", 1, n), F.col("_s.t"), lambda g, t: g + t).alias("both"), F.col("_s.g").alias("g"), n.alias("n"), count.alias("count"))).drop("_s")
+    own = F.transform(F.sequence(F.lit(0), F.col("_l.count") - 1), lambda k: F.struct(k.alias("k"), total(F.slice("_l.both", k * step + 1, F.lit(step))).alias("step"), total(F.slice("_l.both", k * step + 1, F.lit(maximum))).alias("whole"), F.get("_l.g", k * step).alias("gap")))
+    none = F.expr("cast(array() as array<struct<k:int,step:int,whole:int,gap:int>>)")
+    found = once(found, "_w", F.when(F.col("_l.count") > 0, own).otherwise(none))
 
-    def window(k: Column) -> Column:
-        first = k * step
-        last = F.least(first + maximum, n)
-        return F.struct((total("_g", first + 1) + total("_t", first)).alias("start"), (total("_g", last) + total("_t", last)).alias("end"), (last - first).alias("tokens"))
+    def window(w: Column) -> Column:
+        before = F.aggregate(F.slice("_w", F.lit(1), w["k"]), F.lit(0), lambda s, x: s + x["step"])
+        return F.struct((before + w["gap"]).alias("start"), (before + w["whole"]).alias("end"), (F.least(w["k"] * step + maximum, F.col("_l.n")) - w["k"] * step).alias("tokens"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,tokens:int>>)")
-    return df.withColumn("windows", F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), window)).otherwise(none)).drop("_g", "_t")
+    return once(found, "windows", F.transform("_w", window)).drop("_w", "_l")
 
 
 def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
@@ -51,16 +63,19 @@ def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
 
 def grouped_units(units: DataFrame, maximum: int) -> DataFrame:
     """Add parent (ordinal): a new one where the heading path changes or the tokens would pass the maximum."""
-    facts = units.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("unit", "tokens", "title_path"))).alias("all"))
+    rest = [c for c in units.columns if c not in ("run_id", "unit")]
+    whole = units.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("unit", F.struct(*rest).alias("u")))).alias("all"))
     zero = F.struct(F.lit(-1).alias("parent"), F.lit(0).alias("tokens"), F.expr("cast(null as array<string>)").alias("path"), F.expr("cast(array() as array<int>)").alias("out"))
 
-    def step(acc: Column, u: Column) -> Column:
+    def step(acc: Column, x: Column) -> Column:
+        u = x["u"]
         new = (acc["parent"] < 0) | ~acc["path"].eqNullSafe(u["title_path"]) | (acc["tokens"] + u["tokens"] > maximum)
         parent = acc["parent"] + F.when(new, 1).otherwise(0)
         return F.struct(parent.alias("parent"), (F.when(new, 0).otherwise(acc["tokens"]) + u["tokens"]).alias("tokens"), u["title_path"].alias("path"), F.concat(acc["out"], F.array(parent)).alias("out"))
 
-    numbered = facts.select("run_id", F.posexplode(F.aggregate("all", zero, step, lambda a: a["out"])).alias("unit", "parent"))
-    return units.join(numbered, ["run_id", "unit"])
+    numbers = F.aggregate("all", zero, step, lambda a: a["out"])
+    each = whole.select("run_id", F.explode(F.zip_with("all", numbers, lambda x, p: F.struct(x.alias("x"), p.alias("parent")))).alias("e"))
+    return each.select("run_id", F.col("e.x.unit").alias("unit"), "e.x.u.*", F.col("e.parent").alias("parent"))
 
 
 def parents(blocks: DataFrame, chunking_version: str = "parent-child-v1", maximum: int = 2500) -> DataFrame:
