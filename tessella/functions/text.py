@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import unicodedata
 import uuid
 
@@ -94,11 +96,39 @@ def etag_version(etag: Column) -> Column:
     return F.when((n != "") & (F.try_to_number(n, F.lit("999999999")) >= 1), n.cast("int"))
 
 
-def redact(json: Column) -> Column:
-    """Flat JSON with the values of sensitive keys replaced."""
-    pairs = F.from_json(json, "map<string,string>")
-    sensitive = lambda k: F.lower(k).rlike("|".join(SENSITIVE))
-    return F.to_json(F.transform_values(pairs, lambda k, v: F.when(sensitive(k), "[REDACTED]").otherwise(v)))
+def _hidden(value, key: str = ""):
+    if any(x in key.lower() for x in SENSITIVE):
+        return "[REDACTED]"
+    if isinstance(value, dict):
+        return {k: _hidden(v, k) for k, v in value.items()}
+    return [_hidden(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def redact(text: pd.Series) -> pd.Series:
+    """JSON with the values of sensitive keys replaced at any depth, compact, characters as they are."""
+    return text.map(lambda t: json.dumps(_hidden(json.loads(t)), ensure_ascii=False, separators=(",", ":")), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def canonical_json_hash(text: pd.Series) -> pd.Series:
+    """SHA-256 of JSON with sorted keys, compact, in ASCII."""
+    return text.map(lambda t: hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")).encode()).hexdigest(), na_action="ignore")
+
+
+def utf8_sig(content: Column) -> Column:
+    """Bytes as UTF-8 text without a byte-order mark; null if they are no UTF-8."""
+    text = F.try_validate_utf8(content.cast("string"))
+    return F.when(F.startswith(text, F.lit("\ufeff")), F.substring(text, 2, 2**31 - 2)).otherwise(text)
+
+
+def utc_second(at: Column) -> Column:
+    return F.date_trunc("second", at)
+
+
+def consented(consents: Column, user: Column, run: Column, provider: Column, category: Column) -> Column:
+    """Whether some consent (allowed, user_id, run_id, provider, categories) covers a use."""
+    return F.exists(consents, lambda c: c["allowed"] & (c["user_id"] == user) & (c["run_id"] == run) & (c["provider"] == provider) & F.array_contains(c["categories"], category))
 
 
 def index_version(chunking: Column, provider: str, base_url: str, model: str, dimension: int, normalization: str, metric: str) -> Column:
@@ -110,5 +140,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def collection_name(version: Column) -> Column:
+    return F.concat(F.lit("dense_"), F.substring(F.sha2(version, 256), 1, 24))
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

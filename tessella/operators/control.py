@@ -46,11 +46,20 @@ def fail(jobs: DataFrame, now: Column, retry_seconds: int = 30) -> DataFrame:
     return jobs.withColumn("available_at", F.when(over, F.col("available_at")).otherwise(later)).withColumn("status", F.when(over, "failed").otherwise("queued"))
 
 
-def reserve(requests: DataFrame) -> DataFrame:
-    """Outcome of each request (key, hash, at, seq) by its key's first request: created, replay or conflict."""
-    w = Window.partitionBy("key").orderBy("at", "seq")
-    first = F.first("hash").over(w)
-    return requests.withColumn("outcome", F.when(F.row_number().over(w) == 1, "created").when(F.col("hash") == first, "replay").otherwise("conflict"))
+def reserve(requests: DataFrame, ttl_days: int | None = 7) -> DataFrame:
+    """Outcome of each request (key, hash, at, seq[, done_at]) by its key's first request.
+
+    created: it is the first one; conflict: it asks for something else; in_progress: the first one isn't done by then
+    (if there is a done_at); replay: it is answered as the first one was; expired: the first one's record is gone by
+    then (with a ttl). A key's first request is an aggregate that tasks combine before the shuffle; the join splits hot keys.
+    """
+    known = "done_at" in requests.columns
+    head = F.min(F.struct("at", "seq", "hash", *(["done_at"] if known else []))).alias("first")
+    out = requests.join(requests.groupBy("key").agg(head), "key")
+    pending = (F.col("first.done_at").isNull() | (F.col("first.done_at") > F.col("at"))) if known else F.lit(False)
+    late = F.lit(False) if ttl_days is None else F.timestamp_diff("DAY", F.col("first.at"), F.col("at")) >= ttl_days
+    outcome = F.when(F.col("seq") == F.col("first.seq"), "created").when(late, "expired").when(F.col("hash") != F.col("first.hash"), "conflict").when(pending, "in_progress").otherwise("replay")
+    return out.withColumn("outcome", outcome).drop("first")
 
 
 def active_scope(links: DataFrame, documents: DataFrame, revisions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -78,5 +87,91 @@ def replace_run(index: DataFrame, new: DataFrame, run: str = "run_id") -> DataFr
 
 def canonical(sources: DataFrame) -> DataFrame:
     """The canonical source of each (user_id, topic_id, url): active first, then the oldest, then the smallest id."""
-    w = Window.partitionBy("user_id", "topic_id", "url").orderBy(F.when(F.col("state") == "active", 0).otherwise(1), "created_at", "source_id")
-    return sources.withColumn("canonical_id", F.first("source_id").over(w)).withColumn("duplicate", F.col("canonical_id") != F.col("source_id"))
+    key = ["user_id", "topic_id", "url"]
+    first = F.min_by("source_id", F.struct(F.when(F.col("state") == "active", 0).otherwise(1), "created_at", "source_id"))
+    return sources.join(sources.groupBy(*key).agg(first.alias("canonical_id")), key).withColumn("duplicate", F.col("canonical_id") != F.col("source_id"))
+
+
+#: What a command on a run needs (status, checkpoint; null: any) and makes of it.
+RUN_COMMANDS = [
+    ("publish", "publishing", "publishing", "published", 100), ("cancel", "queued", None, "cancel_requested", None), ("cancel", "running", None, "cancel_requested", None),
+    ("cancel", "validating", None, "cancel_requested", None), ("cancel", "publishing", None, "cancel_requested", None), ("compensate", "cancel_requested", None, "compensating", None),
+    ("finish_cancel", "compensating", None, "cancelled", None), ("fail_cancel", "compensating", None, "compensation_failed", None),
+]
+
+
+def transition(commands: DataFrame, runs: DataFrame) -> DataFrame:
+    """Compare-and-set of commands (command_id, run_id, command, expected_version) on runs (run_id, status, checkpoint, progress, version)."""
+    table = commands.sparkSession.createDataFrame(RUN_COMMANDS, "command string, status string, needs string, next string, done int")
+    found = commands.join(runs, "run_id", "left").join(F.broadcast(table), ["command", "status"], "left")
+    fits = F.col("next").isNotNull() & (F.col("needs").isNull() | (F.col("needs") == F.col("checkpoint")))
+    outcome = F.when(F.col("version").isNull(), "not_found").when(F.col("version") != F.col("expected_version"), "conflict").when(fits, "applied").otherwise("invalid")
+    done = F.col("outcome") == "applied"
+    return found.withColumn("outcome", outcome).select(
+        "command_id", "run_id", "command", "outcome", F.when(done, F.col("next")).otherwise(F.col("status")).alias("status"),
+        F.when(done, F.coalesce("done", "progress")).otherwise(F.col("progress")).alias("progress"), (F.col("version") + F.when(done, 1).otherwise(0)).alias("version"),
+    )
+
+
+def retry(runs: DataFrame) -> DataFrame:
+    """New runs for those that ended without a result (run_id, status, request_key): queued, under a key of their own."""
+    ended = runs.filter(F.col("status").isin("failed", "cancelled", "compensation_failed"))
+    return ended.select(F.concat("run_id", F.lit("-retry")).alias("run_id"), F.col("run_id").alias("retry_of"), F.lit("queued").alias("status"), F.concat("request_key", F.lit(":retry")).alias("request_key"), F.lit(1).cast("long").alias("version"))
+
+
+def hold(jobs: DataFrame, worker: Column, now: Column, action: str, lease_seconds: int = 120) -> DataFrame:
+    """Jobs (status, worker_id, leased_until) after their worker renews, releases or completes them; accepted says whether it might.
+
+    Only the owner of an unexpired lease may.
+    """
+    accepted = (F.col("status") == "running") & (F.col("worker_id") == worker) & (F.col("leased_until") >= now)
+    status = {"renew": "running", "release": "queued", "complete": "completed"}[action]
+    lease = now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds).cast("decimal(18,6)")) if action == "renew" else F.lit(None).cast("timestamp_ntz")
+    marked = jobs.withColumn("accepted", F.coalesce(accepted, F.lit(False)))
+    own = F.col("accepted")
+    out = marked.withColumn("leased_until", F.when(own, lease).otherwise(F.col("leased_until"))).withColumn("status", F.when(own, status).otherwise(F.col("status")))
+    return out if action == "renew" else out.withColumn("worker_id", F.when(~own, F.col("worker_id")))
+
+
+def purge_due(sources: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Trashed sources (state, trashed_at) whose time is over, as purging."""
+    return sources.filter((F.col("state") == "trashed") & (F.timestamp_diff("DAY", F.col("trashed_at"), now) >= days)).withColumn("state", F.lit("purging"))
+
+
+def cancel_runs_of(trashed: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs (source_id, status, version): those of trashed sources that are under way are to be cancelled."""
+    gone = trashed.select("source_id").distinct().withColumn("_gone", F.lit(True))
+    found = runs.join(gone, "source_id", "left")
+    hit = F.col("_gone").isNotNull() & F.col("status").isin("queued", "running", "validating", "publishing")
+    return found.withColumn("version", F.col("version") + F.when(hit, 1).otherwise(0)).withColumn("status", F.when(hit, "cancel_requested").otherwise(F.col("status"))).drop("_gone")
+
+
+def import_outcomes(requests: DataFrame) -> DataFrame:
+    """Outcome of import requests (request_key, request_hash, user_id, content_hash, url, at, seq).
+
+    The first request of a key imports, unless the user has the content or the URL from an earlier request: then it
+    repeats that one. Later ones with the key replay it, or conflict if they ask for something else.
+    """
+    own = requests.groupBy("request_key").agg(F.min(F.struct("at", "seq", "request_hash")).alias("first"))
+    firsts = requests.join(own, "request_key").filter(F.col("seq") == F.col("first.seq"))
+    by_content = firsts.groupBy("user_id", "content_hash").agg(F.min(F.struct("at", "seq")).alias("c"))
+    by_url = firsts.filter("url is not null").groupBy("user_id", "url").agg(F.min(F.struct("at", "seq")).alias("u"))
+    known = requests.join(own, "request_key").join(by_content, ["user_id", "content_hash"], "left").join(by_url, ["user_id", "url"], "left")
+    earlier = F.least(F.col("c"), F.coalesce("u", "c"))
+    outcome = (
+        F.when((F.col("seq") != F.col("first.seq")) & (F.col("request_hash") != F.col("first.request_hash")), "conflict").when(F.col("seq") != F.col("first.seq"), "replay")
+        .when(earlier["seq"] < F.col("seq"), "repeated").otherwise("created")
+    )
+    return known.select("seq", "request_key", outcome.alias("outcome"))
+
+
+def rebuild_run(index: DataFrame, chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
+    """The dense index (id, run_id, vector) with one run's vectors replaced, once they are known to fit its chunks (id, run_id)."""
+    both = chunks.select("id", "run_id", F.lit(1).alias("c")).join(vectors.select("id", "vector"), "id", "full_outer")
+    bad = both.agg(
+        F.count(F.when(F.col("c").isNull() | F.col("vector").isNull(), 1)).alias("unmatched"), F.count(F.when(F.size("vector") != dimension, 1)).alias("misfit"),
+        F.count_distinct("run_id").alias("runs"), (F.count("id") - F.count_distinct("id")).alias("repeated"),
+    ).first()
+    if bad["unmatched"] or bad["misfit"] or bad["repeated"] or bad["runs"] > 1:
+        raise ValueError(f"vectors don't fit the run's chunks: {bad.asDict()}")
+    return replace_run(index, both.select("id", "run_id", "vector"))

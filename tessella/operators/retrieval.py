@@ -93,3 +93,25 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, chunks: DataFrame, paren
     evidence = F.array_sort(F.collect_list(F.struct("place", "id", "rrf", "dense_rank", "sparse_rank"))).alias("evidence")
     top = kept.groupBy("parent_chunk_id").agg(F.max("rrf").alias("score"), evidence).orderBy(F.desc("score"), "parent_chunk_id").limit(parent_limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "parent_chunk_id")))
+
+
+def hydrate(top: DataFrame, parents: DataFrame, scope: DataFrame, dense_version: str, sparse_version: str) -> DataFrame:
+    """Fused parents (rank, parent_chunk_id, score) with their text, if their run is still in scope under both index versions.
+
+    parents: (id, run_id, text); scope: (run_id, dense_version, sparse_version). The fused list is bounded by its limit.
+    """
+    valid = scope.filter((F.col("dense_version") == dense_version) & (F.col("sparse_version") == sparse_version)).select("run_id")
+    found = parents.join(F.broadcast(top), parents["id"] == top["parent_chunk_id"]).drop("id")
+    return found.join(valid, "run_id", "left_semi")
+
+
+def quality(hits: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """One row of retrieval quality over queries (query_id): how many have a relevant hit among the k best, the mean
+    reciprocal rank, and how many have no hit. hits: (query_id, id, rank); relevant: (query_id, id)."""
+    best = hits.join(relevant.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    some = hits.select("query_id").distinct().withColumn("some", F.lit(1))
+    each = queries.select("query_id").distinct().join(best, "query_id", "left").join(some, "query_id", "left")
+    return each.agg(
+        F.count(F.lit(1)).alias("n_queries"), F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"),
+        F.avg(F.when(F.col("some").isNull(), 1.0).otherwise(0.0)).alias("no_result_rate"),
+    )

@@ -1,7 +1,8 @@
 """DuckDB SQL for the registered queries."""
 
 from tessella.functions.text import CHUNK_RE, SEARCH_RE
-from tessella.plans.queries import QUERY
+from tessella.plans import more_queries
+from tessella.plans.queries import QUERY, SOURCE_NAMES
 
 _S = "(SELECT doc_id, 'run-' || doc_id AS run_id, source AS topic_id, CASE WHEN doc_id % 7 <> 0 THEN 'user-1' ELSE 'user-2' END AS user_id, CASE WHEN doc_id % 10 = 9 THEN 'archived' ELSE 'active' END AS state, CASE WHEN doc_id % 13 = 12 THEN 'failed' ELSE 'published' END AS status, text FROM documents)"
 _SCOPE = f"(SELECT * FROM {_S} WHERE topic_id = 'src1' AND user_id = 'user-1' AND state = 'active' AND status = 'published')"
@@ -45,7 +46,7 @@ _IDS = "(SELECT CAST(doc_id AS VARCHAR) AS id, text FROM {})"
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 _NORMAL = f"""(SELECT page_id, url AS raw, lower(regexp_extract(url, '{_URL}', 1)) || '://' || lower(regexp_extract(url, '{_URL}', 3)) || CASE WHEN regexp_extract(url, '{_URL}', 5) = '' THEN '/' ELSE regexp_extract(url, '{_URL}', 5) END
   || CASE WHEN regexp_extract(url, '{_URL}', 6) = '' THEN '' ELSE '?' || regexp_extract(url, '{_URL}', 6) END AS url, lower(regexp_extract(url, '{_URL}', 3)) AS host FROM pages)"""
-_UUID = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('knowledge:web-source:topic-1:' || url))"
+_UUID = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('{SOURCE_NAMES}:topic-1:' || url))"
 
 ORACLES: dict[str, str] = {
     "tokenize_search": f"SELECT doc_id, CAST(len({_TERMS}) AS BIGINT) AS n_tokens, sha256(array_to_string({_TERMS}, ' ')) AS digest FROM documents",
@@ -93,3 +94,4 @@ SELECT command, outcome, CASE WHEN outcome = 'applied' THEN next ELSE was END AS
     "canonical_sources": f"SELECT lpad(CAST(page_id AS VARCHAR), 8, '0') AS source_id, first_value(lpad(CAST(page_id AS VARCHAR), 8, '0')) OVER w AS canonical_id, first_value(lpad(CAST(page_id AS VARCHAR), 8, '0')) OVER w <> lpad(CAST(page_id AS VARCHAR), 8, '0') AS duplicate FROM {_NORMAL} WINDOW w AS (PARTITION BY host ORDER BY CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END, page_id % 5, page_id)",
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+ORACLES |= more_queries.oracles(_bm25)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from tessella.streaming import jobs as J
 
 NOW = "2024-02-01 00:00:00"
 QUERY = "the and of idiot"
+#: What names of web sources begin with before they become UUIDs.
+SOURCE_NAMES = "library:web-source"
 
 
 def _now():
@@ -62,11 +65,11 @@ def content_dedupe(spark, sf_dir):
 
 def request_idempotency(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), F.sha2("props", 256).alias("hash"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
-    return K.reserve(e).select(F.col("seq").alias("event_id"), "key", "outcome")
+    return K.reserve(e, None).select(F.col("seq").alias("event_id"), "key", "outcome")
 
 
 def source_identity_uuid5(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.uuid5(F.concat(F.lit("knowledge:web-source:topic-1:"), T.normal_url(F.col("url")))).alias("candidate_id"))
+    return table(spark, sf_dir, "pages").select("page_id", T.uuid5(F.concat(F.lit(f"{SOURCE_NAMES}:topic-1:"), T.normal_url(F.col("url")))).alias("candidate_id"))
 
 
 def url_normalise(spark, sf_dir):
@@ -149,7 +152,7 @@ def dense_scoped_topk(spark, sf_dir):
 
 def hybrid_retrieval(spark, sf_dir):
     docs = in_scope(spark, sf_dir)
-    found = C.children(C.parents(blocks(docs)))
+    found = C.children(C.parents(blocks(docs))).persist()  # used three times; Spark drops it when memory is short
     sparse = R.bm25(found.select("id", "text"), _query(spark)).select("id", "rank")
     first = found.filter((F.col("ordinal") == 0)).select("id", F.regexp_extract("ingestion_run_id", "[0-9]+", 0).cast("long").alias("vec_id"), "parent_chunk_id")
     first = first.groupBy("vec_id").agg(F.min("id").alias("id"))
@@ -264,15 +267,32 @@ def event_windows(spark, sf_dir):
 
 
 def mastery_projection(spark, sf_dir):
-    """Bayesian knowledge tracing over each user's ordered outcomes (medium difficulty), clamped to [0.05, 0.98]."""
-    e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')").select("user_id", F.struct("ts", "event_id", (F.col("event_type") == "purchase").alias("ok")).alias("e"))
-    guess, slip, learn = 0.20, 0.15, 0.10
+    """Bayesian tracing of mastery over each user's ordered outcomes (medium difficulty), clamped to [0.05, 0.98].
 
-    def step(p, x):
-        known = F.when(x["ok"], p * (1 - slip) / (p * (1 - slip) + (1 - p) * guess)).otherwise(p * slip / (p * slip + (1 - p) * (1 - guess)))
-        return F.least(F.lit(0.98), F.greatest(F.lit(0.05), known + (1 - known) * learn))
+    A user's events come sorted to one task, which keeps a number a user, never a list of events.
+    """
+    e = table(spark, sf_dir, "events").filter("event_type in ('purchase', 'error')").select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("ok"))
+    guess, slip, learn = 0.20, 0.15, 0.10
 
-    return e.groupBy("user_id").agg(F.round(F.aggregate(F.array_sort(F.collect_list("e")), F.lit(0.20), step), 9).alias("mastery"), F.count(F.lit(1)).alias("n"))
+    def fold(batches):
+        user, p, n = None, 0.20, 0
+        for batch in batches:
+            out = []
+            for u, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if u != user:
+                    if n:
+                        out.append((user, round(p, 9), n))
+                    user, p, n = u, 0.20, 0
+                known = p * (1 - slip) / (p * (1 - slip) + (1 - p) * guess) if ok else p * slip / (p * slip + (1 - p) * (1 - guess))
+                p, n = min(0.98, max(0.05, known + (1 - known) * learn)), n + 1
+            yield _rows(out)
+        if n:
+            yield _rows([(user, round(p, 9), n)])
+
+    def _rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.float64(), pa.int64()))], ["user_id", "mastery", "n"])
+
+    return e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select(F.col("user_id").cast("long"), "ok").mapInArrow(fold, "user_id long, mastery double, n long")
 
 
 QUERIES = {f.__name__: f for f in (

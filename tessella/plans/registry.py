@@ -1,6 +1,8 @@
 """All registered queries and the SQL that checks them."""
 
+from tessella.plans import more_queries, queries
 from tessella.plans.oracles import ORACLES
-from tessella.plans.queries import QUERIES
+
+QUERIES = {**queries.QUERIES, **more_queries.QUERIES}
 
 __all__ = ["ORACLES", "QUERIES"]

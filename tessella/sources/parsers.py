@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = "run_id string, title string, block_no int, page_number int, kind string, text string, title_path array<string>"
-IGNORED = {"script", "style", "noscript", "template", "svg"}
-CAPTURED = {"p": "paragraph", "li": "list_item", "blockquote": "paragraph", "pre": "code"} | {f"h{n}": "heading" for n in range(1, 7)}
+#: Elements without readable text, and what kind of block an element makes.
+HIDDEN = "script|style|noscript|template|svg"
+KINDS = {"p": "paragraph", "li": "list_item", "blockquote": "paragraph", "pre": "code"} | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading")
+#: A comment or declaration, a hidden element with all it holds, or a tag with its closing slash and name.
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({HIDDEN})\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][a-z0-9]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -40,60 +45,55 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return found.select("run_id", "block_no", F.lit(1).alias("page_number"), "b.kind", "b.text", "b.title_path")
 
 
-class _Blocks(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str, list[str]]] = []
-        self.path: list[str] = []
-        self.title: list[str] = []
-        self.ignored, self.in_title, self.tag, self.parts = 0, False, "", []
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in IGNORED:
-            self.ignored += 1
-        elif not self.ignored:
-            if tag == "title":
-                self.in_title = True
-            elif tag in CAPTURED and not self.tag:
-                self.tag, self.parts = tag, []
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in IGNORED:
-            self.ignored = max(0, self.ignored - 1)
-        elif not self.ignored:
-            if tag == "title":
-                self.in_title = False
-            elif tag == self.tag:
-                text = " ".join(" ".join(self.parts).split())
-                if text:
-                    if tag[0] == "h" and tag != "hr":
-                        self.path = [*self.path[: int(tag[1]) - 1], text]
-                    self.blocks.append((CAPTURED[tag], text, self.path))
-                self.tag = ""
-
-    def handle_data(self, data: str) -> None:
-        if not self.ignored:
-            if self.in_title:
-                self.title.append(data)
-            if self.tag:
-                self.parts.append(data)
+def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
+    """The page as (text before a tag, tag name, whether it closes); the last piece has no tag."""
+    at = 0
+    for m in MARKUP.finditer(page):
+        yield html.unescape(page[at : m.start()]), (m[3] or "").lower(), bool(m[2])
+        at = m.end()
+    yield html.unescape(page[at:]), "", False
+
+
+def page_blocks(page: str) -> tuple[str | None, list[tuple[str, str, list[str]]]]:
+    """The title and the blocks (kind, text, heading path) of a page.
+
+    A block is what stands between the outermost opening tag of a kind of block and its closing tag, white space
+    squeezed, with a space between pieces that tags part. What follows the last such tag unclosed makes no block.
+    """
+    title: list[str] = []
+    held: dict[str, list[str]] = {}  # the one open block's tag and its texts
+    in_title, path, found = False, [], []
+    for text, tag, closing in pieces(page):
+        if in_title:
+            title.append(text)
+        for texts in held.values():
+            texts.append(text)
+        if tag == "title":
+            in_title = not closing
+        elif closing and tag in held:
+            if whole := " ".join(" ".join(held.pop(tag)).split()):
+                if KINDS[tag] == "heading":
+                    path = [*path[: int(tag[1]) - 1], whole]
+                found.append((KINDS[tag], whole, path))
+        elif not closing and tag in KINDS and not held:
+            held[tag] = []
+    return " ".join(" ".join(title).split()) or None, found
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Readable blocks of pages (run_id, html); a page without blocks has one row with a null block."""
+    names = ["run_id", "title", "block_no", "page_number", "kind", "text", "title_path"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for run_id, html in zip(frame["run_id"], frame["html"]):
-                p = _Blocks()
-                p.feed(html or "")
-                p.close()
-                title = " ".join(" ".join(p.title).split()) or None
-                rows += [(run_id, title, k, 1, *b) for k, b in enumerate(p.blocks)] or [(run_id, title, None, None, None, None, None)]
-            yield pd.DataFrame(rows, columns=["run_id", "title", "block_no", "page_number", "kind", "text", "title_path"])
+            for run_id, page in zip(*(c.to_pylist() for c in batch.columns)):
+                title, blocks = page_blocks(page or "")
+                rows += [(run_id, title, k, 1, *b) for k, b in enumerate(blocks)] or [(run_id, title, None, None, None, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return pages.select("run_id", "html").mapInPandas(parse, BLOCKS)
+    return pages.select("run_id", "html").mapInArrow(parse, BLOCKS)
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
@@ -130,5 +130,11 @@ def content_error(text: Column, most_bytes: int = 1_000_000) -> Column:
     return F.when(F.btrim(text) == "", "empty").when(F.octet_length(text) > most_bytes, "too_large")
 
 
+def title_or_default(title: Column, most: int = 512) -> Column:
+    """A title without white space around it, cut off at the most characters; a default if nothing is left."""
+    bare = F.substring(F.regexp_replace(title, r"(?U)^\s+|\s+$", ""), 1, most)
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit("Untitled source"))
+
+
 def safe_name(value: Column, pattern: str) -> Column:
     return value.rlike(pattern)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from tessella.functions.text import RUN_ID_RE
 
 
 def write_runs(df: DataFrame, path: str, run: str = "run_id") -> None:
-    """Replace the partitions of the runs in df; other runs stay."""
+    """Replace the partitions of the runs in df; other runs stay. Tasks are dealt by size: a big run has several files."""
     bad = df.filter(~F.coalesce(F.col(run).rlike(RUN_ID_RE), F.lit(False))).select(run).limit(1).collect()
     if bad:
         raise ValueError(f"unsafe run id: {bad[0][0]!r}")
-    df.repartition(run).sortWithinPartitions(run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+    df.hint("rebalance", run).sortWithinPartitions(run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str, runs: list[str] | None = None, run: str = "run_id") -> DataFrame:
@@ -34,7 +36,9 @@ def append_new(df: DataFrame, path: str, key: str, spark: SparkSession) -> None:
 
 
 def drop_run(spark: SparkSession, path: str, run_id: str, run: str = "run_id") -> None:
-    """Remove a run's partition."""
+    """Remove a run's partition; the id must be a safe one."""
+    if not re.fullmatch(RUN_ID_RE, run_id):
+        raise ValueError(f"unsafe run id: {run_id!r}")
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/{run}={run_id}")
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
