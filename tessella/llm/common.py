@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as Python objects at a time.
 SLICE_BYTES = 1 << 20
-#: Where checkpoints go if the session names no folder (tests, local mode).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +23,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir of the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
+
+    In local mode, where driver and executors are one process, it is set here if it isn't.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,6 +65,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     Python workers outlive their tasks: what make() holds goes when the task ends, and its memory to the system.
     """
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -69,6 +78,13 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def short_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches have at most so many rows: rows of texts are long, and a task holds a batch on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def release() -> None:
     """Give freed memory of this Python worker back to the system."""
     gc.collect()

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, map_texts, ranked, read, text_or_empty
 
 #: Chunks that a task keeps with their ids, and the longest one kept.
-CACHE_CHUNKS, LONGEST_KEPT = 300_000, 48
+CACHE_CHUNKS, LONGEST_KEPT = 400_000, 32
+#: New chunks that the library encodes at a time: it takes much memory for each token.
+TOGETHER = 8000
 #: Bytes of text that are encoded at a time: each distinct chunk of them is looked up once.
 SLICE = 2 << 20
 #: A space that something else than one word's character may follow (more than the vocabulary's white space).
@@ -79,8 +81,8 @@ class IdBytes:
             kept = {c: known[c] for c in chunks if c in known}  # what these texts use is likely to come again
             known.clear()
             known.update(kept)
-        if new:
-            known.update(self.fresh(new))
+        for k in range(0, len(new), TOGETHER):
+            known.update(self.fresh(new[k : k + TOGETHER]))
         out = [*map(known.__getitem__, chunks)]
         for c in new:
             if len(c) > LONGEST_KEPT:
