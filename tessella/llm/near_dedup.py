@@ -4,7 +4,8 @@ A document is its set of word shingles. Documents of equal sets are one class, j
 `BANDS` x `ROWS` MinHash samples: bands of equal samples make candidate pairs, and all samples are folded into
 a parity bitmap (odd sketch); the bits set in the XOR of two bitmaps estimate how many samples differ. A bucket
 of at most `SMALL` classes makes all its pairs; a larger one first pairs each class with the bucket's pivot, its
-least class by a hash. Pairs of near enough sizes whose sketches are likely enough to be similar connect candidate
+least class by a hash. The first `EARLY` bands are paired before the others, which then pair only classes that aren't
+connected yet. Pairs of near enough sizes whose sketches are likely enough to be similar connect candidate
 clusters. A larger bucket that still holds more than one cluster then compares the sketches of all its pairs across
 clusters, block against block, and what it joins is one cluster. Inside a cluster links are decided exactly on full
 sets, block against block, with no pair written but those that join two parts of the cluster.
@@ -14,7 +15,9 @@ At similarity 0.8 a pair misses all 40 bands of 5 samples with probability 1.3e-
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. A text with fewer words
 than a shingle is one shingle. A null doc_id is left out of the table of links and returned as a component of
-its own; rows that repeat a doc_id share its component if their sets are linked and get the smallest otherwise.
+its own; rows that repeat a doc_id share its component if their sets are linked and get the smallest otherwise. A long text
+is one set like any other. An empty table has no rows. Of docs only doc_id and text are read; other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ LOOSE = 0.62
 #: Odd bits of two sketches above which a pair isn't compared exactly. Of k samples k * (1 - J) differ and toggle
 #: two bits each; n * (1 - exp(-2 d / n)) / 2 bits are then odd.
 MOST_ODD = int(SKETCH_BITS * (1 - np.exp(-4 * SAMPLES * (1 - LOOSE) / SKETCH_BITS)) / 2)
+#: Bands whose pairs are made first.
+EARLY = 8
 #: Classes of a cluster that are compared in one task with as many others.
 BLOCK = 1024
 #: Sketches of a bucket that are compared in one task with as many others.
@@ -123,14 +128,14 @@ def likely(a: str, b: str) -> F.Column:
 
 
 def first_edges(shared: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct likely pairs (a, b) of class ids: all those of small buckets, those with the pivot of larger ones.
+    """Distinct likely pairs (a, b) of class ids across labels: all of small buckets, those with the pivot of larger ones.
 
-    shared: (key, id, n, h), the buckets of n > 1 classes; h is the least hash of an id.
+    shared: (key, id, n, h, label), the buckets of n > 1 classes; h is the least hash of an id.
     """
-    pivots = shared.filter((F.col("n") > SMALL) & (F.xxhash64("id") == F.col("h"))).select("key", F.col("id").alias("p"))
-    large = shared.filter(F.col("n") > SMALL).join(pivots, "key").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    few = shared.filter(F.col("n") <= SMALL).select("key", "id")
-    small = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key")
+    pivots = shared.filter((F.col("n") > SMALL) & (F.xxhash64("id") == F.col("h"))).select("key", F.col("id").alias("p"), F.col("label").alias("other"))
+    large = shared.filter(F.col("n") > SMALL).join(pivots, "key").filter("label <> other").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    few = shared.filter(F.col("n") <= SMALL)
+    small = few.select("key", F.col("id").alias("a"), F.col("label").alias("l")).join(few.select("key", F.col("id").alias("b"), F.col("label").alias("m")), "key").filter("l <> m")
     pairs = large.union(small.select("a", "b")).filter("a < b").distinct()
     one = classes.select(F.col("id").alias("a"), F.col("odd").alias("x"), F.col("n_shingles").alias("n"))
     other = classes.select(F.col("id").alias("b"), F.col("odd").alias("y"), F.col("n_shingles").alias("m"))
@@ -184,10 +189,14 @@ def rest_edges(shared: DataFrame, classes: DataFrame, clusters: DataFrame, per_c
 
 def candidate_clusters(classes: DataFrame, per_cent: int) -> DataFrame:
     """(id, component) of the classes that likely pairs within buckets connect with others."""
-    bands = classes.select("id", F.explode("bands").alias("key"))
+    bands = classes.select("id", F.posexplode("bands").alias("band", "key"))
     stats = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("id")).alias("h")).filter("n > 1")
     shared = cut(bands.join(stats, "key"))
-    first = components(first_edges(shared, classes, per_cent))
+    # the first bands connect most of a group of near copies; the others then pair only what isn't connected yet
+    early = components(first_edges(shared.filter(F.col("band") < EARLY).withColumn("label", F.col("id")), classes, per_cent))
+    labelled = shared.join(early, "id", "left").select("key", "id", "n", "h", F.coalesce("component", "id").alias("label"))
+    later = first_edges(labelled, classes, per_cent)
+    first = components(early.select(F.col("component").alias("a"), F.col("id").alias("b")).union(later))
     rest = cut(rest_edges(shared, classes, first, per_cent))
     if rest.isEmpty():
         return first
