@@ -12,7 +12,9 @@ no task holds more than two blocks. A group returns each query's k best; the bes
 Vectors that are null, or hold null or non-finite components, take no part; so do vectors whose length
 differs from the query's, or whose scaled components pass 2**62. A repeated vec_id is a candidate once a row;
 a query repeated with other components asks with the smallest of them. A query never meets its own vec_id.
-Scores are 64-bit integers. Ties go to the smaller vec_id. A query without candidates has no row.
+Scores are 64-bit integers; one that doesn't fit is an error. Ties go to the smaller vec_id. A query without
+candidates has no row, and neither has an empty table. Of vectors only vec_id and embedding are read, and the columns
+that say which are queries; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,35 +37,41 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([np.stack([p.mean(axis=1) for p in parts], 1) * roots, np.stack([p.std(axis=1) for p in parts], 1) * roots])
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vector_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best vectors (ties to smaller ids), but for its own id."""
+def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vector_ids: np.ndarray, k: int, survivors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's k best vectors (ties to smaller ids), but for its own id.
+
+    Levels run from coarse to fine. At each the vectors of the largest bounds get their scores, which raise the
+    threshold, and the next level's bounds are computed for those alone whose bound reaches it. survivors: gets how
+    many vectors came to each level and, last, to their exact scores.
+    """
     order = np.argsort(vector_ids, kind="stable")
     vectors, vector_ids = vectors[order], vector_ids[order]
     q, v = queries.astype(np.float64), vectors.astype(np.float64)
     top = max(float(np.abs(q).max(initial=0)), 1) * max(float(np.abs(v).max(initial=0)), 1) * q.shape[1]
-    exact = top < 2**52
     levels = [(statistics(q, s), statistics(v, s)) for s in LEVELS]
-    seeds = np.argsort(-(levels[0][1] ** 2).sum(axis=1), kind="stable")[: 4 * k]
     out: tuple[list, list, list] = ([], [], [])
     for i in range(len(q)):
-        others = vector_ids != query_ids[i]
 
         def score(rows, i=i):
-            return (v[rows] @ q[i]).astype(np.int64) if exact else (vectors[rows] * queries[i]).sum(axis=1)
-
-        # a first threshold: the k-th best of vectors near the query by the finest statistics
-        a, b = levels[-1]
-        bound = b @ a[i]
-        near = np.flatnonzero(others)
-        if len(near) > 4 * k:
-            near = np.union1d(near[np.argpartition(-bound[near], 4 * k)[: 4 * k]], seeds[others[seeds]])
-        found = np.sort(score(near))
-        least = found[-k] if len(found) >= k else None
-        alive = np.flatnonzero(others)
-        if least is not None:
-            for a, b in levels:
-                limit = b[alive] @ a[i]
+            if top < 2**52:
+                return (v[rows] @ q[i]).astype(np.int64)
+            if top < 2**62:
+                return (vectors[rows] * queries[i]).sum(axis=1)
+            return (vectors[rows].astype(object) * queries[i].astype(object)).sum(axis=1).astype(np.int64)  # raises if a score has no place
+
+        alive, least = np.flatnonzero(vector_ids != query_ids[i]), None
+        for level, (a, b) in enumerate(levels):
+            if survivors is not None:
+                survivors[level] += len(alive)
+            limit = b[alive] @ a[i]
+            likely = alive[np.argpartition(-limit, 4 * k)[: 4 * k]] if len(alive) > 4 * k else alive
+            found = np.sort(score(likely))
+            if len(found) >= k and (least is None or found[-k] > least):
+                least = found[-k]
+            if least is not None:
                 alive = alive[limit * (1 + 1e-9) + 1e-9 * top + 1 >= least]
+        if survivors is not None:
+            survivors[-1] += len(alive)
         scores = score(alive)
         if least is not None:
             alive, scores = alive[scores >= least], scores[scores >= least]

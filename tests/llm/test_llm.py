@@ -73,6 +73,21 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def test_levels_of_the_search_prune():
+    """Vectors of several lengths and directions: each level leaves fewer, and what is left holds the best."""
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(20, 32)) * 10
+    vectors = np.floor((base[rng.integers(0, 20, 3000)] * rng.uniform(0.2, 3, (3000, 1)) + rng.normal(size=(3000, 32))) * 50).astype(np.int64)
+    survivors = np.zeros(len(topk_search.LEVELS) + 1, np.int64)
+    got = topk_search.best(vectors[:20], np.arange(20), vectors, np.arange(3000), 10, survivors)
+    want = [(-int(vectors[q] @ vectors[i]), i, q) for q in range(20) for i in range(3000) if i != q]
+    want = [x for q in range(20) for x in sorted(w for w in want if w[2] == q)[:10]]
+    assert [*zip(*(x.tolist() for x in got))] == [(q, i, -s) for s, i, q in want]
+    assert all(a > b for a, b in zip(survivors, survivors[1:])) and survivors[-1] < survivors[0] / 3
+    big = np.array([[2**31, 1], [2**31 - 1, 3], [-(2**31), 5]])
+    assert topk_search.best(big[:1], np.array([0]), big, np.arange(3), 2)[2].tolist() == [2**31 * (2**31 - 1) + 3, -(2**62) + 5]
+
+
 def test_fingerprints(spark):
     texts = ["the cat sat on the mat " * 20, "the cat sat on the mat " * 20, None, "", "dogs run far away " * 30]
     rows = {r.doc_id: r for r in compare_with_next(docs(spark, texts)).collect()}
