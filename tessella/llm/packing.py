@@ -6,7 +6,8 @@ fullest sequences that still have room, whole runs of equal sequences at a time.
 runs; a piece takes its slot by joining on its length and its rank among the pieces of that length.
 
 Nulls are empty texts, which are one end-of-text token. Repeated rows are packed as often as they come; rows
-that agree in doc_id and piece take slots in an arbitrary order.
+that agree in doc_id and piece take slots in an arbitrary order. An empty table has no rows. A long text is encoded
+whole and cut into pieces. Of documents only doc_id and text are read; other columns may have any names.
 """
 
 from __future__ import annotations

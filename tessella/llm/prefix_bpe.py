@@ -5,7 +5,9 @@ last token of the encoding of the prefix that it stands for: the one token that
 last token of the prefix before it. A shared prefix is so encoded once, and a word's tokens are read back
 along its path. Words found are kept in a bounded cache for later slices of the task.
 
-Nulls are empty texts; an empty text has no token. doc_id may be null or repeat: each row is encoded alone.
+Nulls are empty texts; an empty text has no token. doc_id may be null or repeat: each row is encoded alone. An empty
+table has no rows. A long text is encoded whole, in one slice of its own. Of documents only doc_id and text are read;
+other columns may have any names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ cuts there. Rows find their shard from the cuts alone. A group is atomic: one th
 share has a shard of its own, larger than the others, which share the rest evenly.
 
 Nulls count as empty texts. A row with a null doc_id is placed like any other. Rows that agree in doc_id and
-text take neighbouring slots in an arbitrary order. An empty table gives no row.
+text take neighbouring slots in an arbitrary order. An empty table gives no row. A long text is a group like any
+other. Of documents only doc_id and text are read; other columns may have any names.
 """
 
 from __future__ import annotations

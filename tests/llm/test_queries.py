@@ -194,3 +194,44 @@ def test_pipeline(spark, texts):
     whole = corpus_pipeline.run(spark, SF_DIR)
     facts = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(facts).collect())) == sorted(map(tuple, packed.select(facts).collect()))
+
+
+EMPTY = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}
+ODD = {
+    "documents": ([(None, None, 1, "x"), (None, "a b", 2, "y"), (3, "", 3, None), (3, "", 3, None), (4, "a b " * 30, 4, "z"), (5, "a b " * 30, 5, "z"), (6, "mail q@r.ss now " * 2000, 6, "z")], "doc_id long, text string, n_words int, spans string"),
+    "embeddings": ([(None, [1.0], "x"), (0, None, "y"), (100, [1.0, None], None), (200, [2.0, 1.0], "z"), (200, [2.0, 1.0], "z"), (1, [1.0, 1.0], "z"), (2, [1.0, 1.0], "z")], "vec_id long, embedding array<float>, score string"),
+    "pages": ([(None, None, None, 1), (2, "u", "<p>" + "the people of the village were glad " * 3000, 2)], "page_id long, url string, html string, text int"),
+    "labels": ([(None, 1, 1), (4, None, 2), (5, 1, 3)], "doc_id long, toxic int, score int"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, tmp_path, name):
+    for table, schema in EMPTY.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_nulls_ties_repeated_rows_and_clashing_columns(spark, tmp_path, name):
+    for table, (rows, schema) in ODD.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    found = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "op4_topk":
+        assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == {(200, 1, 1, 3 * 1024**2), (200, 2, 2, 3 * 1024**2)}
+    elif name == "op8_html":
+        assert sorted(r.n_chars for r in found) == [0, len(("the people of the village were glad " * 3000).strip())]
+    else:
+        assert len(found) >= 7 and len({r.doc_id for r in found}) == 5
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_and_odd_tables(spark, tmp_path, stage):
+    rows, schema = ODD["documents"]
+    odd = spark.createDataFrame([(i, t, a, b, 1, 2) for i, t, a, b in rows], schema + ", toxic int, _id int")
+    spark.createDataFrame(ODD["labels"][0], ODD["labels"][1]).write.parquet(f"{tmp_path}/labels.parquet")
+    f = dict(corpus_pipeline.STAGES)[stage]
+    out = f(spark, odd, str(tmp_path))
+    assert stage == "packing" or out.columns == odd.columns
+    assert {r.doc_id for r in out.select("doc_id").collect()} >= {None, 3, 4, 6}
+    assert f(spark, odd.limit(0), str(tmp_path)).count() == 0
