@@ -196,11 +196,12 @@ def test_pipeline(spark, texts):
     assert sorted(map(tuple, whole.select(facts).collect())) == sorted(map(tuple, packed.select(facts).collect()))
 
 
-EMPTY = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}
+EMPTY = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int", "conversations": "conv_id long, turn long, role string, text string"}
 ODD = {
     "documents": ([(None, None, 1, "x"), (None, "a b", 2, "y"), (3, "", 3, None), (3, "", 3, None), (4, "a b " * 30, 4, "z"), (5, "a b " * 30, 5, "z"), (6, "mail q@r.ss now " * 2000, 6, "z")], "doc_id long, text string, n_words int, spans string"),
     "embeddings": ([(None, [1.0], "x"), (0, None, "y"), (100, [1.0, None], None), (200, [2.0, 1.0], "z"), (200, [2.0, 1.0], "z"), (1, [1.0, 1.0], "z"), (2, [1.0, 1.0], "z")], "vec_id long, embedding array<float>, score string"),
     "pages": ([(None, None, None, 1), (2, "u", "<p>" + "the people of the village were glad " * 3000, 2)], "page_id long, url string, html string, text int"),
+    "conversations": ([(None, 0, "user", None, 1), (1, None, None, "x", 1), (1, 0, "assistant", "y" * 100_000, 1), (1, 0, "assistant", "y" * 100_000, 1), (2, 5, "user", "", 1)], "conv_id long, turn long, role string, text string, segments int"),
     "labels": ([(None, 1, 1), (4, None, 2), (5, 1, 3)], "doc_id long, toxic int, score int"),
 }
 
@@ -209,7 +210,7 @@ ODD = {
 def test_empty_tables(spark, tmp_path, name):
     for table, schema in EMPTY.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == (name == "op13_chat_format")  # its own conversation
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -221,6 +222,12 @@ def test_nulls_ties_repeated_rows_and_clashing_columns(spark, tmp_path, name):
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == {(200, 1, 1, 3 * 1024**2), (200, 2, 2, 3 * 1024**2)}
     elif name == "op8_html":
         assert sorted(r.n_chars for r in found) == [0, len(("the people of the village were glad " * 3000).strip())]
+    elif name == "op11_collocations":
+        assert found and {r.lang for r in found} == {"und"}
+    elif name == "op12_vector_codes":
+        assert Counter((r.vec_id, r.error is None) for r in found) == Counter([(None, True), (1, False), (2, False), (200, False), (200, False)])
+    elif name == "op13_chat_format":
+        assert {r.conv_id: (r.n_turns, r.loss_chars) for r in found} == {None: (1, 0), 1: (3, 200_000), 2: (1, 0), -1: (2, 34)}
     else:
         assert len(found) >= 7 and len({r.doc_id for r in found}) == 5
 
