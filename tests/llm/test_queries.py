@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_base, brute_components, brute_facts, brute_windows, jaccard
 
 import corpus_pipeline
@@ -215,8 +216,9 @@ def test_empty_tables(spark, tmp_path, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_nulls_ties_repeated_rows_and_clashing_columns(spark, tmp_path, name):
+    more = {"documents": F.lit(None).cast("string").alias("lang"), "embeddings": F.lit(None).cast("int").alias("label")}
     for table, (rows, schema) in ODD.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+        spark.createDataFrame(rows, schema).select("*", *([more[table]] if table in more else [])).write.parquet(f"{tmp_path}/{table}.parquet")
     found = queries.QUERIES[name](spark, str(tmp_path)).collect()
     if name == "op4_topk":
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in found} == {(200, 1, 1, 3 * 1024**2), (200, 2, 2, 3 * 1024**2)}
