@@ -244,3 +244,21 @@ def test_stages_take_empty_and_odd_tables(spark, tmp_path, stage):
     assert stage == "packing" or out.columns == odd.columns
     assert {r.doc_id for r in out.select("doc_id").collect()} >= {None, 3, 4, 6}
     assert f(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
+NOTED = [
+    ([(3, "A"), (5, "A"), (5, "B")], [(3, "A"), (5, "B")]),
+    ([(5, "B"), (5, "A"), (3, "A"), (3, "A"), (4, "B")], [(3, "A"), (4, "B")]),
+    ([(None, "N"), (None, "N")], [(None, "N"), (None, "N")]),
+    ([(None, "N"), (None, "N"), (7, "N"), (7, "N")], [(None, "N"), (None, "N"), (7, "N")]),
+    ([(1, None), (1, ""), (2, None)], [(1, None), (1, ""), (2, None)]),
+]
+
+
+@pytest.mark.parametrize("rows, want", NOTED)
+def test_near_dedup_stage_judges_documents_that_share_an_id_one_by_one(spark, rows, want):
+    words = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "ABN"} | {None: None, "": ""}
+    docs = spark.createDataFrame([(i, words[t], "x") for i, t in rows], "doc_id long, text string, component_id string")
+    out = corpus_pipeline.near_dedup(spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, words[t]) for i, t in want)
