@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The least mastery, and factors of the half-life after a success or a failure by difficulty.
 FLOOR = 0.05
-SUCCESS, FAILURE = {"easy": 1.2, "medium": 1.6, "hard": 2.0}, {"easy": 0.5, "medium": 0.6, "hard": 0.9}
+SUCCESS, FAILURE = {"easy": 1.2, "medium": 1.6, "hard": 2.0}, {"easy": 0.9, "medium": 0.6, "hard": 0.5}
 
 
 def effective_mastery(mastery: Column, days: Column, half_life: Column) -> Column:

@@ -205,8 +205,15 @@ QUERIES = {f.__name__: f for f in (
 _STATUS = "['queued', 'running', 'validating', 'publishing', 'published', 'cancel_requested', 'compensating', 'failed', 'cancelled'][doc_id % 9 + 1]"
 _RUNS = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS run_id, {_STATUS} AS status, CASE WHEN doc_id % 2 = 0 THEN 'publishing' ELSE 'embedding' END AS checkpoint, doc_id % 100 AS progress, doc_id % 3 AS version FROM documents)"
 _ACTIVE = "('queued', 'running', 'validating', 'publishing')"
-_HTML = """b AS (SELECT page_id, unnest(found) AS x, unnest(range(0, len(found))) AS block_no FROM (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<style>.*?</style>|<script>.*?</script>', '', 'g'), '(?s)<h1>.*?</h1>|<p>.*?</p>|<li>.*?</li>') AS found FROM pages)),
-t AS (SELECT page_id, block_no, x[2:3] AS tag, trim(regexp_replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '\\s+', ' ', 'g')) AS text FROM b)"""
+def _unescaped(sql: str) -> str:
+    """sql with the character references of the test pages decoded; the ampersand comes last, so that nothing is decoded twice."""
+    for name, char in (("quot", '"'), ("middot", "\u00b7"), ("copy", "\u00a9"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        sql = f"replace({sql}, '&{name};', '{char}')"
+    return sql
+
+
+_HTML = f"""b AS (SELECT page_id, unnest(found) AS x, unnest(range(0, len(found))) AS block_no FROM (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<style>.*?</style>|<script>.*?</script>', '', 'g'), '(?s)<h1>.*?</h1>|<p>.*?</p>|<li>.*?</li>') AS found FROM pages)),
+t AS (SELECT page_id, block_no, x[2:3] AS tag, trim(regexp_replace({_unescaped("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM b)"""
 _FUSED = """a AS (SELECT 'c' || doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20),
 h AS (SELECT 'c' || doc_id AS id, row_number() OVER (ORDER BY n_chars % 1000 DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20),
 fu AS (SELECT coalesce(a.id, h.id) AS id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + h.rank), 0) AS rrf FROM a FULL JOIN h ON a.id = h.id),
@@ -217,7 +224,7 @@ pa AS (SELECT parent_chunk_id, max(rrf) AS score, count(*) AS n FROM ev WHERE pl
 def oracles(bm25) -> dict[str, str]:
     quality = bm25("(SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents)", "(SELECT item_id AS query_id, text AS query FROM benchmark)", 3)
     return {
-        "html_titles": "SELECT 'page-' || page_id AS run_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&amp;', '&'), '&lt;', '<'), '\\s+', ' ', 'g')) AS title FROM pages",
+        "html_titles": "SELECT 'page-' || page_id AS run_id, trim(regexp_replace(" + _unescaped("regexp_extract(html, '<title>([^<]*)', 1)") + ", '\\s+', ' ', 'g')) AS title FROM pages",
         "html_block_texts": f"WITH {_HTML} SELECT 'page-' || page_id AS run_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS block_no, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, sha256(text) AS text_hash, CAST(count(CASE WHEN tag = 'h1' THEN 1 END) OVER (PARTITION BY page_id ORDER BY block_no) > 0 AS BIGINT) AS depth FROM t WHERE text <> ''",
         "cas_classify": f"""WITH t(command, status, needs, next, done) AS (VALUES ('publish', 'publishing', 'publishing', 'published', 100), ('cancel', 'queued', NULL, 'cancel_requested', NULL), ('cancel', 'running', NULL, 'cancel_requested', NULL), ('cancel', 'validating', NULL, 'cancel_requested', NULL), ('cancel', 'publishing', NULL, 'cancel_requested', NULL), ('compensate', 'cancel_requested', NULL, 'compensating', NULL), ('finish_cancel', 'compensating', NULL, 'cancelled', NULL), ('fail_cancel', 'compensating', NULL, 'compensation_failed', NULL)),
 e AS (SELECT event_id, ['publish', 'cancel', 'compensate', 'finish_cancel', 'fail_cancel'][CAST(floor(value) AS BIGINT) % 5 + 1] AS command, event_id % 3 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS ev FROM events),
@@ -254,5 +261,5 @@ SELECT count(*) AS n_queries, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 EN
         "etag_versions": "SELECT event_id, event_id % 5 AS version FROM events",
         "consent_filter": "SELECT event_id FROM events WHERE event_id % 5 > 0 AND user_id % 3 > 0 AND event_type IN ('text', 'click')",
         "review_schedule": """WITH e AS (SELECT event_id, event_type, ts, (event_id % 90 + 5) / 100.0::DOUBLE AS p, CAST(event_id % 30 AS DOUBLE) AS d FROM events)
-SELECT event_id, round(0.05 + (p - 0.05) * pow(2.0, -d / 7), 9) AS effective, round(greatest(0.5, least(180.0, (d + 1) * CASE WHEN event_type = 'purchase' THEN [1.2, 1.6, 2.0][event_id % 3 + 1] ELSE [0.5, 0.6, 0.9][event_id % 3 + 1] END)), 9) AS half_life, round(greatest(0.5, least(60.0, 7 * ln(p / 0.4) / ln(2.0))), 9) AS days, CAST(CAST(ts - INTERVAL 4 HOURS AS DATE) AS VARCHAR) AS day FROM e""",
+SELECT event_id, round(0.05 + (p - 0.05) * pow(2.0, -d / 7), 9) AS effective, round(greatest(0.5, least(180.0, (d + 1) * CASE WHEN event_type = 'purchase' THEN [1.2, 1.6, 2.0][event_id % 3 + 1] ELSE [0.9, 0.6, 0.5][event_id % 3 + 1] END)), 9) AS half_life, round(greatest(0.5, least(60.0, 7 * ln(p / 0.4) / ln(2.0))), 9) AS days, CAST(CAST(ts - INTERVAL 4 HOURS AS DATE) AS VARCHAR) AS day FROM e""",
     }
