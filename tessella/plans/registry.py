@@ -1,8 +1,8 @@
 """All registered queries and the SQL that checks them."""
 
-from tessella.plans import more_queries, queries
-from tessella.plans.oracles import ORACLES
+from tessella.plans import library_queries, more_queries, oracles, queries
 
-QUERIES = {**queries.QUERIES, **more_queries.QUERIES}
+QUERIES = {**queries.QUERIES, **more_queries.QUERIES, **library_queries.QUERIES}
+ORACLES = {**oracles.ORACLES, **library_queries.ORACLES}
 
 __all__ = ["ORACLES", "QUERIES"]
