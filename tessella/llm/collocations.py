@@ -23,28 +23,44 @@ are read; other columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, read, release, short_batches, slices, text_or_empty
-from tessella.llm.substring_dedup import MULTIPLIERS, Words, mixed
+from tessella.llm.common import cut, read, release, short_batches, text_or_empty
+from tessella.llm.substring_dedup import MULTIPLIERS, mixed
 
 #: The bytes that end a piece become this one, as a word of its own: no word can hold it.
 PIECE_END = b"."
 DELIMITERS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"." * 10 + b" ")
-#: Hashes that a task holds before it sends their counters; words of which a shard of texts has about as many at most.
-HELD, SHARD_WORDS = 1 << 22, 400_000
+#: Hashes that a task holds before it sends their counters.
+HELD = 1 << 22
+#: Bytes of texts of one language that make a shard, words that it has at most, and bytes that a task holds of all languages.
+SHARD_BYTES, SHARD_WORDS, ALL_BYTES = 2 << 20, 400_000, 8 << 20
 #: Phrases whose counts a task adds up before it sends them.
-ADDED = 200_000
+ADDED = 400_000
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
     """The words of all texts in order, with piece ends between pieces and texts."""
-    return b"\n".join(texts).lower().translate(DELIMITERS).replace(PIECE_END, b" . ").split(b" ")
+    return b"\n".join(texts).lower().translate(DELIMITERS).replace(PIECE_END, b" . ").split()  # white space but blanks is gone by now
+
+
+class WordHashes(dict):
+    """Numbers distinct words from 0 and keeps a 64-bit hash of each."""
+
+    def __init__(self):
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return n
 
 
 class Shard:
@@ -52,10 +68,10 @@ class Shard:
 
     def __init__(self, words: list[bytes], seed: int, longest: int):
         self.words = words
-        seen = Words()
+        seen = WordHashes()
         end = seen[PIECE_END]
         ids = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-        table = np.array([a for a, _ in seen.hashes], np.uint64)[ids]
+        table = np.array(seen.hashes, np.uint64)[ids]
         inside = ids != end
         self.n = int(inside.sum())
         total, fine = np.full(len(ids), np.uint64(seed)), np.ones(len(ids), bool)
@@ -71,17 +87,25 @@ class Shard:
 def shards(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str, Shard, list[bytes]]]:
     """The texts (lang, text) of a task as (language, shard, tail): what stands in the tail, up to longest - 1 words
     that the next shard begins with, counts there."""
+    held: dict[str, tuple[list[bytes], list[int]]] = {}
+
+    def cut_up(lang: str) -> Iterator[tuple[str, Shard, list[bytes]]]:
+        words, seed = tokens(held.pop(lang)[0]), xxhash.xxh3_64_intdigest(lang.encode(), 1)
+        for start in range(0, len(words), SHARD_WORDS):
+            end = start + SHARD_WORDS
+            yield lang, Shard(words[start : end + longest - 1], seed, longest), words[end : end + longest - 1]
+
     for batch in batches:
-        for part in slices(batch, "text"):
-            by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(text.encode())
-            for lang, texts in by_lang.items():
-                seed, words = Words(), [w for w in tokens(texts) if w]
-                seed[lang.encode()]
-                for start in range(0, len(words), SHARD_WORDS):
-                    end = start + SHARD_WORDS
-                    yield lang, Shard(words[start : end + longest - 1], seed.hashes[0][1], longest), words[end : end + longest - 1]
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            texts, size = held.setdefault(lang, ([], [0]))
+            texts.append(text.as_py().encode())
+            size[0] += len(texts[-1])
+            if size[0] >= SHARD_BYTES:
+                yield from cut_up(lang)
+            elif sum(n for _, (n,) in held.values()) >= ALL_BYTES:
+                yield from cut_up(max(held, key=lambda x: held[x][1][0]))
+    for lang in [*held]:
+        yield from cut_up(lang)
 
 
 def heavy_counters(texts: DataFrame, longest: int, least: int, bits: int, shard_bits: int) -> DataFrame:
@@ -143,26 +167,28 @@ def candidate_bitmap(heavy: DataFrame, bits: int, shard_bits: int, per_counter:
 
 def counted(shard: Shard, tail: list[bytes], bitmap: np.ndarray, size: int) -> Iterator[tuple[str, int, int]]:
     """(phrase, words, count) of the shard's phrases that pass the bitmap, by an automaton over its text."""
-    words, patterns = shard.words, []
+    text, patterns, sizes = (b" %b " % b" ".join(shard.words)).decode(), [], []
+    words = text.split(" ")[1:-1]
     for k, (at, hashes) in enumerate(zip(shard.starts, shard.hashes), 1):
         place = hashes >> np.uint64(64 - size)
         passes = (bitmap[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 > 0
         _, first = np.unique(hashes[passes], return_index=True)
-        patterns += [(b" %b " % b" ".join(words[i : i + k]), k) for i in at[passes][first].tolist()]
+        patterns += [" ".join(words[i : i + k]) for i in at[passes][first].tolist()]
+        sizes += [k] * len(first)
     if not patterns:
         return
-    automaton = ahocorasick.Automaton()
-    for i, (pattern, _) in enumerate(patterns):
-        automaton.add_word(pattern.decode(), i)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, pattern in enumerate(patterns):
+        automaton.add_word(f" {pattern} ", i)
     automaton.make_automaton()
-    text = (b" %b " % b" ".join(words)).decode()
-    counts = np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(patterns))
+
+    def matches(where: str) -> np.ndarray:
+        return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(where)), np.int64), minlength=len(patterns))
+
+    counts = matches(text)
     if tail:
-        end = f" {b' '.join(tail).decode()} "
-        counts -= np.bincount(np.fromiter((i for _, i in automaton.iter(end)), np.int64), minlength=len(patterns))
-    for (pattern, k), n in zip(patterns, counts.tolist()):
-        if n:
-            yield pattern[1:-1].decode(), k, n
+        counts -= matches(f" {b' '.join(tail).decode()} ")
+    yield from ((p, k, n) for p, k, n in zip(patterns, sizes, counts.tolist()) if n)
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, per_counter: int = 16, most_bits: int = 30) -> DataFrame:
