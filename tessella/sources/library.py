@@ -146,3 +146,10 @@ class Library:
             except CommitConflict:
                 if expected is not None:
                     raise
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df written to the workspace and read back, so that what it took isn't done again, and a lost executor costs no recomputation."""
+    path = workspace(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
