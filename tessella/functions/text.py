@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessella.functions.addresses import digits, let, reachable
+
 #: The search and chunk token patterns, in classes on which Java, RE2 and Python agree.
 SEARCH_RE = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9_]+|[\p{L}\p{Nl}\p{No}]+"
 CHUNK_RE = SEARCH_RE + r"|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -84,10 +86,13 @@ def hostname(url: Column) -> Column:
 
 
 def web_target(url: Column) -> Column:
-    """Whether a URL may be fetched by its form: http(s), a host, no userinfo, and no literal non-public IPv4 address."""
-    host = F.lower(url_part(url, 3))
-    private = host.rlike(r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^(?:22[4-9]|2[3-5][0-9])\.|^localhost$|^\[(?:::1?|f[cd]|fe[89ab])")
-    return F.lower(url_part(url, 1)).isin("http", "https") & (host != "") & (url_part(url, 2) == "") & ~private
+    """Whether a URL may be fetched by its form: http(s), a host, no userinfo, and no literal address that isn't globally reachable."""
+
+    def allowed(host: Column) -> Column:
+        literal = digits(F.btrim(host, F.lit("[]")))
+        return (host != "") & (host != "localhost") & F.when(F.startswith(host, F.lit("[")), literal.isNotNull()).otherwise(F.lit(True)) & F.coalesce(reachable(literal), F.lit(True))
+
+    return F.lower(url_part(url, 1)).isin("http", "https") & (url_part(url, 2) == "") & ~F.contains(url_part(url, 0), F.lit("@")) & let(F.lower(url_part(url, 3)), allowed)
 
 
 def etag_version(etag: Column) -> Column:

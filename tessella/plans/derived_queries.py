@@ -1,12 +1,14 @@
-"""Registered queries of embedding runs, overlap removal and discovery."""
+"""Registered queries of embedding runs, overlap removal, discovery, mastery, streaks and addresses."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import addresses as A
 from tessella.operators import discovery as D
 from tessella.operators import embedding as E
+from tessella.operators import mastery as M
 from tessella.operators import overlaps as V
 from tessella.plans.queries import table
 
@@ -62,9 +64,66 @@ def discovery_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("topic_id", F.col("rank").cast("long").alias("rank"), "work", "id", "n")
 
 
-QUERIES = {f.__name__: f for f in (embedding_runs, overlap_removal, discovery_candidates)}
+def mastery_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mastery of each user's points from purchases (passed) and errors (failed), of which sign-ups correct some."""
+    e = table(spark, sf_dir, "events")
+    corrects = (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)
+    mode = F.get(F.array(*map(F.lit, ("easy", "medium", "hard"))), (F.col("event_id") % 3).cast("int"))
+    passed = F.when(corrects, F.col("event_id") % 2 == 0).when(F.col("event_type").isin("purchase", "error"), F.col("event_type") == "purchase")
+    events = e.select("user_id", (F.col("user_id") % 2 + F.floor("value") % 2).alias("point_id"), F.col("ts").alias("at"), "event_id", mode.alias("mode"), passed.alias("passed"), F.when(corrects, F.col("event_id") - 1).alias("replaces"))
+    found = M.projected(M.without_replaced(events))
+    return found.select("user_id", "point_id", F.round("mastery", 6).alias("mastery"), F.round("half_life", 6).alias("half_life"), "evaluated_at", "n")
+
+
+ZONES = ("Asia/Shanghai", "Europe/Berlin", "America/New_York", "UTC", "Australia/Lord_Howe")
+
+
+def learning_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's streaks of days with purchases, in weeks in which clocks change."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    zone = F.get(F.array(*map(F.lit, ZONES)), (F.col("user_id") % len(ZONES)).cast("int"))
+    days = e.select("user_id", M.learning_day(F.col("ts") + F.expr("INTERVAL 68 DAYS"), zone).alias("day"))
+    return M.streaks(days, F.lit("2024-04-07").cast("date"))
+
+
+def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of order lines, with their canonical form and whether they are reachable."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
+    a, b = F.col("l_partkey") % 256, F.col("l_suppkey") % 256
+    four = F.concat_ws(".", F.when(F.col("l_linenumber") == 1, 10).when(F.col("l_linenumber") == 2, 172).when(F.col("l_linenumber") == 3, 100).when(F.col("l_linenumber") == 4, 192).otherwise(F.col("l_orderkey") % 300), a, b, F.col("l_orderkey") % 256)
+    hex_ = lambda c: F.lower(F.hex(c))
+    first = F.get(F.array(*map(F.lit, ("2001", "fd00", "fe80", "2a00", "2001:db8"))), (F.col("l_orderkey") % 5).cast("int"))
+    six = F.when(F.col("l_orderkey") % 7 == 0, F.concat(F.lit("::ffff:"), four)).otherwise(F.concat(first, F.lit(":"), hex_(F.col("l_partkey")), F.lit("::"), hex_(F.col("l_suppkey"))))
+    text = F.when(F.col("l_orderkey") % 2 == 0, four).otherwise(six)
+    found = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), A.digits(text).alias("digits"))
+    return found.select("id", "digits", A.reachable(F.col("digits")).alias("reachable"))
+
+
+QUERIES = {f.__name__: f for f in (embedding_runs, overlap_removal, discovery_candidates, mastery_replay, learning_streaks, address_classes)}
+
+_OF_MODE = "[{}][event_id % 3 + 1]"
+_ZONE = "[" + ", ".join(f"'{z}'" for z in ZONES) + f"][user_id % {len(ZONES)} + 1]"
 
 ORACLES = {
+    "mastery_replay": f"""WITH RECURSIVE e AS (SELECT *, user_id % 2 + CAST(floor(value) AS BIGINT) % 2 AS point_id, event_type = 'signup' AND event_id % 3 = 0 AS fix FROM events),
+v AS (SELECT user_id, point_id, ts, event_id, CASE WHEN fix THEN event_id % 2 = 0 ELSE event_type = 'purchase' END AS ok, {_OF_MODE.format('0.40, 0.20, 0.08')} AS g, {_OF_MODE.format('0.35, 0.15, 0.10')} AS s, {_OF_MODE.format('1.2, 1.6, 2.0')} AS up, {_OF_MODE.format('0.9, 0.6, 0.5')} AS down
+  FROM e WHERE (fix OR event_type IN ('purchase', 'error')) AND event_id NOT IN (SELECT event_id - 1 FROM e WHERE fix)),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, point_id ORDER BY ts, event_id) AS k, epoch_us(ts) / 86400000000.0 AS d FROM v),
+f AS (SELECT user_id, point_id, CAST(0 AS BIGINT) AS k, CAST(0.2 AS DOUBLE) AS p, CAST(7 AS DOUBLE) AS h, CAST(NULL AS DOUBLE) AS at, CAST(NULL AS TIMESTAMP) AS ts, false AS passed FROM o WHERE k = 1
+  UNION ALL SELECT user_id, point_id, k, least(0.98, greatest(0.05, known + (1 - known) * 0.1)), CASE WHEN ok AND NOT passed THEN 7 WHEN passed THEN least(180, greatest(0.5, h * CASE WHEN ok THEN up ELSE down END)) ELSE h END, d, ts, passed OR ok FROM (
+    SELECT *, CASE WHEN ok THEN q * (1 - s) / (q * (1 - s) + (1 - q) * g) ELSE q * s / (q * s + (1 - q) * (1 - g)) END AS known FROM (
+      SELECT o.user_id, o.point_id, o.k, o.ok, o.ts, o.d, f.passed, f.h, CAST(o.g AS DOUBLE) AS g, CAST(o.s AS DOUBLE) AS s, CAST(o.up AS DOUBLE) AS up, CAST(o.down AS DOUBLE) AS down, CASE WHEN f.at IS NULL THEN f.p ELSE 0.05 + (f.p - 0.05) * pow(2.0, -(o.d - f.at) / f.h) END AS q
+      FROM f JOIN o ON o.user_id = f.user_id AND o.point_id = f.point_id AND o.k = f.k + 1)))
+SELECT user_id, point_id, round(p, 6) AS mastery, round(h, 6) AS half_life, ts AS evaluated_at, k AS n FROM f WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY user_id, point_id ORDER BY k DESC) = 1""",
+    "learning_streaks": f"""WITH d AS (SELECT DISTINCT user_id, CAST((ts + INTERVAL 68 DAYS) AT TIME ZONE 'UTC' AT TIME ZONE {_ZONE} - INTERVAL 4 HOURS AS DATE) AS day FROM events WHERE event_type = 'purchase'),
+i AS (SELECT user_id, count(*) AS n, max(day) AS last FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d) GROUP BY user_id, island)
+SELECT user_id, CAST(sum(n) AS BIGINT) AS n_days, max(n) AS longest, max(CASE WHEN last BETWEEN DATE '2024-04-06' AND DATE '2024-04-07' THEN n ELSE 0 END) AS current FROM i GROUP BY 1""",
+    "address_classes": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
+a AS (SELECT *, CASE n WHEN 1 THEN 10 WHEN 2 THEN 172 WHEN 3 THEN 100 WHEN 4 THEN 192 ELSE o % 300 END AS x, o % 2 = 0 OR o % 7 = 0 AS four FROM l),
+h AS (SELECT *, CASE WHEN x < 256 THEN printf('%02x%02x%02x%02x', x, p % 256, s % 256, o % 256) END AS d4, CASE WHEN o % 5 = 4 THEN printf('20010db8%04x%012x%08x', p, 0, s) ELSE ['2001', 'fd00', 'fe80', '2a00'][o % 5 + 1] || printf('%04x%016x%08x', p, 0, s) END AS d6 FROM a),
+g AS (SELECT *, p % 256 AS y, s % 256 AS z, CASE WHEN o % 2 = 0 THEN d4 WHEN o % 7 = 0 THEN '00000000000000000000ffff' || d4 ELSE d6 END AS digits FROM h)
+SELECT concat_ws('-', o, n, p, s) AS id, digits, CASE WHEN digits IS NULL THEN NULL WHEN four THEN NOT (x IN (0, 10, 127) OR x >= 240 OR (x = 172 AND y BETWEEN 16 AND 31) OR (x = 100 AND y BETWEEN 64 AND 127) OR (x = 192 AND y = 168) OR (x = 192 AND y = 0 AND (z = 2 OR (z = 0 AND o % 256 NOT IN (9, 10)))) OR (x = 169 AND y = 254) OR (x = 198 AND (y IN (18, 19) OR (y = 51 AND z = 100))) OR (x = 203 AND y = 0 AND z = 113))
+  WHEN o % 5 IN (1, 2, 4) THEN false WHEN o % 5 = 3 THEN true ELSE p >= 512 OR p IN (3) OR (p BETWEEN 32 AND 63) END AS reachable FROM g""",
     "embedding_runs": f"""WITH c AS (SELECT doc_id, k, length(text[k * {PIECE} + 1 : (k + 1) * {PIECE}]) AS n FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // {PIECE} + 1)) AS k FROM documents WHERE length(text) > 0)),
 b AS (SELECT doc_id, k // 32 AS b, sum(n) AS total, count(*) AS size FROM c GROUP BY 1, 2),
 r AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS n, CAST(sum(total) AS DOUBLE) AS letters, CAST(sum(size * size) AS DOUBLE) AS sizes, arg_min(CASE WHEN total % 23 = 0 THEN 'embedding_rejected' ELSE 'embedding_unavailable' END, b) FILTER (total % 23 = 0 OR total % 11 = 0) AS e1, bool_or(total % 13 = 0) AS e2 FROM b GROUP BY 1),
