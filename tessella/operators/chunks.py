@@ -1,18 +1,25 @@
 """Parent and child chunks of parsed blocks.
 
 blocks: run_id, block_no, page_number, kind, text, title_path. Token windows come from array expressions on
-each block, the separators and offsets from one window a run, and the greedy grouping into parents from a fold
-over the run's units. A run is one imported document, so what meets in a row is bounded by the import limit.
+each block, the separators and offsets from one window a run, and the greedy grouping into parents from a pass over
+the run's sorted units that keeps a count and a path. No run is collected: what meets in a row is a block or a parent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import CHUNK_RE, stable_id
 
 
+#: Windows whose lengths are summed together.
+GROUP = 32
+
+
 def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> DataFrame:
     """Add windows: array of (start, end, tokens) of token windows over a text column.
 
@@ -39,11 +46,16 @@ def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> Da
     none = F.expr("cast(array() as array<struct<k:int,step:int,whole:int,gap:int>>)")
     found = once(found, "_w", F.when(F.col("_l.count") > 0, own).otherwise(none))
 
+    # sums of whole groups of windows first, so that a window adds up its own group alone
+    sums = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["step"])
+    found = once(found, "_g", F.transform(F.sequence(F.lit(0), F.floor(F.size("_w") / GROUP).cast("int")), lambda g: sums(F.slice("_w", g * GROUP + 1, F.lit(GROUP)))))
+
     def window(w: Column) -> Column:
-        before = F.aggregate(F.slice("_w", F.lit(1), w["k"]), F.lit(0), lambda s, x: s + x["step"])
+        group = F.floor(w["k"] / GROUP).cast("int")
+        before = total(F.slice("_g", F.lit(1), group)) + sums(F.slice("_w", group * GROUP + 1, w["k"] - group * GROUP))
         return F.struct((before + w["gap"]).alias("start"), (before + w["whole"]).alias("end"), (F.least(w["k"] * step + maximum, F.col("_l.n")) - w["k"] * step).alias("tokens"))
 
-    return once(found, "windows", F.transform("_w", window)).drop("_w", "_l")
+    return once(found, "windows", F.transform("_w", window)).drop("_w", "_l", "_g")
 
 
 def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
@@ -62,20 +74,30 @@ def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
 
 
 def grouped_units(units: DataFrame, maximum: int) -> DataFrame:
-    """Add parent (ordinal): a new one where the heading path changes or the tokens would pass the maximum."""
-    rest = [c for c in units.columns if c not in ("run_id", "unit")]
-    whole = units.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("unit", F.struct(*rest).alias("u")))).alias("all"))
-    zero = F.struct(F.lit(-1).alias("parent"), F.lit(0).alias("tokens"), F.expr("cast(null as array<string>)").alias("path"), F.expr("cast(array() as array<int>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        u = x["u"]
-        new = (acc["parent"] < 0) | ~acc["path"].eqNullSafe(u["title_path"]) | (acc["tokens"] + u["tokens"] > maximum)
-        parent = acc["parent"] + F.when(new, 1).otherwise(0)
-        return F.struct(parent.alias("parent"), (F.when(new, 0).otherwise(acc["tokens"]) + u["tokens"]).alias("tokens"), u["title_path"].alias("path"), F.concat(acc["out"], F.array(parent)).alias("out"))
-
-    numbers = F.aggregate("all", zero, step, lambda a: a["out"])
-    each = whole.select("run_id", F.explode(F.zip_with("all", numbers, lambda x, p: F.struct(x.alias("x"), p.alias("parent")))).alias("e"))
-    return each.select("run_id", F.col("e.x.unit").alias("unit"), "e.x.u.*", F.col("e.parent").alias("parent"))
+    """Add parent (ordinal): a new one where the heading path changes or the tokens would pass the maximum.
+
+    Greedy packing needs its own past, so units come sorted to one task a run and pass it once; a row gets a number, and
+    nothing is held but the open parent's count and path.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = path = None
+        parent = held = 0
+        for batch in batches:
+            out = []
+            for own, own_path, tokens in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("run_id", "title_path", "tokens"))):
+                if own != run:
+                    run, parent, held = own, 0, tokens
+                elif own_path != path or held + tokens > maximum:
+                    parent, held = parent + 1, tokens
+                else:
+                    held += tokens
+                path = own_path
+                out.append(parent)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "parent"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", parent int"
+    return units.repartition("run_id").sortWithinPartitions("run_id", "unit").mapInArrow(number, schema)
 
 
 def parents(blocks: DataFrame, chunking_version: str = "parent-child-v1", maximum: int = 2500) -> DataFrame:

@@ -15,34 +15,41 @@ BLOCKS = "run_id string, title string, block_no int, page_number int, kind strin
 #: Elements without readable text, and what kind of block an element makes.
 HIDDEN = "script|style|noscript|template|svg"
 KINDS = {"p": "paragraph", "li": "list_item", "blockquote": "paragraph", "pre": "code"} | dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading")
-#: A comment or declaration, a hidden element with all it holds, or a tag with its closing slash and name.
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<({HIDDEN})\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][a-z0-9]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
+#: A comment or declaration, a hidden element with all it holds, or a tag with its closing slash and name. What isn't closed
+#: goes up to the end, and no part is tried twice, so that time follows the page.
+MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<({HIDDEN})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z)|\Z)|<(/?)([a-z][a-z0-9]*+)(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+(?:>|\Z)", re.S | re.I,
+)
+HEADING = re.compile(r"(#{1,6}) +(\S.*)")
+
+
+def line_blocks(text: str) -> Iterator[tuple[str, str, list[str]]]:
+    """Blocks (kind, text, heading path) of a text: headings, and paragraphs of consecutive lines that aren't blank."""
+    path: list[str] = []
+    lines: list[str] = []
+    for line in [x.strip() for x in text.splitlines()] + [""]:
+        heading = HEADING.fullmatch(line)
+        if lines and (heading or not line):
+            yield "paragraph", "\n".join(lines), path
+            lines = []
+        if heading:
+            path = [*path[: len(heading[1]) - 1], heading[2].strip()]
+            yield "heading", heading[2].strip(), path
+        elif line:
+            lines.append(line)
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """Heading and paragraph blocks of texts (run_id, text).
+    """Heading and paragraph blocks of texts (run_id, text), a text at a time and in time that follows it."""
+    names = ["run_id", "block_no", "page_number", "kind", "text", "title_path"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
 
-    Lines are numbered into islands by a fold over each text that also keeps the heading path, all in expressions.
-    """
-    lines = F.transform(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1), lambda x: F.btrim(x))
-    block = "array<struct<kind:string,text:string,title_path:array<string>>>"
-    zero = F.struct(F.expr("cast(array() as array<string>)").alias("path"), F.expr("cast(array() as array<string>)").alias("open"), F.expr(f"cast(array() as {block})").alias("out"))
-
-    def closed(acc: Column) -> Column:
-        one = F.array(F.struct(F.lit("paragraph").alias("kind"), F.array_join(acc["open"], "\n").alias("text"), acc["path"].alias("title_path")))
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["out"], one)).otherwise(acc["out"])
-
-    def step(acc: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, r"^(#{1,6}) ", 1))
-        title = F.btrim(F.regexp_extract(line, r"^#{1,6} (.*)$", 1))
-        heading = (level > 0) & (title != "")
-        path = F.concat(F.slice(acc["path"], 1, F.greatest(level - 1, F.lit(0))), F.array(title))
-        none = F.expr("cast(array() as array<string>)")
-        own = F.array(F.struct(F.lit("heading").alias("kind"), title.alias("text"), path.alias("title_path")))
-        return F.when(heading, F.struct(path.alias("path"), none.alias("open"), F.concat(closed(acc), own).alias("out"))).when(line == "", F.struct(acc["path"].alias("path"), none.alias("open"), closed(acc).alias("out"))).otherwise(F.struct(acc["path"].alias("path"), F.concat(acc["open"], F.array(line)).alias("open"), acc["out"].alias("out")))
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(run_id, k, 1, *b) for run_id, text in zip(*(c.to_pylist() for c in batch.columns)) for k, b in enumerate(line_blocks(text or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names)
 
-    found = docs.select("run_id", F.posexplode(F.aggregate(lines, zero, step, closed)).alias("block_no", "b"))
-    return found.select("run_id", "block_no", F.lit(1).alias("page_number"), "b.kind", "b.text", "b.title_path")
+    return docs.select("run_id", "text").mapInArrow(parse, "run_id string, block_no int, page_number int, kind string, text string, title_path array<string>")
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -91,7 +98,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
             for run_id, page in zip(*(c.to_pylist() for c in batch.columns)):
                 title, blocks = page_blocks(page or "")
                 rows += [(run_id, title, k, 1, *b) for k, b in enumerate(blocks)] or [(run_id, title, None, None, None, None, None)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
 
     return pages.select("run_id", "html").mapInArrow(parse, BLOCKS)
 
