@@ -10,15 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import cosine, search_tokens
+from tessella.sources.library import keep
 
-
-#: Rows of query terms up to which they are broadcast.
-FEW = 1_000_000
-
-
-def few(df: DataFrame, most: int = FEW) -> bool:
-    """Whether df has at most so many rows; counts no further."""
-    return df.limit(most + 1).count() <= most
+#: Distinct query terms up to which chunks are filtered by them in one expression.
+FEW = 10_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -42,18 +37,29 @@ def conflicting_ids(chunks: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) of the best scoped chunks (id, text) for each query (query_id, query).
 
-    One scan makes each chunk's length and its frequencies of the queries' terms; only chunks that hold a term move.
+    One scan makes a row a chunk: its length, and those of its tokens that queries ask for. That small table is written
+    once, and all statistics and scores come from it. Up to FEW distinct terms, counted, the scan filters each token
+    array by a set in the expression; of more, tokens meet the terms in a join.
     """
+    spark = chunks.sparkSession
     if limit < 1:
-        return chunks.sparkSession.createDataFrame([], "query_id long, id string, score double, rank int")
+        return spark.createDataFrame([], "query_id long, id string, score double, rank int")
     asked = queries.select("query_id", F.posexplode(F.array_distinct(search_tokens(F.col("query")))).alias("place", "term"))
-    tokens = chunks.select("id", search_tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    # a counted set of query terms is broadcast, and with it their document frequencies; a larger one is shuffled
-    small = F.broadcast if few(asked) else lambda x: x
-    hits = tokens.select("id", "dl", F.explode("terms").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = asked.select("term").distinct()
+    few = [r["term"] for r in terms.limit(FEW + 1).collect()]
+    tokens = chunks.select("id", search_tokens(F.col("text")).alias("terms"))
+    if len(few) <= FEW:
+        own = keep(tokens.select("id", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(few)).alias("terms")))
+        found = own.select("id", "dl", F.explode("terms").alias("term"))
+        near = F.broadcast  # as many rows as there are terms, which were counted
+    else:
+        own = keep(tokens.withColumn("dl", F.size("terms")))
+        found = own.select("id", "dl", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+        near = lambda x: x
+    whole = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hits = found.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(small(df), "term").join(small(asked), "term").join(F.broadcast(whole))
+    scored = hits.join(near(df), "term").join(asked, "term").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     in_order = F.array_sort(F.collect_list(F.struct("place", part.alias("s"))))

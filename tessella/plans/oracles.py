@@ -72,7 +72,7 @@ dn AS (SELECT fc.id, row_number() OVER (ORDER BY list_cosine_similarity(v.e, z.e
 fu AS (SELECT coalesce(a.id, h.id) AS id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + h.rank), 0) AS rrf FROM dn a FULL JOIN hits h ON a.id = h.id),
 ev AS (SELECT c.parent_id, fu.rrf, row_number() OVER (PARTITION BY c.parent_id ORDER BY fu.rrf DESC, fu.id) AS place FROM fu JOIN c USING (id)),
 pa AS (SELECT parent_id, max(rrf) AS score, count(*) AS n FROM ev WHERE place <= 2 GROUP BY 1)
-SELECT row_number() OVER (ORDER BY score DESC, parent_id) AS rank, parent_id AS parent_chunk_id, round(score, 9) AS score, n AS n_evidence FROM pa ORDER BY score DESC, parent_id LIMIT 3""",
+SELECT row_number() OVER (ORDER BY score DESC, parent_id) AS rank, parent_id AS parent_chunk_id, p.run_id, 1 AS page_start, 1 AS page_end, sha256(p.text) AS text_hash, length(p.text) AS n_chars, round(score, 9) AS score, pa.n AS n_evidence FROM pa JOIN p ON p.id = parent_id ORDER BY score DESC, parent_id LIMIT 3""",
     "scope_resolution": f"SELECT topic_id, user_id, count(*) AS n_runs, CAST(1 AS BIGINT) AS n_versions FROM {_S} WHERE state = 'active' AND status = 'published' GROUP BY 1, 2",
     "source_listing": f"SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY doc_id DESC) AS place FROM {_S} WHERE user_id = 'user-1' AND state = 'active' QUALIFY place <= 5",
     "lifecycle_transition": f"""WITH t(command, state, next) AS (VALUES ('archive', 'active', 'archived'), ('restore', 'archived', 'active'), ('restore', 'trashed', 'active'), ('trash', 'active', 'trashed'), ('trash', 'archived', 'trashed'), ('purge', 'trashed', 'purging')),

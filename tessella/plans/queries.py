@@ -11,6 +11,7 @@ from tessella.operators import chunks as C
 from tessella.operators import control as K
 from tessella.operators import retrieval as R
 from tessella.sources import parsers as P
+from tessella.sources.library import keep
 from tessella.streaming import jobs as J
 
 NOW = "2024-02-01 00:00:00"
@@ -134,32 +135,36 @@ def bm25_scoped_topk(spark, sf_dir):
     return _sparse(in_scope(spark, sf_dir), _query(spark)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _query_vector(spark: SparkSession, sf_dir: str):
-    """The embedding of vec_id 0, as a literal (one row)."""
-    v = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").head()
-    return F.array(*[F.lit(float(x)) for x in v[0]])
+def _with_query(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
+    """vectors with the embedding of vec_id 0 as query: one row, joined to each; no rows if there is none."""
+    q = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query")).limit(1)
+    return vectors.join(F.broadcast(q))
 
 
 def dense_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.dense(v, _query_vector(spark, sf_dir)).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return R.dense(_with_query(spark, sf_dir, v), F.col("query")).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def dense_scoped_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").filter("label in (1, 3, 5)").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.dense(v, _query_vector(spark, sf_dir)).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return R.dense(_with_query(spark, sf_dir, v), F.col("query")).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def hybrid_retrieval(spark, sf_dir):
+    """The three best parents in scope with their texts, from both channels, after a second look at scope and versions."""
     docs = in_scope(spark, sf_dir)
-    found = C.children(C.parents(blocks(docs))).persist()  # used three times; Spark drops it when memory is short
+    parents = keep(C.parents(blocks(docs)))
+    found = keep(C.children(parents).select("id", "parent_chunk_id", "ingestion_run_id", "ordinal", "text"))
     sparse = R.bm25(found.select("id", "text"), _query(spark)).select("id", "rank")
     first = found.filter((F.col("ordinal") == 0)).select("id", F.regexp_extract("ingestion_run_id", "[0-9]+", 0).cast("long").alias("vec_id"), "parent_chunk_id")
     first = first.groupBy("vec_id").agg(F.min("id").alias("id"))
     vectors = table(spark, sf_dir, "embeddings").join(first, "vec_id").select("id", F.col("embedding").alias("vector"))
-    dense = R.dense(vectors, _query_vector(spark, sf_dir)).select("id", "rank")
+    dense = R.dense(_with_query(spark, sf_dir, vectors), F.col("query")).select("id", "rank")
     top = R.fuse(dense, sparse, found.select("id", "parent_chunk_id"))
-    return top.select(F.col("rank").cast("long").alias("rank"), "parent_chunk_id", F.round("score", 9).alias("score"), F.size("evidence").cast("long").alias("n_evidence"))
+    scope = docs.select("run_id", F.lit("dense-v1").alias("dense_version"), F.lit("bm25-v1").alias("sparse_version"))
+    whole = R.hydrate(top, parents.select("id", F.col("ingestion_run_id").alias("run_id"), "text", "page_start", "page_end"), scope, "dense-v1", "bm25-v1")
+    return whole.select(F.col("rank").cast("long").alias("rank"), "parent_chunk_id", "run_id", "page_start", "page_end", F.sha2("text", 256).alias("text_hash"), F.length("text").cast("long").alias("n_chars"), F.round("score", 9).alias("score"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
 def scope_resolution(spark, sf_dir):
