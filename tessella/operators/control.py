@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import stable_id
+
 #: The run stages with what follows each.
 STAGES = [("parsing", "extracting", "running", 20), ("extracting", "chunking", "running", 40), ("chunking", "embedding", "running", 60), ("embedding", "validating", "validating", 80), ("validating", "publishing", "publishing", 90)]
 #: Lifecycle commands, the states they start from and end in.
@@ -46,22 +48,27 @@ def fail(jobs: DataFrame, now: Column, retry_seconds: int = 30) -> DataFrame:
     return jobs.withColumn("available_at", F.when(over, F.col("available_at")).otherwise(later)).withColumn("status", F.when(over, "failed").otherwise("queued"))
 
 
-def reserve(requests: DataFrame, ttl_days: int | None = 7) -> DataFrame:
-    """Outcome of each request (key, hash, at, seq[, done_at]) by its key's first request.
+def reserve(requests: DataFrame) -> DataFrame:
+    """Outcome of each request (key, hash, at, seq[, done_at]) by its key's record, which its first request makes.
 
     created: it is the first one; conflict: it asks for something else; in_progress: the first one isn't done by then
-    (if there is a done_at); replay: it is answered as the first one was; expired: the first one's record is gone by
-    then (with a ttl). A key's first request is an aggregate that tasks combine before the shuffle; the join splits hot keys.
+    (if there is a done_at); replay: it is answered as the first one was. A record that has outlived its time counts until it is
+    cleared away (see expired_records). A key's first request is an aggregate that tasks combine before the shuffle; the join
+    splits hot keys.
     """
     known = "done_at" in requests.columns
     head = F.min(F.struct("at", "seq", "hash", *(["done_at"] if known else []))).alias("first")
     out = requests.join(requests.groupBy("key").agg(head), "key")
     pending = (F.col("first.done_at").isNull() | (F.col("first.done_at") > F.col("at"))) if known else F.lit(False)
-    late = F.lit(False) if ttl_days is None else F.timestamp_diff("DAY", F.col("first.at"), F.col("at")) >= ttl_days
-    outcome = F.when(F.col("seq") == F.col("first.seq"), "created").when(late, "expired").when(F.col("hash") != F.col("first.hash"), "conflict").when(pending, "in_progress").otherwise("replay")
+    outcome = F.when(F.col("seq") == F.col("first.seq"), "created").when(F.col("hash") != F.col("first.hash"), "conflict").when(pending, "in_progress").otherwise("replay")
     return out.withColumn("outcome", outcome).drop("first")
 
 
+def expired_records(records: DataFrame, now: Column, ttl_days: int = 7) -> DataFrame:
+    """Records (at) that may be cleared away: made ttl_days or more before now."""
+    return records.filter(F.col("at") + F.make_dt_interval(F.lit(ttl_days)) <= now)
+
+
 def active_scope(links: DataFrame, documents: DataFrame, revisions: DataFrame, runs: DataFrame) -> DataFrame:
     """(topic_id, user_id, run_id, versions) of sources that may be searched: active, no duplicate, not missing, published."""
     d = documents.filter("state = 'active' and duplicate_of is null and not source_missing")
@@ -92,31 +99,86 @@ def canonical(sources: DataFrame) -> DataFrame:
     return sources.join(sources.groupBy(*key).agg(first.alias("canonical_id")), key).withColumn("duplicate", F.col("canonical_id") != F.col("source_id"))
 
 
-#: What a command on a run needs (status, checkpoint; null: any) and makes of it.
+#: The states of a run that is under way; what a command on a run needs (status, checkpoint; null: any) and makes of it.
+UNDER_WAY = ("queued", "running", "validating", "publishing")
 RUN_COMMANDS = [
-    ("publish", "publishing", "publishing", "published", 100), ("cancel", "queued", None, "cancel_requested", None), ("cancel", "running", None, "cancel_requested", None),
-    ("cancel", "validating", None, "cancel_requested", None), ("cancel", "publishing", None, "cancel_requested", None), ("compensate", "cancel_requested", None, "compensating", None),
-    ("finish_cancel", "compensating", None, "cancelled", None), ("fail_cancel", "compensating", None, "compensation_failed", None),
+    ("publish", "publishing", "publishing", "published", 100), *(("cancel", s, None, "cancel_requested", None) for s in UNDER_WAY), *(("fail", s, None, "compensating", None) for s in UNDER_WAY),
+    ("compensate", "cancel_requested", None, "compensating", None), ("finish_cancel", "compensating", None, "cancelled", None), ("fail_cancel", "compensating", None, "compensation_failed", None),
 ]
 
 
 def transition(commands: DataFrame, runs: DataFrame) -> DataFrame:
-    """Compare-and-set of commands (command_id, run_id, command, expected_version) on runs (run_id, status, checkpoint, progress, version)."""
+    """Compare-and-set of commands (command_id, run_id, command, expected_version) on runs (run_id, status, checkpoint, progress, version, last_error).
+
+    fail sends a run that is under way to its clean-up, with the command's error (if commands have one); a clean-up that ends
+    makes it failed if there was an error, else cancelled.
+    """
     table = commands.sparkSession.createDataFrame(RUN_COMMANDS, "command string, status string, needs string, next string, done int")
-    found = commands.join(runs, "run_id", "left").join(F.broadcast(table), ["command", "status"], "left")
+    given = F.col("error") if "error" in commands.columns else F.lit("error")
+    found = commands.withColumn("_error", given).join(runs, "run_id", "left").join(F.broadcast(table), ["command", "status"], "left")
     fits = F.col("next").isNotNull() & (F.col("needs").isNull() | (F.col("needs") == F.col("checkpoint")))
     outcome = F.when(F.col("version").isNull(), "not_found").when(F.col("version") != F.col("expected_version"), "conflict").when(fits, "applied").otherwise("invalid")
     done = F.col("outcome") == "applied"
+    status = F.when((F.col("command") == "finish_cancel") & F.col("last_error").isNotNull(), "failed").otherwise(F.col("next"))
     return found.withColumn("outcome", outcome).select(
-        "command_id", "run_id", "command", "outcome", F.when(done, F.col("next")).otherwise(F.col("status")).alias("status"),
-        F.when(done, F.coalesce("done", "progress")).otherwise(F.col("progress")).alias("progress"), (F.col("version") + F.when(done, 1).otherwise(0)).alias("version"),
+        "command_id", "run_id", "command", "outcome", F.when(done, status).otherwise(F.col("status")).alias("status"), F.when(done, F.coalesce("done", "progress")).otherwise(F.col("progress")).alias("progress"),
+        (F.col("version") + F.when(done, 1).otherwise(0)).alias("version"), F.when(done & (F.col("command") == "fail"), F.col("_error")).otherwise(F.col("last_error")).alias("last_error"),
     )
 
 
-def retry(runs: DataFrame) -> DataFrame:
-    """New runs for those that ended without a result (run_id, status, request_key): queued, under a key of their own."""
-    ended = runs.filter(F.col("status").isin("failed", "cancelled", "compensation_failed"))
-    return ended.select(F.concat("run_id", F.lit("-retry")).alias("run_id"), F.col("run_id").alias("retry_of"), F.lit("queued").alias("status"), F.concat("request_key", F.lit(":retry")).alias("request_key"), F.lit(1).cast("long").alias("version"))
+def retry(commands: DataFrame, runs: DataFrame) -> DataFrame:
+    """Outcomes of retries (run_id, request_key) of runs (run_id, status and what they were made from), and the new runs' columns.
+
+    Only a run that ended without a result may be tried again: as a new, queued run from the same revision, whose id
+    follows from the old one's and the key, so that each key makes one run of its own.
+    """
+    found = commands.select("run_id", F.col("request_key").alias("new_key")).distinct().join(runs, "run_id", "left")
+    ended = F.col("status").isin("failed", "cancelled", "compensation_failed")
+    outcome = F.when(F.col("status").isNull(), "not_found").when(ended, "created").otherwise("not_allowed")
+    made = lambda value: F.when(F.col("outcome") == "created", value)
+    return found.withColumn("outcome", outcome).select(
+        F.col("run_id").alias("retry_of"), F.col("new_key").alias("request_key"), "outcome", made(stable_id(F.col("run_id"), F.col("new_key"), F.lit("retry"))).alias("run_id"), made(F.lit("queued")).alias("status"),
+        made(F.lit("parsing")).alias("checkpoint"), made(F.lit(1).cast("long")).alias("version"),
+    )
+
+
+#: The states in which a run waits for a worker.
+WAITING = (*UNDER_WAY, "cancel_requested", "compensating")
+
+
+def next_run(runs: DataFrame, n: int = 1) -> DataFrame:
+    """The n runs (status, created_at, run_id) that a worker takes next: the oldest under way or to be cleaned up."""
+    return runs.filter(F.col("status").isin(*WAITING)).orderBy("created_at", "run_id").limit(n)
+
+
+def listed_topics(topics: DataFrame) -> DataFrame:
+    """Topics (archived, created_at, topic_id) that aren't archived, oldest first."""
+    return topics.filter("not archived").orderBy("created_at", "topic_id")
+
+
+def unlinked(links: DataFrame, topics: DataFrame) -> DataFrame:
+    """Links (topic_id, source_id) left after topics are removed: links alone go, never sources."""
+    return links.join(topics.select("topic_id").distinct(), "topic_id", "left_anti")
+
+
+def topic_changes(commands: DataFrame, topics: DataFrame) -> DataFrame:
+    """Outcomes of commands (command_id, topic_id, user_id, command, expected_version, name) on topics (topic_id, user_id, name, archived, version), and what becomes of the topics.
+
+    create makes a topic that isn't there, without a version to expect; update renames one, and archive archives it, if it is the
+    user's, not archived yet and of that version. Commands on one topic are judged each against the topic as it is.
+    """
+    own = topics.select("topic_id", F.col("user_id").alias("owner"), F.col("name").alias("was"), "archived", "version")
+    found = commands.withColumn("name", F.nullif(F.btrim("name"), F.lit(""))).join(own, "topic_id", "left")
+    missing = F.col("owner").isNull()
+    outcome = (
+        F.when((F.col("command") != "archive") & F.col("name").isNull(), "invalid").when(F.col("command") == "create", F.when(missing, "created").otherwise("exists"))
+        .when(missing | (F.col("owner") != F.col("user_id")), "not_found").when(F.col("version") != F.col("expected_version"), "conflict").when(F.col("archived"), "archived").otherwise("applied")
+    )
+    done = F.col("outcome").isin("created", "applied")
+    return found.withColumn("outcome", outcome).select(
+        "command_id", "topic_id", "command", "outcome", F.when(done & (F.col("command") != "archive"), F.col("name")).otherwise(F.col("was")).alias("name"),
+        F.when(F.col("outcome") == "created", False).otherwise(F.col("archived") | (done & (F.col("command") == "archive"))).alias("archived"), F.when(F.col("outcome") == "created", 1).otherwise(F.col("version") + F.when(done, 1).otherwise(0)).cast("long").alias("version"),
+    )
 
 
 def hold(jobs: DataFrame, worker: Column, now: Column, action: str, lease_seconds: int = 120) -> DataFrame:
@@ -142,7 +204,7 @@ def cancel_runs_of(trashed: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs (source_id, status, version): those of trashed sources that are under way are to be cancelled."""
     gone = trashed.select("source_id").distinct().withColumn("_gone", F.lit(True))
     found = runs.join(gone, "source_id", "left")
-    hit = F.col("_gone").isNotNull() & F.col("status").isin("queued", "running", "validating", "publishing")
+    hit = F.col("_gone").isNotNull() & F.col("status").isin(*UNDER_WAY)
     return found.withColumn("version", F.col("version") + F.when(hit, 1).otherwise(0)).withColumn("status", F.when(hit, "cancel_requested").otherwise(F.col("status"))).drop("_gone")
 
 

@@ -28,23 +28,28 @@ def _runs(spark, sf_dir):
     return d.select(
         F.col("doc_id").cast("string").alias("run_id"), F.col("doc_id").cast("string").alias("source_id"), status.alias("status"), F.when(F.col("doc_id") % 2 == 0, "publishing").otherwise("embedding").alias("checkpoint"),
         (F.col("doc_id") % 100).cast("int").alias("progress"), (F.col("doc_id") % 3).alias("version"), F.concat(F.lit("key-"), "doc_id").alias("request_key"),
+        F.when(F.col("doc_id") % 5 < 2, "broken").alias("last_error"),
     )
 
 
 def cas_classify(spark, sf_dir):
-    names = F.array(*[F.lit(x) for x in ("publish", "cancel", "compensate", "finish_cancel", "fail_cancel")])
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("command_id"), F.col("event_id").cast("string").alias("run_id"), F.get(names, (F.floor("value") % 5).cast("int")).alias("command"), (F.col("event_id") % 3 + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("expected_version"))
-    return K.transition(e, _runs(spark, sf_dir)).select("command_id", "command", "outcome", "status", F.col("progress").cast("long").alias("progress"), "version")
+    names = F.array(*[F.lit(x) for x in ("publish", "cancel", "compensate", "finish_cancel", "fail_cancel", "fail")])
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("command_id"), F.col("event_id").cast("string").alias("run_id"), F.get(names, (F.floor("value") % 6).cast("int")).alias("command"), (F.col("event_id") % 3 + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)).alias("expected_version"))
+    return K.transition(e, _runs(spark, sf_dir)).select("command_id", "command", "outcome", "status", F.col("progress").cast("long").alias("progress"), "version", "last_error")
 
 
 def run_retry(spark, sf_dir):
-    return K.retry(_runs(spark, sf_dir))
+    """Retries of all runs, some of them twice, under two keys."""
+    runs = _runs(spark, sf_dir)
+    again = runs.select("run_id", F.concat(F.lit("again-"), "run_id").alias("request_key"))
+    more = again.filter("cast(run_id as long) % 2 = 0").withColumn("request_key", F.concat("request_key", F.lit("-b")))
+    lost = again.filter("cast(run_id as long) % 10 = 0").withColumn("run_id", F.concat(F.lit("x"), "run_id"))
+    return K.retry(again.union(more).union(lost), runs)
 
 
 def next_run(spark, sf_dir):
     """The run that a worker takes: the oldest under way."""
-    r = _runs(spark, sf_dir).filter("status in ('queued', 'running', 'validating', 'publishing', 'cancel_requested', 'compensating')")
-    return r.withColumn("created_at", F.col("run_id").cast("long") % 11).orderBy("created_at", "run_id").limit(1).select("run_id", "status", "created_at")
+    return K.next_run(_runs(spark, sf_dir).withColumn("created_at", F.col("run_id").cast("long") % 11)).select("run_id", "status", "created_at")
 
 
 def trash_cancels_runs(spark, sf_dir):
@@ -67,7 +72,7 @@ def lease_complete(spark, sf_dir):
 
 
 def request_reservations(spark, sf_dir):
-    """Requests with records that are done some hours after and expire after seven days."""
+    """Requests with records that are done some hours after, if at all."""
     e = table(spark, sf_dir, "events").select(
         F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("key"), (F.col("event_id") % 4).cast("string").alias("hash"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
         F.when(F.col("event_id") % 3 > 0, F.timestamp_add("HOUR", F.col("event_id") % 100, F.col("ts"))).alias("done_at"),
@@ -91,14 +96,24 @@ def purge_due(spark, sf_dir):
 def topic_listing(spark, sf_dir):
     """Topics that aren't archived, oldest first, with their place."""
     d = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("created_at"), F.count(F.lit(1)).alias("n_sources"))
-    return d.filter("created_at % 3 <> 1").select(F.col("source").alias("topic_id"), "created_at", "n_sources").orderBy("created_at", "topic_id")
+    return K.listed_topics(d.withColumn("archived", F.col("created_at") % 3 == 1).withColumnRenamed("source", "topic_id")).select("topic_id", "created_at", "n_sources")
 
 
 def topic_unlink(spark, sf_dir):
     """Links left after topics are removed: links only, never sources."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("topic_id"))
     gone = d.groupBy("topic_id").agg(F.min("doc_id").alias("first")).filter("first % 3 = 1").select("topic_id")
-    return d.join(gone, "topic_id", "left_anti").groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return K.unlinked(d, gone).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def topic_changes(spark, sf_dir):
+    """Commands on topics, which are pages here."""
+    p = table(spark, sf_dir, "pages")
+    topics = p.filter("page_id % 3 > 0").select("page_id", F.col("page_id").alias("topic_id"), F.concat(F.lit("u"), F.col("page_id") % 4).alias("user_id"), F.col("url").alias("name"), (F.col("page_id") % 5 == 0).alias("archived"), (F.col("page_id") % 2).alias("version")).drop("page_id")
+    e = table(spark, sf_dir, "events")
+    command = F.get(F.array(*map(F.lit, ("create", "update", "archive"))), (F.floor("value") % 3).cast("int"))
+    commands = e.select(F.col("event_id").alias("command_id"), (F.col("event_id") % 400).alias("topic_id"), F.concat(F.lit("u"), F.when(F.col("event_id") % 11 == 0, 9).otherwise(F.col("event_id") % 400 % 4)).alias("user_id"), command.alias("command"), (F.col("user_id") % 2).alias("expected_version"), F.when(F.col("event_id") % 13 == 0, "  ").otherwise(F.concat(F.lit(" n"), "event_type")).alias("name"))
+    return K.topic_changes(commands, topics)
 
 
 def _fused(spark, sf_dir):
@@ -136,7 +151,7 @@ def dense_rebuild(spark, sf_dir):
     own = v.filter("run_id = 2")
     new = own.select("id", F.transform("vector", lambda x: (x * 2).cast("float")).alias("vector"))
     size = v.select(F.size("vector").alias("n")).first()
-    return K.rebuild_run(v, own.select("id", "run_id"), new, size["n"] if size else 0).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return K.rebuild_run(v, own.select("id", "run_id"), new, size["n"] if size else 0).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum(F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 4096))).alias("total"))
 
 
 def redact_nested(spark, sf_dir):
@@ -198,12 +213,12 @@ def review_schedule(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_titles, html_block_texts, cas_classify, run_retry, next_run, trash_cancels_runs, lease_renew, lease_complete, request_reservations, import_outcomes, purge_due, topic_listing, topic_unlink, rrf_fusion,
+    html_titles, html_block_texts, cas_classify, run_retry, next_run, trash_cancels_runs, lease_renew, lease_complete, request_reservations, import_outcomes, purge_due, topic_listing, topic_unlink, topic_changes, rrf_fusion,
     hydrated_parents, retrieval_quality, dense_rebuild, redact_nested, canonical_json, title_rule, text_decode, text_collapse, request_hashes, index_names, etag_versions, consent_filter, review_schedule,
 )}
 
 _STATUS = "['queued', 'running', 'validating', 'publishing', 'published', 'cancel_requested', 'compensating', 'failed', 'cancelled'][doc_id % 9 + 1]"
-_RUNS = f"(SELECT doc_id, CAST(doc_id AS VARCHAR) AS run_id, {_STATUS} AS status, CASE WHEN doc_id % 2 = 0 THEN 'publishing' ELSE 'embedding' END AS checkpoint, doc_id % 100 AS progress, doc_id % 3 AS version FROM documents)"
+_RUNS = f"(SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 'broken' END AS last_error, CAST(doc_id AS VARCHAR) AS run_id, {_STATUS} AS status, CASE WHEN doc_id % 2 = 0 THEN 'publishing' ELSE 'embedding' END AS checkpoint, doc_id % 100 AS progress, doc_id % 3 AS version FROM documents)"
 _ACTIVE = "('queued', 'running', 'validating', 'publishing')"
 def _unescaped(sql: str) -> str:
     """sql with the character references of the test pages decoded; the ampersand comes last, so that nothing is decoded twice."""
@@ -226,18 +241,28 @@ def oracles(bm25) -> dict[str, str]:
     return {
         "html_titles": "SELECT 'page-' || page_id AS run_id, trim(regexp_replace(" + _unescaped("regexp_extract(html, '<title>([^<]*)', 1)") + ", '\\s+', ' ', 'g')) AS title FROM pages",
         "html_block_texts": f"WITH {_HTML} SELECT 'page-' || page_id AS run_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS block_no, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, sha256(text) AS text_hash, CAST(count(CASE WHEN tag = 'h1' THEN 1 END) OVER (PARTITION BY page_id ORDER BY block_no) > 0 AS BIGINT) AS depth FROM t WHERE text <> ''",
-        "cas_classify": f"""WITH t(command, status, needs, next, done) AS (VALUES ('publish', 'publishing', 'publishing', 'published', 100), ('cancel', 'queued', NULL, 'cancel_requested', NULL), ('cancel', 'running', NULL, 'cancel_requested', NULL), ('cancel', 'validating', NULL, 'cancel_requested', NULL), ('cancel', 'publishing', NULL, 'cancel_requested', NULL), ('compensate', 'cancel_requested', NULL, 'compensating', NULL), ('finish_cancel', 'compensating', NULL, 'cancelled', NULL), ('fail_cancel', 'compensating', NULL, 'compensation_failed', NULL)),
-e AS (SELECT event_id, ['publish', 'cancel', 'compensate', 'finish_cancel', 'fail_cancel'][CAST(floor(value) AS BIGINT) % 5 + 1] AS command, event_id % 3 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS ev FROM events),
-o AS (SELECT e.event_id, e.command, r.status, r.progress, r.version, t.next, t.done, CASE WHEN r.doc_id IS NULL THEN 'not_found' WHEN r.version <> e.ev THEN 'conflict' WHEN t.next IS NOT NULL AND (t.needs IS NULL OR t.needs = r.checkpoint) THEN 'applied' ELSE 'invalid' END AS outcome FROM e LEFT JOIN {_RUNS} r ON r.doc_id = e.event_id LEFT JOIN t ON t.command = e.command AND t.status = r.status)
-SELECT event_id AS command_id, command, outcome, CASE WHEN outcome = 'applied' THEN next ELSE status END AS status, CAST(CASE WHEN outcome = 'applied' THEN coalesce(done, progress) ELSE progress END AS BIGINT) AS progress, version + CASE WHEN outcome = 'applied' THEN 1 ELSE 0 END AS version FROM o""",
-        "run_retry": f"SELECT run_id || '-retry' AS run_id, run_id AS retry_of, 'queued' AS status, 'key-' || doc_id || ':retry' AS request_key, CAST(1 AS BIGINT) AS version FROM {_RUNS} WHERE status IN ('failed', 'cancelled', 'compensation_failed')",
+        "cas_classify": f"""WITH w(s) AS (VALUES ('queued'), ('running'), ('validating'), ('publishing')),
+t AS (SELECT * FROM (VALUES ('publish', 'publishing', 'publishing', 'published', 100), ('compensate', 'cancel_requested', NULL, 'compensating', NULL), ('finish_cancel', 'compensating', NULL, 'cancelled', NULL), ('fail_cancel', 'compensating', NULL, 'compensation_failed', NULL)) AS x(command, status, needs, next, done)
+  UNION ALL SELECT 'cancel', s, NULL, 'cancel_requested', NULL FROM w UNION ALL SELECT 'fail', s, NULL, 'compensating', NULL FROM w),
+e AS (SELECT event_id, ['publish', 'cancel', 'compensate', 'finish_cancel', 'fail_cancel', 'fail'][CAST(floor(value) AS BIGINT) % 6 + 1] AS command, event_id % 3 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS ev FROM events),
+o AS (SELECT e.event_id, e.command, r.status, r.progress, r.version, r.last_error, t.next, t.done, CASE WHEN r.doc_id IS NULL THEN 'not_found' WHEN r.version <> e.ev THEN 'conflict' WHEN t.next IS NOT NULL AND (t.needs IS NULL OR t.needs = r.checkpoint) THEN 'applied' ELSE 'invalid' END AS outcome FROM e LEFT JOIN {_RUNS} r ON r.doc_id = e.event_id LEFT JOIN t ON t.command = e.command AND t.status = r.status)
+SELECT event_id AS command_id, command, outcome, CASE WHEN outcome = 'applied' AND command = 'finish_cancel' AND last_error IS NOT NULL THEN 'failed' WHEN outcome = 'applied' THEN next ELSE status END AS status, CAST(CASE WHEN outcome = 'applied' THEN coalesce(done, progress) ELSE progress END AS BIGINT) AS progress,
+  version + CASE WHEN outcome = 'applied' THEN 1 ELSE 0 END AS version, CASE WHEN outcome = 'applied' AND command = 'fail' THEN 'error' ELSE last_error END AS last_error FROM o""",
+        "run_retry": f"""WITH c AS (SELECT run_id, 'again-' || run_id AS key FROM {_RUNS} UNION ALL SELECT run_id, 'again-' || run_id || '-b' FROM {_RUNS} WHERE doc_id % 2 = 0 UNION ALL SELECT 'x' || run_id, 'again-' || run_id FROM {_RUNS} WHERE doc_id % 10 = 0),
+o AS (SELECT c.run_id, key, CASE WHEN r.status IS NULL THEN 'not_found' WHEN r.status IN ('failed', 'cancelled', 'compensation_failed') THEN 'created' ELSE 'not_allowed' END AS outcome FROM c LEFT JOIN {_RUNS} r ON r.run_id = c.run_id)
+SELECT run_id AS retry_of, key AS request_key, outcome, CASE WHEN outcome = 'created' THEN sha256(run_id || chr(31) || key || chr(31) || 'retry') END AS run_id, CASE WHEN outcome = 'created' THEN 'queued' END AS status, CASE WHEN outcome = 'created' THEN 'parsing' END AS checkpoint, CASE WHEN outcome = 'created' THEN CAST(1 AS BIGINT) END AS version FROM o""",
+        "topic_changes": """WITH t AS (SELECT page_id AS topic_id, 'u' || page_id % 4 AS owner, url AS was, page_id % 5 = 0 AS archived, page_id % 2 AS version FROM pages WHERE page_id % 3 > 0),
+c AS (SELECT event_id AS command_id, event_id % 400 AS topic_id, 'u' || CASE WHEN event_id % 11 = 0 THEN 9 ELSE event_id % 400 % 4 END AS u, ['create', 'update', 'archive'][CAST(floor(value) AS BIGINT) % 3 + 1] AS command, user_id % 2 AS ev, CASE WHEN event_id % 13 > 0 THEN 'n' || event_type END AS name FROM events),
+o AS (SELECT c.*, t.owner, t.was, t.archived AS gone, t.version AS v, CASE WHEN command <> 'archive' AND name IS NULL THEN 'invalid' WHEN command = 'create' AND owner IS NULL THEN 'created' WHEN command = 'create' THEN 'exists' WHEN owner IS NULL OR owner <> u THEN 'not_found' WHEN v <> ev THEN 'conflict' WHEN t.archived THEN 'archived' ELSE 'applied' END AS outcome FROM c LEFT JOIN t ON t.topic_id = c.topic_id)
+SELECT command_id, topic_id, command, outcome, CASE WHEN outcome = 'created' OR (outcome = 'applied' AND command = 'update') THEN name ELSE was END AS name, CASE WHEN outcome = 'created' THEN false WHEN outcome = 'applied' AND command = 'archive' THEN true ELSE gone END AS archived,
+  CASE WHEN outcome = 'created' THEN 1 WHEN outcome = 'applied' THEN v + 1 ELSE v END AS version FROM o""",
         "next_run": f"SELECT run_id, status, doc_id % 11 AS created_at FROM {_RUNS} WHERE status IN ('queued', 'running', 'validating', 'publishing', 'cancel_requested', 'compensating') ORDER BY created_at, run_id LIMIT 1",
         "trash_cancels_runs": f"SELECT CASE WHEN doc_id % 4 = 1 AND status IN {_ACTIVE} THEN 'cancel_requested' ELSE status END AS status, count(*) AS n, CAST(sum(version + CASE WHEN doc_id % 4 = 1 AND status IN {_ACTIVE} THEN 1 ELSE 0 END) AS BIGINT) AS versions FROM {_RUNS} GROUP BY 1",
         "lease_renew": "SELECT event_id AS job_id, CASE WHEN event_type = 'error' THEN 'running' ELSE 'queued' END AS status, event_type = 'error' AND event_id % 3 = 1 AND ts >= TIMESTAMP '2024-01-10' AS accepted, CASE WHEN event_type = 'error' AND event_id % 3 = 1 AND ts >= TIMESTAMP '2024-01-10' THEN TIMESTAMP '2024-01-10 00:02:00' ELSE ts END AS leased_until FROM events",
         "lease_complete": "SELECT event_id AS job_id, CASE WHEN ok THEN 'completed' WHEN event_type = 'error' THEN 'running' ELSE 'queued' END AS status, ok AS accepted, CASE WHEN NOT ok THEN 'w' || event_id % 3 END AS worker_id FROM (SELECT *, event_type = 'error' AND event_id % 3 = 2 AND ts >= TIMESTAMP '2024-01-10' AS ok FROM events)",
         "request_reservations": """WITH e AS (SELECT event_id, user_id || ':' || event_type AS key, event_id % 4 AS hash, ts, CASE WHEN event_id % 3 > 0 THEN ts + to_hours(CAST(event_id % 100 AS INTEGER)) END AS done_at FROM events),
 f AS (SELECT *, first_value(event_id) OVER w AS f_id, first_value(hash) OVER w AS f_hash, first_value(ts) OVER w AS f_ts, first_value(done_at) OVER w AS f_done FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id))
-SELECT event_id, CASE WHEN event_id = f_id THEN 'created' WHEN ts >= f_ts + INTERVAL 7 DAYS THEN 'expired' WHEN hash <> f_hash THEN 'conflict' WHEN f_done IS NULL OR f_done > ts THEN 'in_progress' ELSE 'replay' END AS outcome FROM f""",
+SELECT event_id, CASE WHEN event_id = f_id THEN 'created' WHEN hash <> f_hash THEN 'conflict' WHEN f_done IS NULL OR f_done > ts THEN 'in_progress' ELSE 'replay' END AS outcome FROM f""",
         "import_outcomes": """WITH r AS (SELECT doc_id, 'k' || (doc_id - CASE WHEN doc_id % 10 = 3 THEN 1 ELSE 0 END) AS request_key, sha256(text) AS h, CASE WHEN doc_id % 4 = 0 THEN 'u' || (doc_id // 8) END AS url FROM documents),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY request_key) AS first_id, first_value(h) OVER (PARTITION BY request_key ORDER BY doc_id) AS first_h FROM r),
 k AS (SELECT *, min(CASE WHEN doc_id = first_id THEN doc_id END) OVER (PARTITION BY h) AS c, CASE WHEN url IS NOT NULL THEN min(CASE WHEN doc_id = first_id THEN doc_id END) OVER (PARTITION BY url) END AS u FROM f)
@@ -250,7 +275,7 @@ SELECT doc_id, request_key, CASE WHEN doc_id <> first_id AND h <> first_h THEN '
         "retrieval_quality": f"""WITH {quality}, r AS (SELECT query_id, rank FROM hits JOIN documents ON CAST(doc_id AS VARCHAR) = hits.id JOIN benchmark ON item_id = query_id WHERE contains(documents.text, benchmark.text)),
 e AS (SELECT item_id, (SELECT min(rank) FROM r WHERE query_id = item_id) AS rank, item_id IN (SELECT query_id FROM hits) AS found FROM benchmark)
 SELECT count(*) AS n_queries, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, round(avg(CASE WHEN found THEN 0.0 ELSE 1.0 END), 6) AS no_result_rate FROM e""",
-        "dense_rebuild": "SELECT label AS run_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM embeddings GROUP BY 1",
+        "dense_rebuild": "SELECT label AS run_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(list_sum([CAST(floor(CAST(x AS DOUBLE) * CASE WHEN label = 2 THEN 8192 ELSE 4096 END) AS BIGINT) FOR x IN embedding])) AS BIGINT) AS total FROM embeddings GROUP BY 1",
         "redact_nested": """SELECT event_id, '{"user":{"Api_Key":"[REDACTED]","n":' || event_id || '},"list":[{"password":"[REDACTED]"},"' || event_type || '"]}' AS props FROM events""",
         "canonical_json": """SELECT event_id, sha256('{"a":' || event_id || ',"b":"' || event_type || '"}') AS hash FROM events""",
         "title_rule": "SELECT doc_id, coalesce(nullif(substr(regexp_replace(CASE WHEN doc_id % 9 > 0 THEN text ELSE '  ' END, '^\\s+|\\s+$', '', 'g'), 1, 512), ''), 'Untitled source') AS title FROM documents",

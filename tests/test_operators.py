@@ -158,7 +158,29 @@ def test_requests(spark):
     t = lambda day: dt.datetime(2024, 3, day)
     rows = [("q", "h", t(1), 1, t(2)), ("q", "h", t(1), 2, None), ("q", "g", t(3), 3, None), ("q", "h", t(4), 4, None), ("q", "h", t(9), 5, None), ("p", "h", t(2), 6, None), ("p", "h", t(3), 7, None)]
     df = spark.createDataFrame(rows, "key string, hash string, at timestamp_ntz, seq int, done_at timestamp_ntz")
-    assert [r.outcome for r in K.reserve(df).orderBy("seq").collect()] == ["created", "in_progress", "conflict", "replay", "expired", "created", "in_progress"]
+    assert [r.outcome for r in K.reserve(df).orderBy("seq").collect()] == ["created", "in_progress", "conflict", "replay", "replay", "created", "in_progress"]
+    assert sorted(r.seq for r in K.expired_records(df, F.lit("2024-03-09 00:00:00").cast("timestamp_ntz")).collect()) == [1, 2, 6]
+
+
+def test_clean_ups_end_as_they_began(spark):
+    runs = spark.createDataFrame([(f"r{k}", s, "embedding", 10, 1, e) for k, (s, e) in enumerate([("running", None), ("compensating", None), ("compensating", "broken"), ("cancel_requested", None), ("failed", "x")])], "run_id string, status string, checkpoint string, progress int, version long, last_error string")
+    commands = spark.createDataFrame([(1, "r0", "fail", 1, "why"), (2, "r1", "finish_cancel", 1, None), (3, "r2", "finish_cancel", 1, None), (4, "r3", "compensate", 1, None), (5, "r4", "fail", 1, "y"), (6, "r0", "fail", 2, "z")], "command_id int, run_id string, command string, expected_version long, error string")
+    got = {r.command_id: (r.outcome, r.status, r.version, r.last_error) for r in K.transition(commands, runs).collect()}
+    assert got == {1: ("applied", "compensating", 2, "why"), 2: ("applied", "cancelled", 2, None), 3: ("applied", "failed", 2, "broken"), 4: ("applied", "compensating", 2, None), 5: ("invalid", "failed", 1, "x"), 6: ("conflict", "running", 1, None)}
+
+
+def test_each_retry_key_makes_one_run(spark):
+    runs = spark.createDataFrame([("a", "failed"), ("b", "running")], "run_id string, status string")
+    got = K.retry(spark.createDataFrame([("a", "k1"), ("a", "k1"), ("a", "k2"), ("b", "k3"), ("c", "k4")], "run_id string, request_key string"), runs).collect()
+    assert sorted((r.retry_of, r.outcome) for r in got) == [("a", "created"), ("a", "created"), ("b", "not_allowed"), ("c", "not_found")]
+    assert len({r.run_id for r in got if r.outcome == "created"}) == 2 and all(r.run_id is None for r in got if r.outcome != "created")
+
+
+def test_topics_change_by_version(spark):
+    topics = spark.createDataFrame([("t", "u", "old", False, 3), ("s", "u", "shut", True, 1)], "topic_id string, user_id string, name string, archived boolean, version long")
+    rows = [(1, "n", "u", "create", None, " new "), (2, "t", "u", "create", None, "x"), (3, "t", "u", "update", 3, "better"), (4, "t", "u", "update", 2, "late"), (5, "t", "w", "archive", 3, None), (6, "t", "u", "archive", 3, None), (7, "s", "u", "update", 1, "x"), (8, "t", "u", "update", 3, " ")]
+    got = {r.command_id: (r.outcome, r.name, r.archived, r.version) for r in K.topic_changes(spark.createDataFrame(rows, "command_id int, topic_id string, user_id string, command string, expected_version long, name string"), topics).collect()}
+    assert got == {1: ("created", "new", False, 1), 2: ("exists", "old", False, 3), 3: ("applied", "better", False, 4), 4: ("conflict", "old", False, 3), 5: ("not_found", "old", False, 3), 6: ("applied", "old", True, 4), 7: ("archived", "shut", True, 1), 8: ("invalid", "old", False, 3)}
 
 
 def test_leases(spark):
