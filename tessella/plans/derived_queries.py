@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tessella.functions import addresses as A
 from tessella.operators import discovery as D
 from tessella.operators import embedding as E
+from tessella.operators import generation as G
 from tessella.operators import mastery as M
 from tessella.operators import overlaps as V
 from tessella.plans.queries import table
+from tessella.sources import files as S
+from tessella.sources.library import workspace
 
 #: Characters of a chunk of the embedding query.
 PIECE = 200
@@ -99,12 +102,50 @@ def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "digits", A.reachable(F.col("digits")).alias("reachable"))
 
 
-QUERIES = {f.__name__: f for f in (embedding_runs, overlap_removal, discovery_candidates, mastery_replay, learning_streaks, address_classes)}
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions: each turn's text in pieces of 40 characters, and an end."""
+    c = table(spark, sf_dir, "conversations")
+    cut_up = c.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 40))).alias("k"))
+    piece = F.substring("text", F.col("k").cast("int") * 40 + 1, F.lit(40))
+    at = F.col("turn") * 4000 + F.col("k") * 30 + F.col("k") % 7 * F.col("conv_id") % 90
+    deltas = cut_up.select(F.col("conv_id").alias("session_id"), (F.col("turn") * 1000 + F.col("k") + 1).alias("seq"), at.alias("at"), F.lit("delta").alias("kind"), piece.alias("text"))
+    ends = c.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.col("conv_id").alias("session_id"), ((F.col("turn") + 1) * 1000).alias("seq"), (F.col("turn") * 4000 + 3999).alias("at"), F.lit("session_done").alias("kind"), F.lit("").alias("text"))
+    return deltas.union(ends)
+
+
+def generation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that sessions' pieces are gathered into."""
+    e = G.session_events(_pieces(spark, sf_dir))
+    return e.select("session_id", "event_id", "kind", "at", F.sha2("text", 256).alias("text_hash"))
+
+
+def generation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two readers of each session get on coming back, of whom one has missed too much."""
+    e = G.session_events(_pieces(spark, sf_dir))
+    seen = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct().select("session_id", F.explode(F.array(F.struct(F.lit("a").alias("reader"), F.lit(1).alias("last_event_id")), F.struct(F.lit("b").alias("reader"), F.lit(6).alias("last_event_id")))).alias("x")).select("session_id", "x.*")
+    return G.replay(e, seen, 8, 3000).select("session_id", "reader", "event_id", "kind", F.sha2("text", 256).alias("text_hash"))
+
+
+QUERIES = {f.__name__: f for f in (embedding_runs, overlap_removal, discovery_candidates, mastery_replay, learning_streaks, address_classes, generation_events, generation_replay)}
 
 _OF_MODE = "[{}][event_id % 3 + 1]"
 _ZONE = "[" + ", ".join(f"'{z}'" for z in ZONES) + f"][user_id % {len(ZONES)} + 1]"
 
+#: Pieces of sessions in order, gathered piece by piece: the event's number, its first time, and its letters.
+_GATHERED = """p AS (SELECT conv_id AS s, turn * 1000 + k + 1 AS seq, turn * 4000 + k * 30 + k % 7 * conv_id % 90 AS ms, 'delta' AS kind, substr(text, k * 40 + 1, 40) AS t FROM (SELECT conv_id, turn, text, unnest(range(0, length(text) // 40 + 1)) AS k FROM conversations)
+  UNION ALL SELECT conv_id, (max(turn) + 1) * 1000, max(turn) * 4000 + 3999, 'session_done', '' FROM conversations GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY seq) AS i FROM p WHERE kind <> 'delta' OR t <> ''),
+g AS (SELECT s, i, 1 AS e, ms AS since, length(t) AS n, kind FROM o WHERE i = 1
+  UNION ALL SELECT o.s, o.i, CASE WHEN o.kind <> 'delta' OR g.n >= 512 OR g.kind <> 'delta' OR o.ms - g.since >= 200 THEN g.e + 1 ELSE g.e END, CASE WHEN o.kind <> 'delta' OR g.n >= 512 OR o.ms - g.since >= 200 THEN o.ms ELSE g.since END, CASE WHEN g.n >= 512 OR o.ms - g.since >= 200 THEN length(o.t) ELSE g.n + length(o.t) END, o.kind FROM g JOIN o ON o.s = g.s AND o.i = g.i + 1),
+v AS (SELECT o.s AS session_id, CAST(g.e AS BIGINT) AS event_id, o.kind, arg_max(o.ms, o.i) AS "at", string_agg(o.t, '' ORDER BY o.i) AS text FROM o JOIN g ON g.s = o.s AND g.i = o.i GROUP BY 1, 2, 3)"""
+
 ORACLES = {
+    "generation_events": f"WITH RECURSIVE {_GATHERED} SELECT session_id, event_id, kind, \"at\", sha256(text) AS text_hash FROM v",
+    "generation_replay": f"""WITH RECURSIVE {_GATHERED}, r AS (SELECT DISTINCT conv_id AS session_id, u.reader, u.seen FROM conversations, (VALUES ('a', 1), ('b', 6)) AS u(reader, seen)),
+l AS (SELECT v.*, reader, count(*) OVER w > 8 OR sum(strlen(text)) OVER w > 3000 AS much FROM v JOIN r ON r.session_id = v.session_id AND event_id > seen WINDOW w AS (PARTITION BY v.session_id, reader)),
+w AS (SELECT session_id, max(event_id) AS last, string_agg(text, '' ORDER BY event_id) AS text FROM v WHERE kind = 'delta' GROUP BY 1)
+SELECT session_id, reader, event_id, kind, sha256(text) AS text_hash FROM l WHERE NOT much UNION ALL SELECT l.session_id, reader, event_id, kind, sha256(l.text) FROM l JOIN w ON w.session_id = l.session_id WHERE much AND event_id > last
+UNION ALL SELECT DISTINCT l.session_id, reader, last, 'result_snapshot', sha256(w.text) FROM l JOIN w ON w.session_id = l.session_id WHERE much""",
     "mastery_replay": f"""WITH RECURSIVE e AS (SELECT *, user_id % 2 + CAST(floor(value) AS BIGINT) % 2 AS point_id, event_type = 'signup' AND event_id % 3 = 0 AS fix FROM events),
 v AS (SELECT user_id, point_id, ts, event_id, CASE WHEN fix THEN event_id % 2 = 0 ELSE event_type = 'purchase' END AS ok, {_OF_MODE.format('0.40, 0.20, 0.08')} AS g, {_OF_MODE.format('0.35, 0.15, 0.10')} AS s, {_OF_MODE.format('1.2, 1.6, 2.0')} AS up, {_OF_MODE.format('0.9, 0.6, 0.5')} AS down
   FROM e WHERE (fix OR event_type IN ('purchase', 'error')) AND event_id NOT IN (SELECT event_id - 1 FROM e WHERE fix)),
