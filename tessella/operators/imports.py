@@ -140,6 +140,23 @@ def compensated(results: DataFrame, tables: dict[str, DataFrame], now: Column) -
 OF_RUNS = ("chunks", "dense", "sparse")
 
 
+def parse_inputs(runs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """What parsing a run (id) needs: run_id, storage_path, mime_type, title, from its revision, that one's blob, and the source."""
+    r = runs.select(F.col("id").alias("run_id"), "user_id", F.col("source_revision_id").alias("revision"))
+    v = tables["source_revisions"].select(F.col("id").alias("revision"), "user_id", "content_blob_id", "mime_type", "source_document_id")
+    b = tables["content_blobs"].select(F.col("id").alias("content_blob_id"), "storage_path")
+    d = tables["source_documents"].select(F.col("id").alias("source_document_id"), "title")
+    return r.join(v, ["revision", "user_id"]).join(b, "content_blob_id").join(d, "source_document_id").select("run_id", "storage_path", "mime_type", "title")
+
+
+def first_imports(tables: dict[str, DataFrame]) -> DataFrame:
+    """The request that first imported each source: source_document_id, candidate_id, request_key, request_hash, run_id, status."""
+    q = tables["source_import_requests"].select("source_document_id", "request_key", "request_hash", F.col("ingestion_run_id").alias("run_id"), "created_at")
+    first = q.groupBy("source_document_id").agg(F.min(F.struct("created_at", "request_key", "request_hash", "run_id")).alias("q")).select("source_document_id", "q.*")
+    d = tables["source_documents"].select(F.col("id").alias("source_document_id"), "candidate_id")
+    return first.join(d, "source_document_id").join(tables["ingestion_runs"].select(F.col("id").alias("run_id"), "status"), "run_id").select("source_document_id", "candidate_id", "request_key", "request_hash", "run_id", "status")
+
+
 class Imports:
     """A library of sources, changed by whole batches."""
 

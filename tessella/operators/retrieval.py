@@ -78,11 +78,12 @@ def ranked(scores: DataFrame, limit: int) -> DataFrame:
     return scores.withColumn("rank", place).filter(F.col("rank") <= limit)
 
 
-def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, chunks: DataFrame, parent_limit: int = 3, evidence_limit: int = 2, k: int = 60) -> DataFrame:
+def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, chunks: DataFrame, parent_limit: int = 3, evidence_limit: int = 2, k: int = 60, by_rank: bool = False) -> DataFrame:
     """Reciprocal-rank fusion folded to parents: (rank, parent_chunk_id, score, evidence).
 
     hits: (id, rank); chunks in scope: (id, parent_chunk_id). Hits on other chunks are dropped; a parent scores as its
-    best child. Both hit lists are bounded by their limits.
+    best child. Ties go to smaller ids; with by_rank first to the better rank in either channel. Both hit lists are bounded
+    by their limits.
     """
     if min(parent_limit, evidence_limit, k) < 1:
         raise ValueError("fusion limits start at 1")
@@ -94,11 +95,13 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, chunks: DataFrame, paren
     share = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     scored = both.withColumn("rrf", share("dense_rank") + share("sparse_rank"))
     known = chunks.select("id", "parent_chunk_id").join(F.broadcast(scored), "id")
-    place = F.row_number().over(Window.partitionBy("parent_chunk_id").orderBy(F.desc("rrf"), "id"))
+    known = known.withColumn("best_rank", F.least("dense_rank", "sparse_rank") if by_rank else F.lit(0))
+    place = F.row_number().over(Window.partitionBy("parent_chunk_id").orderBy(F.desc("rrf"), "best_rank", "id"))
     kept = known.withColumn("place", place).filter(F.col("place") <= evidence_limit)
     evidence = F.array_sort(F.collect_list(F.struct("place", "id", "rrf", "dense_rank", "sparse_rank"))).alias("evidence")
-    top = kept.groupBy("parent_chunk_id").agg(F.max("rrf").alias("score"), evidence).orderBy(F.desc("score"), "parent_chunk_id").limit(parent_limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "parent_chunk_id")))
+    order = [F.desc("score"), F.asc("best_rank"), F.asc("parent_chunk_id")]
+    top = kept.groupBy("parent_chunk_id").agg(F.max("rrf").alias("score"), F.min_by("best_rank", "place").alias("best_rank"), evidence).orderBy(*order).limit(parent_limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("best_rank")
 
 
 def hydrate(top: DataFrame, parents: DataFrame, scope: DataFrame, dense_version: str, sparse_version: str) -> DataFrame:

@@ -11,6 +11,8 @@ from tessella.operators import embedding as E
 from tessella.operators import generation as G
 from tessella.operators import mastery as M
 from tessella.operators import overlaps as V
+from tessella.operators import reviews as W
+from tessella.plans import oracles
 from tessella.plans.queries import table
 from tessella.sources import files as S
 from tessella.sources.library import workspace
@@ -126,7 +128,40 @@ def generation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.replay(e, seen, 8, 3000).select("session_id", "reader", "event_id", "kind", F.sha2("text", 256).alias("text_hash"))
 
 
-QUERIES = {f.__name__: f for f in (embedding_runs, overlap_removal, discovery_candidates, mastery_replay, learning_streaks, address_classes, generation_events, generation_replay)}
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and documents written as files, a file each, scanned again and parsed by kind."""
+    folder = workspace(spark)
+    pages = table(spark, sf_dir, "pages").select(F.coalesce("html", F.lit("")).alias("value"), F.lit("html").alias("kind"), F.concat(F.lit("page-"), "page_id").alias("run"))
+    texts = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.lit("txt").alias("kind"), F.concat(F.lit("run-"), "doc_id").alias("run"))
+    pages.union(texts).repartition("kind", "run").write.partitionBy("kind", "run").text(folder)
+    files = S.scan(spark, folder, glob="part-*")
+    files = files.withColumn("mime_type", F.when(F.contains("path", F.lit("kind=html/")), "text/html").otherwise("text/plain"))
+    b = S.parsed(files, F.regexp_extract("path", "run=([^/]+)/", 1))
+    return b.select("run_id", F.col("block_no").cast("long").alias("block_no"), "kind", F.sha2("text", 256).alias("text_hash"))
+
+
+def rubric_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as attempts, their lines as score items."""
+    li = table(spark, sf_dir, "lineitem")
+    names = F.array(*map(F.lit, (*W.WEIGHTS, "other", "accuracy")))
+    items = li.select(F.col("l_orderkey").alias("attempt_id"), F.get(names, (F.col("l_linenumber") - 1).cast("int")).alias("criterion"), (F.col("l_partkey") % 6).cast("int").alias("points"), (F.col("l_suppkey") % 7 == 0).alias("disabled"), ((F.col("l_suppkey") * 7 + F.col("l_orderkey")) % 19 == 0).alias("severe"))
+    return W.graded(items).select("attempt_id", F.round("score", 6).alias("score"), F.col("accuracy").cast("long").alias("accuracy"), "severe", "passed")
+
+
+def review_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as points to review: the ten first of each user's topics."""
+    e = table(spark, sf_dir, "events")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    mastery = (F.col("event_id") % 90 + 5) / 100.0
+    first, passed = F.col("event_type") == "signup", F.col("event_type") != "error"
+    points = e.select(
+        "user_id", (F.col("event_id") % 3).alias("topic_id"), F.col("event_id").alias("point_id"), W.next_review(F.col("ts"), mastery, first, passed).alias("next_review_at"), F.when(F.col("event_id") % 9 == 0, F.timestamp_add("DAY", F.col("event_id") % 30, F.col("ts"))).alias("defer_until"),
+        (F.col("event_type") == "error").alias("remedial"), F.when(F.col("event_type") == "error", F.col("ts")).alias("failed_at"), mastery.alias("mastery"), F.lit(7.0).alias("half_life"), F.col("ts").alias("evaluated_at"), (F.col("event_id") % 8 > 0).alias("available"),
+    )
+    return W.offered(points, now, 10).withColumn("rank", F.col("rank").cast("long")).withColumn("overdue_days", F.col("overdue_days").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (embedding_runs, overlap_removal, discovery_candidates, mastery_replay, learning_streaks, address_classes, generation_events, generation_replay, scanned_files, rubric_grades, review_offers)}
 
 _OF_MODE = "[{}][event_id % 3 + 1]"
 _ZONE = "[" + ", ".join(f"'{z}'" for z in ZONES) + f"][user_id % {len(ZONES)} + 1]"
@@ -140,6 +175,15 @@ g AS (SELECT s, i, 1 AS e, ms AS since, length(t) AS n, kind FROM o WHERE i = 1
 v AS (SELECT o.s AS session_id, CAST(g.e AS BIGINT) AS event_id, o.kind, arg_max(o.ms, o.i) AS "at", string_agg(o.t, '' ORDER BY o.i) AS text FROM o JOIN g ON g.s = o.s AND g.i = o.i GROUP BY 1, 2, 3)"""
 
 ORACLES = {
+    "scanned_files": f"SELECT run_id, block_no, kind, text_hash FROM ({oracles.ORACLES['html_block_texts']}) UNION ALL SELECT run_id, block_no, kind, text_hash FROM ({oracles.ORACLES['text_blocks']})",
+    "rubric_grades": """WITH i AS (SELECT l_orderkey AS attempt_id, ['accuracy', 'coverage', 'mechanism', 'transfer', 'boundaries', NULL, 'accuracy'][l_linenumber] AS c, least(4, l_partkey % 6) AS points, CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE [30, 25, 20, 15, 10, 0, 30][l_linenumber] END AS w, (l_suppkey * 7 + l_orderkey) % 19 = 0 AS severe FROM lineitem),
+s AS (SELECT attempt_id, sum(w) AS total, sum(w * points) AS gained, max(points) FILTER (c = 'accuracy' AND w > 0) AS accuracy, bool_or(severe) AS severe FROM i WHERE c IS NOT NULL GROUP BY 1)
+SELECT attempt_id, CASE WHEN total > 0 THEN round(100.0::DOUBLE * gained / (4 * total), 6) END AS score, CAST(accuracy AS BIGINT) AS accuracy, severe, total > 0 AND gained * 100 >= 280 * total AND coalesce(accuracy >= 2, true) AND NOT severe AS passed FROM s""",
+    "review_offers": """WITH e AS (SELECT *, (event_id % 90 + 5) / 100.0::DOUBLE AS m FROM events),
+n AS (SELECT *, ts + to_seconds(CASE WHEN event_type = 'error' THEN 1800 WHEN event_type = 'signup' THEN 43200 ELSE CAST(round(greatest(0.5, least(60.0, 7 * ln(m / 0.4) / ln(2.0))) * 86400) AS BIGINT) END) AS due, CASE WHEN event_id % 9 = 0 THEN ts + to_days(CAST(event_id % 30 AS INTEGER)) END AS off FROM e),
+d AS (SELECT user_id, event_id % 3 AS topic_id, event_id AS point_id, event_type = 'error' AS remedial, CASE WHEN event_type = 'error' THEN ts END AS failed_at, due, date_sub('second', due, TIMESTAMP '2024-02-01') // 86400 AS overdue_days, round(0.05 + (m - 0.05) * pow(2.0, -(date_sub('second', ts, TIMESTAMP '2024-02-01') / 86400.0) / 7), 6) AS effective
+  FROM n WHERE event_id % 8 > 0 AND due <= TIMESTAMP '2024-02-01' AND (off IS NULL OR off <= TIMESTAMP '2024-02-01'))
+SELECT user_id, topic_id, point_id, row_number() OVER (PARTITION BY user_id, topic_id ORDER BY remedial DESC, overdue_days DESC, effective, failed_at DESC NULLS LAST, due, point_id) AS rank, overdue_days, effective FROM d QUALIFY rank <= 10""",
     "generation_events": f"WITH RECURSIVE {_GATHERED} SELECT session_id, event_id, kind, \"at\", sha256(text) AS text_hash FROM v",
     "generation_replay": f"""WITH RECURSIVE {_GATHERED}, r AS (SELECT DISTINCT conv_id AS session_id, u.reader, u.seen FROM conversations, (VALUES ('a', 1), ('b', 6)) AS u(reader, seen)),
 l AS (SELECT v.*, reader, count(*) OVER w > 8 OR sum(strlen(text)) OVER w > 3000 AS much FROM v JOIN r ON r.session_id = v.session_id AND event_id > seen WINDOW w AS (PARTITION BY v.session_id, reader)),

@@ -123,6 +123,13 @@ def run_compensation(spark, sf_dir):
     return _held(library)
 
 
+def import_lookups(spark, sf_dir):
+    """What parsing each run needs, and the request that first imported its source."""
+    t = _library(spark, sf_dir).tables()
+    inputs, firsts = I.parse_inputs(t["ingestion_runs"], t), I.first_imports(t)
+    return inputs.join(firsts, "run_id").select("run_id", "storage_path", "mime_type", "title", "source_document_id", "request_key", "status")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as an outbox: clicks and views wait, errors are with one of three publishers, others are out."""
     e = table(spark, sf_dir, "events")
@@ -174,7 +181,7 @@ def outbox_delivery(spark, sf_dir):
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (import_transaction, source_purge, run_compensation, outbox_claim, outbox_settle, outbox_aggregates, outbox_delivery)}
+QUERIES = {f.__name__: f for f in (import_lookups, import_transaction, source_purge, run_compensation, outbox_claim, outbox_settle, outbox_aggregates, outbox_delivery)}
 
 _US = "chr(31)"
 #: d: each document with its batch's outcome; lead: the document whose request made its source.
@@ -205,6 +212,7 @@ UNION ALL SELECT 'chunks', '', count(*) FROM {stays} UNION ALL SELECT 'dense', '
 _PURGED = "doc_id % 5 = 0 OR doc_id % 10 = 1"
 _CLEANED = "doc_id % 4 = 0 AND doc_id % 3 > 0"
 ORACLES = {
+    "import_lookups": f"WITH {_IMPORTED} SELECT run AS run_id, h[1:2] || '/' || h || '.txt' AS storage_path, 'text/plain' AS mime_type, text[1:40] AS title, src AS source_document_id, first_value('k' || doc_id) OVER (PARTITION BY u, h ORDER BY doc_id % 2, 'k' || doc_id) AS request_key, 'queued' AS status FROM d QUALIFY doc_id = lead",
     "import_transaction": f"WITH {_IMPORTED} " + " UNION ALL ".join(_digest(*t) for t in _TABLES),
     "source_purge": _left(f"CASE WHEN {_PURGED} THEN 'purged' WHEN doc_id % 5 = 1 THEN 'purging' ELSE 'active' END", "'queued'", _PURGED, _PURGED),
     "run_compensation": _left("'active'", "CASE WHEN doc_id % 4 > 0 THEN 'queued' WHEN doc_id % 3 = 0 THEN 'compensation_failed' WHEN doc_id % 8 = 0 THEN 'failed' ELSE 'cancelled' END", _CLEANED, "false"),

@@ -116,20 +116,25 @@ def topic_changes(spark, sf_dir):
     return K.topic_changes(commands, topics)
 
 
-def _fused(spark, sf_dir):
+def _fused(spark, sf_dir, by_rank=False):
     d = table(spark, sf_dir, "documents")
     hits = lambda order: d.select(F.concat(F.lit("c"), "doc_id").alias("id"), "doc_id", "n_chars").orderBy(*order).limit(20)
     from pyspark.sql import Window
 
     ranked = lambda order: hits(order).select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
     chunks = d.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2).cast("string")).alias("parent_chunk_id"))
-    return R.fuse(ranked([F.desc("n_chars"), F.col("doc_id")]), ranked([F.desc(F.col("n_chars") % 1000), F.col("doc_id")]), chunks, parent_limit=10)
+    return R.fuse(ranked([F.desc("n_chars"), F.col("doc_id")]), ranked([F.desc(F.col("n_chars") % 1000), F.col("doc_id")]), chunks, parent_limit=10, by_rank=by_rank)
 
 
 def rrf_fusion(spark, sf_dir):
     return _fused(spark, sf_dir).select(F.col("rank").cast("long").alias("rank"), "parent_chunk_id", F.round("score", 9).alias("score"), F.size("evidence").cast("long").alias("n_evidence"))
 
 
+def rrf_fusion_by_rank(spark, sf_dir):
+    """The same with ties broken by the better rank in either channel."""
+    return _fused(spark, sf_dir, True).select(F.col("rank").cast("long").alias("rank"), "parent_chunk_id", F.round("score", 9).alias("score"))
+
+
 def hydrated_parents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0")
     parents = d.select(F.concat(F.lit("p"), F.floor(F.col("doc_id") / 2).cast("string")).alias("id"), F.concat(F.lit("run-"), "doc_id").alias("run_id"), "text")
@@ -213,7 +218,7 @@ def review_schedule(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_titles, html_block_texts, cas_classify, run_retry, next_run, trash_cancels_runs, lease_renew, lease_complete, request_reservations, import_outcomes, purge_due, topic_listing, topic_unlink, topic_changes, rrf_fusion,
+    html_titles, html_block_texts, cas_classify, run_retry, next_run, trash_cancels_runs, lease_renew, lease_complete, request_reservations, import_outcomes, purge_due, topic_listing, topic_unlink, topic_changes, rrf_fusion, rrf_fusion_by_rank,
     hydrated_parents, retrieval_quality, dense_rebuild, redact_nested, canonical_json, title_rule, text_decode, text_collapse, request_hashes, index_names, etag_versions, consent_filter, review_schedule,
 )}
 
@@ -271,6 +276,9 @@ SELECT doc_id, request_key, CASE WHEN doc_id <> first_id AND h <> first_h THEN '
         "topic_listing": "SELECT source AS topic_id, min(doc_id) AS created_at, count(*) AS n_sources FROM documents GROUP BY 1 HAVING min(doc_id) % 3 <> 1",
         "topic_unlink": "SELECT source AS topic_id, count(*) AS n_links FROM documents GROUP BY 1 HAVING min(doc_id) % 3 <> 1",
         "rrf_fusion": f"WITH {_FUSED} SELECT row_number() OVER (ORDER BY score DESC, parent_chunk_id) AS rank, parent_chunk_id, round(score, 9) AS score, n AS n_evidence FROM pa",
+        "rrf_fusion_by_rank": f"""WITH {_FUSED}, bu AS (SELECT coalesce(a.id, h.id) AS id, least(a.rank, h.rank) AS br, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + h.rank), 0) AS rrf FROM a FULL JOIN h ON a.id = h.id),
+be AS (SELECT 'p' || (CAST(id[2:] AS BIGINT) // 2) AS parent_chunk_id, rrf, br FROM bu QUALIFY row_number() OVER (PARTITION BY CAST(id[2:] AS BIGINT) // 2 ORDER BY rrf DESC, br, id) = 1)
+SELECT row_number() OVER (ORDER BY rrf DESC, br, parent_chunk_id) AS rank, parent_chunk_id, round(rrf, 9) AS score FROM be QUALIFY rank <= 10""",
         "hydrated_parents": f"WITH {_FUSED} SELECT parent_chunk_id, 'run-' || doc_id AS run_id, sha256(text) AS text_hash, round(score, 9) AS score FROM pa JOIN documents ON doc_id % 2 = 0 AND parent_chunk_id = 'p' || (doc_id // 2) WHERE doc_id % 3 <> 0",
         "retrieval_quality": f"""WITH {quality}, r AS (SELECT query_id, rank FROM hits JOIN documents ON CAST(doc_id AS VARCHAR) = hits.id JOIN benchmark ON item_id = query_id WHERE contains(documents.text, benchmark.text)),
 e AS (SELECT item_id, (SELECT min(rank) FROM r WHERE query_id = item_id) AS rank, item_id IN (SELECT query_id FROM hits) AS found FROM benchmark)

@@ -86,3 +86,36 @@ def test_streaks_follow_local_days(spark):
     assert sorted((r.user_id, str(r.day)) for r in days.collect()) == [(1, "2024-03-29"), (1, "2024-03-30"), (1, "2024-03-31"), (2, "2024-03-09"), (2, "2024-03-10"), (2, "2024-03-12"), (3, "2024-03-01"), (3, "2024-03-01")]
     got = {r.user_id: (r.n_days, r.longest, r.current) for r in M.streaks(days, F.lit("2024-04-01").cast("date")).collect()}
     assert got == {1: (3, 3, 3), 2: (3, 2, 0), 3: (1, 1, 0)}
+
+
+def test_grades_over_the_criteria_that_count(spark):
+    from tessella.operators import reviews as W
+
+    full = [("a", c, 3, False, False) for c in W.WEIGHTS]  # 75
+    rows = full + [("b", "accuracy", 1, False, False), ("b", "coverage", 4, False, False), ("b", "mechanism", 4, False, False), ("c", "accuracy", 4, True, False), ("c", "coverage", 3, False, False), ("c", "unknown", 0, False, True), ("d", "accuracy", 4, False, True), ("e", "accuracy", 9, True, None), ("f", "accuracy", None, None, None), ("g", "accuracy", 2, False, False), ("g", "coverage", 4, False, False), ("g", "boundaries", 3, False, False)]
+    got = {r.attempt_id: (r.score, r.passed) for r in W.graded(spark.createDataFrame(rows, "attempt_id string, criterion string, points int, disabled boolean, severe boolean")).collect()}
+    assert got == {"a": (75.0, True), "b": (70.0, False), "c": (75.0, True), "d": (100.0, False), "e": (None, False), "f": (0.0, False), "g": (100 * 190 / 260, True)}
+
+
+def test_reviews_come_due(spark):
+    from tessella.operators import reviews as W
+
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(at, 0.2, True, True), (at, 0.9, False, False), (at, 0.8, False, True), (at, 0.05, False, True)], "at timestamp_ntz, p double, first boolean, passed boolean")
+    due = [r.due - at for r in df.select(W.next_review(F.col("at"), F.col("p"), F.col("first"), F.col("passed")).alias("due")).collect()]
+    assert due == [dt.timedelta(hours=12), dt.timedelta(minutes=30), dt.timedelta(days=7), dt.timedelta(hours=12)]
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    rows = [("low", 1, None, False, None, 0.2, True), ("high", 1, None, False, None, 0.9, True), ("again", 9, None, True, 9, 0.9, True), ("off", 1, 20, False, None, 0.2, True), ("back", 1, 5, False, 3, 0.9, True), ("later", 11, None, True, 9, 0.2, True), ("gone", 1, None, True, 9, 0.2, False)]
+    day = lambda d: d and dt.datetime(2024, 1, d)
+    points = spark.createDataFrame([("u", "t", p, day(due), day(off), retry, day(failed), m, 7.0, at, ok) for p, due, off, retry, failed, m, ok in rows], "user_id string, topic_id string, point_id string, next_review_at timestamp_ntz, defer_until timestamp_ntz, remedial boolean, failed_at timestamp_ntz, mastery double, half_life double, evaluated_at timestamp_ntz, available boolean")
+    assert [r.point_id for r in W.offered(points, now).orderBy("rank").collect()] == ["again", "low", "back", "high"]
+
+
+def test_fusion_ties_go_to_the_better_rank(spark):
+    from tessella.operators import retrieval as R
+
+    dense, sparse = (spark.createDataFrame(x, "id string, rank int") for x in ([("a", 3), ("b", 1), ("c", 2)], [("a", 3), ("z", 1), ("y", 2)]))
+    chunks = spark.createDataFrame([(i, "p" + i) for i in "abcyz"], "id string, parent_chunk_id string")
+    assert [r.parent_chunk_id for r in R.fuse(dense, sparse, chunks, 5).orderBy("rank").collect()] == ["pa", "pb", "pz", "pc", "py"]
+    level = R.fuse(spark.createDataFrame([("a", 2), ("b", 1)], "id string, rank int"), spark.createDataFrame([("a", 1), ("b", 2)], "id string, rank int"), chunks, 5, by_rank=True)
+    assert [r.parent_chunk_id for r in level.orderBy("rank").collect()] == ["pa", "pb"]
