@@ -3,14 +3,18 @@
 A page becomes blocks at its block-level tags; what can't be article text by markup alone (scripts, styles,
 navigation, asides, and elements whose whole name is that of an advert, a notice, a menu, comments and the like) is
 left out. The first pass judges each block by itself: links with little text around them make it bad, stop words and
-length make it good, and short blocks, headings and doubtful ones stay open. The second pass gives each open block the
+length make it good, and short blocks, headings and doubtful ones stay open; so do shorter blocks of few stop words without links,
+which need good neighbours on both sides. The second pass gives each open block the
 label of its nearest decided neighbours: both agree, or else headings follow what comes after them and other blocks
 follow a good neighbour only if their own stop words speak for it.
 
-Markup that names the article (article, main, role=main) is one feature of a block, not a verdict: inside, fewer
-stop words do and what speaks against a block leaves it open, and open blocks look at neighbours inside; outside,
-what would be good is only open and needs a good neighbour on either side. A mark with nothing decided in it keeps
-its open blocks. On a page whose text the stop lists don't fit, length and links alone decide.
+Markup that names the article (article, main, role=main) is one feature of a block, not a verdict. It counts if at
+least half of the text that is good by itself stands inside, and is passed over otherwise (a teaser may be marked and its article
+not). If it counts, fewer stop words do inside and what speaks against a block leaves it open, and open blocks look at
+neighbours inside; outside, long blocks of many stop words stay good, and what else would be good is only open and needs
+a good neighbour on either side. A mark with nothing decided in it keeps its open blocks. On a page whose text the
+stop lists don't fit, length and links alone decide. A page of less text than a long block is too short to be judged: what isn't all
+links stays.
 
 A null, empty or markup-only page has an empty text. A page cut off anywhere is read to its end, and a long one in
 one pass. Repeated rows are extracted alone; page_id and url pass through, null or not. An empty table has no rows.
@@ -59,7 +63,7 @@ FURNITURE = frozenset(
     menubar modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion related respond share sharing
     sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split()
 )
-PLAIN_NAMES = frozenset("area bar block bottom box buttons col column group header holder inner item items left link links list panel right section small top".split())
+PLAIN_NAMES = frozenset("area articles bar block body bottom box buttons col column content group header holder inner item items left link links list news panel posts right section slot small space stories text top unit zone".split())
 HOLDERS = frozenset("container outer wrap wrapper".split())
 MODIFIERS = frozenset("hide is no not show with without has".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\Z)|[^>]*+(?:>|\Z))|</?\Z""", re.S)
@@ -219,40 +223,51 @@ def stop_shares(found: list[Block]) -> list[float]:
     return [n / len(x) if x else 0.0 for n, x in zip(stops, words)]
 
 
-def first_pass(b: Block, stops: float, marked: bool) -> bool | None:
-    """A block's label by itself; None: open. marked: the page has an article with text."""
-    against = None if b.inside else False
+def first_pass(b: Block, stops: float, inside: bool, marked: bool) -> bool | None:
+    """A block's label by itself; None: open. marked: the page has an article that counts, inside: the block stands in it."""
+    against = None if inside else False
     if b.linked > LINKS and len(b.text) * (1 - b.linked) < SHORT or len(b.text) < LONG and ("©" in b.text or b.form):
         return against
     if b.heading or len(b.text) < SHORT:
         return None
-    if stops >= (STOPS_LOW if b.inside or len(b.text) >= LONG else STOPS_HIGH):
-        return None if marked and not b.inside else True
-    return None if stops >= STOPS_LOW else against
+    if stops >= (STOPS_LOW if inside or len(b.text) >= LONG else STOPS_HIGH):
+        return None if marked and not inside and (len(b.text) < LONG or stops < STOPS_HIGH) else True
+    return None if stops >= STOPS_LOW or not b.linked and len(b.text) < LONG else against
+
+
+def mark_counts(found: list[Block], shares: list[float]) -> bool:
+    """Whether at least half of the text that is good by itself, if there is any, stands in a marked article."""
+    if not any(b.inside for b in found):
+        return False
+    good = [b for b, s in zip(found, shares) if first_pass(b, s, False, False)]
+    return 2 * sum(len(b.text) for b in good if b.inside) >= sum(len(b.text) for b in good)
 
 
 def label(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
-    marked = any(b.inside for b in found)
+    if sum(len(b.text) for b in found) < LONG:
+        return [b.linked < 1 and "©" not in b.text and not b.form and (b.inside or not any(x.inside for x in found)) for b in found]
     shares = stop_shares(found)
-    first = [first_pass(b, s, marked) for b, s in zip(found, shares)]
+    marked = mark_counts(found, shares)
+    insides = [marked and b.inside for b in found]
+    first = [first_pass(b, s, inside, marked) for b, s, inside in zip(found, shares, insides)]
     around = nearest(first)
-    within = [k for k, b in enumerate(found) if b.inside]
+    within = [k for k, inside in enumerate(insides) if inside]
     for k, pair in zip(within, nearest([first[k] for k in within])):
         around[k] = pair
     out = []
-    for b, share, x, (a, z) in zip(found, shares, first, around):
+    for b, share, inside, x, (a, z) in zip(found, shares, insides, first, around):
         if x is None:
-            if marked and not b.inside:
-                x = bool(a and z)
+            if marked and not inside or not inside and not b.heading and len(b.text) >= SHORT and share < STOPS_LOW:
+                x = bool(a and z)  # what speaks against it takes good text on both sides
             elif a is None and z is None:  # nothing is decided: a page, or an article, of a few words
-                x = b.inside or b.linked == 0
+                x = inside or b.linked == 0
             elif a is None or z is None or a == z:
                 x = bool(a or z)
             elif b.heading:
                 x = bool(z)
             else:
-                x = b.inside or share >= STOPS_HIGH
+                x = inside or share >= STOPS_HIGH
         out.append(x)
     return out
 

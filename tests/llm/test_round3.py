@@ -182,3 +182,38 @@ def test_chats_in_native_expressions_only(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat_format.chats(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+PROSE = "The people of the village were glad that the rain had come, for it was late in the year and there was little water in the wells."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # a teaser is marked and the article isn't: the text decides
+        ("<div>" + f"<p>{PROSE * 3}" * 4 + f"</div><article><p>{PROSE}</article>", "\n\n".join([PROSE * 3] * 4 + [PROSE])),
+        # long text of many stop words beside the article stays
+        (f"<article><p>{PROSE * 4}</article><div><p>{PROSE * 3}</div>", f"{PROSE * 4}\n\n{PROSE * 3}"),
+        (f"<main><p>{PROSE}<div class=ad-slot>{PROSE}</div><div class='related-articles'>{PROSE}</div><div id=comment-body>{PROSE}</div><div class=articles>{PROSE}</div></main>", f"{PROSE}\n\n{PROSE}"),
+        ("<p>See <a href=x>this page</a> for it</p>", "See this page for it"),
+        ("<p><a href=x>Home</a></p>", ""),
+        (f"<p>{PROSE}<p>Hetible noneth brought stones eleven granite, marble, copper, forty tons alone.<p>{PROSE}", f"{PROSE}\n\nHetible noneth brought stones eleven granite, marble, copper, forty tons alone.\n\n{PROSE}"),
+        (f"<p>Hetible noneth brought stones eleven granite, marble, copper, forty tons alone.<p>{PROSE}", PROSE),
+    ],
+)
+def test_text_decides_and_marks_help(page, want):
+    from tessella.llm import main_text
+
+    assert main_text.main_text(page) == want
+
+
+def test_most_blocks_keep_their_label_without_marks():
+    import os
+
+    import pyarrow.parquet as pq
+
+    from tessella.llm import main_text
+
+    pages = pq.read_table(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001") + "/pages.parquet", columns=["html"])["html"].to_pylist()
+    same = [x == y for page in pages for x, y in zip(main_text.label(main_text.blocks(page or "")), main_text.label(main_text.blocks(re.sub("<(/?)article>", r"<\1div>", page or ""))))]
+    assert sum(same) > 0.95 * len(same)
