@@ -245,6 +245,13 @@ def oracles(bm25) -> dict[str, str]:
     quality = bm25("(SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents)", "(SELECT item_id AS query_id, text AS query FROM benchmark)", 3)
     return {
         "html_titles": "SELECT 'page-' || page_id AS run_id, trim(regexp_replace(" + _unescaped("regexp_extract(html, '<title>([^<]*)', 1)") + ", '\\s+', ' ', 'g')) AS title FROM pages",
+        "html_blocks": f"""WITH {_HTML}, n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS block_no, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, text,
+  coalesce(last_value(CASE WHEN tag = 'h1' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block_no), '') AS title_path FROM t WHERE text <> '')
+SELECT 'page-' || p.page_id AS run_id, nullif(trim(regexp_replace({_unescaped("regexp_extract(p.html, '<title>([^<]*)', 1)")}, '\\s+', ' ', 'g')), '') AS title, CAST(block_no AS INTEGER) AS block_no, CASE WHEN block_no IS NOT NULL THEN 1 END AS page_number, kind, text, title_path FROM pages p LEFT JOIN n ON n.page_id = p.page_id""",
+        "html_markdown": f"""WITH {_HTML} SELECT 'page-' || page_id AS run_id, trim(string_agg(CASE tag WHEN 'h1' THEN '# ' WHEN 'li' THEN '- ' ELSE '' END || text, chr(10) || chr(10) ORDER BY block_no), ' ') || chr(10) AS markdown FROM t WHERE text <> '' GROUP BY page_id""",
+        "mastery_projection": """WITH RECURSIVE o AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'error')),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0.2 AS DOUBLE) AS p FROM o UNION ALL SELECT o.user_id, o.k, least(0.98, greatest(0.05, q + (1 - q) * 0.1)) FROM (SELECT o.user_id, o.k, CASE WHEN ok THEN p * 0.85 / (p * 0.85 + (1 - p) * 0.2) ELSE p * 0.15 / (p * 0.15 + (1 - p) * 0.8) END AS q FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) o)
+SELECT user_id, round(p, 9) AS mastery, k AS n FROM f WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""",
         "html_block_texts": f"WITH {_HTML} SELECT 'page-' || page_id AS run_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS block_no, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, sha256(text) AS text_hash, CAST(count(CASE WHEN tag = 'h1' THEN 1 END) OVER (PARTITION BY page_id ORDER BY block_no) > 0 AS BIGINT) AS depth FROM t WHERE text <> ''",
         "cas_classify": f"""WITH w(s) AS (VALUES ('queued'), ('running'), ('validating'), ('publishing')),
 t AS (SELECT * FROM (VALUES ('publish', 'publishing', 'publishing', 'published', 100), ('compensate', 'cancel_requested', NULL, 'compensating', NULL), ('finish_cancel', 'compensating', NULL, 'cancelled', NULL), ('fail_cancel', 'compensating', NULL, 'compensation_failed', NULL)) AS x(command, status, needs, next, done)

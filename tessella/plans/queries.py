@@ -97,7 +97,7 @@ def pages_as_runs(spark, sf_dir):
 
 
 def html_blocks(spark, sf_dir):
-    return P.html_blocks(pages_as_runs(spark, sf_dir))
+    return P.html_blocks(pages_as_runs(spark, sf_dir)).withColumn("title_path", F.array_join("title_path", " / "))
 
 
 def html_markdown(spark, sf_dir):
