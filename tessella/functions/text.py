@@ -6,6 +6,7 @@ import hashlib
 import json
 import unicodedata
 import uuid
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,6 +81,32 @@ def normal_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), F.lower(url_part(url, 3)), F.when(standard, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+@F.pandas_udf(StringType())
+def joined_url(base: pd.Series, reference: pd.Series) -> pd.Series:
+    """Where a redirect leads: a reference as seen from a page's address; null if either is or they can't be joined."""
+
+    def one(b: str | None, r: str | None) -> str | None:
+        try:
+            return None if b is None or r is None else urljoin(b, r)
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, r) for b, r in zip(base, reference)])
+
+
+def iso_text(at: Column) -> Column:
+    """A UTC time to the second as ISO 8601."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def iso_time(text: Column) -> Column:
+    """An ISO 8601 time, with Z, an offset or neither (then UTC), as UTC without zone; null if it is none."""
+    whole = F.regexp_extract(F.btrim(text), r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)(?:[Zz]|([+-])([0-9]{2}):?([0-9]{2}))?$", 0)
+    part = lambda k: F.regexp_extract(whole, r"^([0-9-]{10})[Tt ]([0-9:.]+)(?:[Zz]|([+-])([0-9]{2}):?([0-9]{2}))?$", k)
+    minutes = F.when(part(3) == "", 0).otherwise((part(4).try_cast("int") * 60 + part(5).try_cast("int")) * F.when(part(3) == "-", -1).otherwise(1))
+    return F.concat_ws(" ", part(1), part(2)).try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+
+
 def hostname(url: Column) -> Column:
     host = F.btrim(F.lower(url_part(url, 3)), F.lit("[]"))
     return F.when(host != "", host).otherwise("Web source")

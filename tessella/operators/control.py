@@ -237,3 +237,24 @@ def rebuild_run(index: DataFrame, chunks: DataFrame, vectors: DataFrame, dimensi
     if bad["unmatched"] or bad["misfit"] or bad["repeated"] or bad["runs"] > 1:
         raise ValueError(f"vectors don't fit the run's chunks: {bad.asDict()}")
     return replace_run(index, both.select("id", "run_id", "vector"))
+
+
+def resolve_sessions(requests: DataFrame, sessions: DataFrame, users: DataFrame, hours: int = 12) -> DataFrame:
+    """Who asks: (request_id, user_id, outcome, expires_at) of requests (request_id, token, at).
+
+    sessions: token_hash, user_id, expires_at, revoked_at; users: user_id, active. A session is found by its token's hash, must not be
+    revoked or expired by then, and its user must be active; it is then good for `hours` more.
+    """
+    found = requests.withColumn("token_hash", F.sha2("token", 256)).join(sessions, "token_hash", "left").join(users, "user_id", "left")
+    outcome = F.when(F.col("expires_at").isNull(), "not_found").when(F.col("revoked_at") <= F.col("at"), "revoked").when(F.col("expires_at") <= F.col("at"), "expired").when(~F.coalesce("active", F.lit(False)), "inactive").otherwise("ok")
+    ok = F.col("outcome") == "ok"
+    later = F.col("at") + F.make_dt_interval(F.lit(0), F.lit(hours))
+    return found.withColumn("outcome", outcome).select("request_id", F.when(ok, F.col("user_id")).alias("user_id"), "outcome", F.when(ok, F.greatest("expires_at", later)).otherwise(F.col("expires_at")).alias("expires_at"))
+
+
+def cancel_due_purges(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """jobs (job_type, status, payload as JSON) with the waiting purges of sources (user_id, source_id) that were restored or purged cancelled."""
+    asked = jobs.withColumn("_u", F.get_json_object("payload", "$.user_id")).withColumn("_s", F.get_json_object("payload", "$.source_document_id"))
+    gone = sources.select(F.col("user_id").alias("_u"), F.col("source_id").alias("_s")).distinct().withColumn("_hit", F.lit(True))
+    hit = F.col("_hit").isNotNull() & (F.col("job_type") == "source.purge_due") & (F.col("status") == "queued")
+    return asked.join(gone, ["_u", "_s"], "left").withColumn("status", F.when(hit, "cancelled").otherwise(F.col("status"))).select(jobs.columns)

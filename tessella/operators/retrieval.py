@@ -67,12 +67,24 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 20, k1: float = 1.2
     return ranked(total, limit)
 
 
-def dense(vectors: DataFrame, query: Column, limit: int = 20) -> DataFrame:
-    """(id, score, rank) of the nearest vectors (id, vector) by cosine, exactly; ties to the smaller id."""
+def dense(vectors: DataFrame, query: Column, limit: int = 20, dimension: int | None = None) -> DataFrame:
+    """(id, score, rank) of the nearest vectors (id, vector) by cosine, exactly; ties to the smaller id.
+
+    dimension: what the index's vectors have; a query of another one is an error, and not a list of wrong scores.
+    """
+    if dimension is not None:
+        query = F.when(F.size(query) == dimension, query).otherwise(F.raise_error(F.lit(f"the query's vector doesn't have {dimension} components")))
     scored = vectors.select("id", cosine(F.col("vector"), query).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
     return scored.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
+def of_version(vectors: DataFrame, version: str, query_version: str) -> DataFrame:
+    """The vectors (version) that a query embedded under query_version may be compared with; ValueError if the index has moved on."""
+    if version != query_version:
+        raise ValueError(f"the query is of version {query_version}, the index of {version}")
+    return vectors.filter(F.col("version") == version)
+
+
 def ranked(scores: DataFrame, limit: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", place).filter(F.col("rank") <= limit)

@@ -130,6 +130,20 @@ def import_lookups(spark, sf_dir):
     return inputs.join(firsts, "run_id").select("run_id", "storage_path", "mime_type", "title", "source_document_id", "request_key", "status")
 
 
+def index_swap(spark, sf_dir):
+    """What an index of three tables holds after two runs were replaced in all of them at once, one of them by nothing in one table."""
+    v = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("c"), "vec_id").alias("id"), F.concat(F.lit("run-"), "label").alias("run_id"), "vec_id", "embedding")
+    library = I.Library(spark, workspace(spark), I.KEYS)
+    of = lambda df, n: {"chunks": df.select("id", "run_id", "vec_id"), "dense": df.select("id", "run_id", F.transform("embedding", lambda x: x * n).alias("vector")), "sparse": df.select("id", "run_id", F.lit("term").alias("term"), F.lit(n).alias("tf"))}
+    library.replace_runs(of(v, 1))
+    new = of(v.filter("run_id in ('run-2', 'run-5') and vec_id % 2 = 0"), 2)
+    library.replace_runs({**new, "sparse": new["sparse"].filter("run_id = 'run-2'")}, v.filter("run_id in ('run-2', 'run-5')").select("run_id"))
+    chunks, dense, sparse = (library.read(t) for t in I.OF_RUNS)
+    letters = F.aggregate("vector", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 4096))
+    sums = chunks.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids")).join(dense.groupBy("run_id").agg(F.sum(letters).alias("total")), "run_id", "left")
+    return sums.join(sparse.groupBy("run_id").agg(F.sum("tf").alias("tf")), "run_id", "left")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as an outbox: clicks and views wait, errors are with one of three publishers, others are out."""
     e = table(spark, sf_dir, "events")
@@ -181,7 +195,7 @@ def outbox_delivery(spark, sf_dir):
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (import_lookups, import_transaction, source_purge, run_compensation, outbox_claim, outbox_settle, outbox_aggregates, outbox_delivery)}
+QUERIES = {f.__name__: f for f in (import_lookups, index_swap, import_transaction, source_purge, run_compensation, outbox_claim, outbox_settle, outbox_aggregates, outbox_delivery)}
 
 _US = "chr(31)"
 #: d: each document with its batch's outcome; lead: the document whose request made its source.
@@ -212,6 +226,8 @@ UNION ALL SELECT 'chunks', '', count(*) FROM {stays} UNION ALL SELECT 'dense', '
 _PURGED = "doc_id % 5 = 0 OR doc_id % 10 = 1"
 _CLEANED = "doc_id % 4 = 0 AND doc_id % 3 > 0"
 ORACLES = {
+    "index_swap": """WITH v AS (SELECT *, label IN (2, 5) AS new FROM embeddings WHERE label NOT IN (2, 5) OR vec_id % 2 = 0)
+SELECT 'run-' || label AS run_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(sum(list_sum([CAST(floor(CAST(x AS DOUBLE) * CASE WHEN new THEN 8192 ELSE 4096 END) AS BIGINT) FOR x IN embedding])) AS BIGINT) AS total, CAST(CASE label WHEN 5 THEN NULL WHEN 2 THEN 2 * count(*) ELSE count(*) END AS BIGINT) AS tf FROM v GROUP BY label""",
     "import_lookups": f"WITH {_IMPORTED} SELECT run AS run_id, h[1:2] || '/' || h || '.txt' AS storage_path, 'text/plain' AS mime_type, text[1:40] AS title, src AS source_document_id, first_value('k' || doc_id) OVER (PARTITION BY u, h ORDER BY doc_id % 2, 'k' || doc_id) AS request_key, 'queued' AS status FROM d QUALIFY doc_id = lead",
     "import_transaction": f"WITH {_IMPORTED} " + " UNION ALL ".join(_digest(*t) for t in _TABLES),
     "source_purge": _left(f"CASE WHEN {_PURGED} THEN 'purged' WHEN doc_id % 5 = 1 THEN 'purging' ELSE 'active' END", "'queued'", _PURGED, _PURGED),

@@ -116,6 +116,34 @@ def topic_changes(spark, sf_dir):
     return K.topic_changes(commands, topics)
 
 
+def session_users(spark, sf_dir):
+    """Events as requests under sessions of their users, some of them revoked, expired or of users who left."""
+    e = table(spark, sf_dir, "events")
+    token = F.concat(F.lit("t"), F.col("user_id") % 40)
+    users = e.select(F.col("user_id")).distinct().select("user_id", (F.col("user_id") % 6 > 0).alias("active"))
+    start = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    one = users.filter("user_id < 30").select(F.sha2(F.concat(F.lit("t"), "user_id"), 256).alias("token_hash"), "user_id", F.timestamp_add("DAY", F.col("user_id") % 20, start).alias("expires_at"), F.when(F.col("user_id") % 4 == 1, F.timestamp_add("DAY", F.col("user_id") % 9, start)).alias("revoked_at"))
+    return K.resolve_sessions(e.select(F.col("event_id").alias("request_id"), token.alias("token"), F.col("ts").alias("at")), one, users)
+
+
+def purges_cancelled(spark, sf_dir):
+    """Purge jobs of documents after some of those were restored."""
+    d = table(spark, sf_dir, "documents")
+    user = F.when(F.col("doc_id") % 7 != 0, "user-1").otherwise("user-2")
+    jobs = d.select(F.col("doc_id").alias("job_id"), F.when(F.col("doc_id") % 3 == 0, "source.purge").otherwise("source.purge_due").alias("job_type"), F.when(F.col("doc_id") % 5 == 0, "running").otherwise("queued").alias("status"), F.to_json(F.struct(user.alias("user_id"), F.col("doc_id").cast("string").alias("source_document_id"))).alias("payload"))
+    restored = d.filter("doc_id % 2 = 0").select(F.lit("user-1").alias("user_id"), F.col("doc_id").cast("string").alias("source_id"))
+    return K.cancel_due_purges(jobs, restored).select("job_id", "job_type", "status")
+
+
+def redirect_targets(spark, sf_dir):
+    """Where redirects from pages lead, and times as they are told and read."""
+    p = table(spark, sf_dir, "pages")
+    reference = F.get(F.array(F.lit("/a/b"), F.lit("?q=1"), F.lit("https://other.org/x")), (F.col("page_id") % 3).cast("int"))
+    at = F.timestamp_add("MINUTE", F.col("page_id") * 7919, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    told = F.concat(F.substring(T.iso_text(at), 1, 19), F.when(F.col("page_id") % 2 == 0, "Z").otherwise("+05:30"))
+    return p.select("page_id", T.joined_url(F.regexp_replace("url", "[?#].*$", ""), reference).alias("target"), T.iso_text(at).alias("told"), T.iso_time(told).alias("read"))
+
+
 def _fused(spark, sf_dir, by_rank=False):
     d = table(spark, sf_dir, "documents")
     hits = lambda order: d.select(F.concat(F.lit("c"), "doc_id").alias("id"), "doc_id", "n_chars").orderBy(*order).limit(20)
@@ -218,7 +246,7 @@ def review_schedule(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_titles, html_block_texts, cas_classify, run_retry, next_run, trash_cancels_runs, lease_renew, lease_complete, request_reservations, import_outcomes, purge_due, topic_listing, topic_unlink, topic_changes, rrf_fusion, rrf_fusion_by_rank,
+    html_titles, html_block_texts, cas_classify, run_retry, next_run, trash_cancels_runs, lease_renew, lease_complete, request_reservations, import_outcomes, purge_due, topic_listing, topic_unlink, topic_changes, session_users, purges_cancelled, redirect_targets, rrf_fusion, rrf_fusion_by_rank,
     hydrated_parents, retrieval_quality, dense_rebuild, redact_nested, canonical_json, title_rule, text_decode, text_collapse, request_hashes, index_names, etag_versions, consent_filter, review_schedule,
 )}
 
@@ -283,6 +311,13 @@ SELECT doc_id, request_key, CASE WHEN doc_id <> first_id AND h <> first_h THEN '
         "topic_listing": "SELECT source AS topic_id, min(doc_id) AS created_at, count(*) AS n_sources FROM documents GROUP BY 1 HAVING min(doc_id) % 3 <> 1",
         "topic_unlink": "SELECT source AS topic_id, count(*) AS n_links FROM documents GROUP BY 1 HAVING min(doc_id) % 3 <> 1",
         "rrf_fusion": f"WITH {_FUSED} SELECT row_number() OVER (ORDER BY score DESC, parent_chunk_id) AS rank, parent_chunk_id, round(score, 9) AS score, n AS n_evidence FROM pa",
+        "session_users": """WITH u AS (SELECT DISTINCT user_id, user_id % 6 > 0 AS active FROM events),
+s AS (SELECT user_id, TIMESTAMP '2024-01-10' + to_days(CAST(user_id % 20 AS INTEGER)) AS x, CASE WHEN user_id % 4 = 1 THEN TIMESTAMP '2024-01-10' + to_days(CAST(user_id % 9 AS INTEGER)) END AS r FROM u WHERE user_id < 30),
+o AS (SELECT event_id, ts, s.user_id, x, CASE WHEN x IS NULL THEN 'not_found' WHEN r <= ts THEN 'revoked' WHEN x <= ts THEN 'expired' WHEN NOT active THEN 'inactive' ELSE 'ok' END AS outcome FROM events e LEFT JOIN s ON s.user_id = e.user_id % 40 LEFT JOIN u ON u.user_id = s.user_id)
+SELECT event_id AS request_id, CASE WHEN outcome = 'ok' THEN user_id END AS user_id, outcome, CASE WHEN outcome = 'ok' THEN greatest(x, ts + INTERVAL 12 HOURS) ELSE x END AS expires_at FROM o""",
+        "purges_cancelled": "SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'source.purge' ELSE 'source.purge_due' END AS job_type, CASE WHEN doc_id % 5 = 0 THEN 'running' WHEN doc_id % 3 > 0 AND doc_id % 2 = 0 AND doc_id % 7 <> 0 THEN 'cancelled' ELSE 'queued' END AS status FROM documents",
+        "redirect_targets": """WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919) AS t FROM pages)
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(u, '^[^:]*://[^/]*') || '/a/b' WHEN 1 THEN u || '?q=1' ELSE 'https://other.org/x' END AS target, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS told, CASE WHEN page_id % 2 = 0 THEN t ELSE t - INTERVAL 330 MINUTES END AS read FROM p""",
         "rrf_fusion_by_rank": f"""WITH {_FUSED}, bu AS (SELECT coalesce(a.id, h.id) AS id, least(a.rank, h.rank) AS br, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + h.rank), 0) AS rrf FROM a FULL JOIN h ON a.id = h.id),
 be AS (SELECT 'p' || (CAST(id[2:] AS BIGINT) // 2) AS parent_chunk_id, rrf, br FROM bu QUALIFY row_number() OVER (PARTITION BY CAST(id[2:] AS BIGINT) // 2 ORDER BY rrf DESC, br, id) = 1)
 SELECT row_number() OVER (ORDER BY rrf DESC, br, parent_chunk_id) AS rank, parent_chunk_id, round(rrf, 9) AS score FROM be QUALIFY rank <= 10""",

@@ -19,6 +19,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.text import RUN_ID_RE
+
 
 class CommitConflict(Exception):
     """Another commit came first."""
@@ -124,6 +126,22 @@ class Library:
         written += [(t, self._write(t, df.select(by).distinct(), "gone") | {"by": list(by)}) for t, (df, by) in (gone or {}).items()]
         return self._effect(lambda manifest, number: {**manifest, **{t: manifest.get(t, []) + [p | {"commit": number} for own, p in written if own == t] for t in {t for t, _ in written}}}, expected)
 
+    def replace_runs(self, tables: dict[str, DataFrame], runs: DataFrame | None = None, run: str = "run_id", expected: int | None = None) -> int:
+        """Put the runs in tables in place of what the library has of them, in all the tables at once.
+
+        runs: the runs to replace (run), where some have no rows any more; those of any of the tables else. Readers see all of
+        a run's rows in all tables as they were, or as they are. Run ids must be safe as names.
+        """
+        if runs is None:
+            for df in tables.values():
+                runs = df.select(run) if runs is None else runs.union(df.select(run))
+        runs = keep(runs.distinct())
+        bad = runs.filter(~F.coalesce(F.col(run).cast("string").rlike(RUN_ID_RE), F.lit(False))).limit(1).collect()
+        if bad:
+            raise ValueError(f"unsafe run id: {bad[0][0]!r}")
+        held = self._manifest(self.version())
+        return self.commit(tables, {t: (runs, [run]) for t in tables if t in held}, expected)
+
     def compact(self, table: str) -> int:
         """Write what the table holds now as one part. A commit meanwhile is a CommitConflict."""
         version = self.version()

@@ -150,3 +150,17 @@ def test_events_are_delivered_once(spark):
     assert sorted(r.id for r in X.delivered(spark, path).collect()) == sorted([*(f"e{k}" for k in range(12)), "e15", "e16"])
     X.deliver(e.limit(0), 2, path)
     assert X.delivered(spark, path).count() == 14
+
+
+def test_runs_are_replaced_in_all_tables_at_once(spark, library):
+    library.replace_runs({"a": frame(spark, (1, "r", "x"), (2, "s", "y")), "b": frame(spark, (1, "r", "x"), (2, "s", "y"))})
+    library.replace_runs({"a": frame(spark, (3, "r", "z")), "b": frame(spark, (4, "r", "w"))})
+    assert rows(library.read("a")) == [(2, "s", "y"), (3, "r", "z")] and rows(library.read("b")) == [(2, "s", "y"), (4, "r", "w")]
+    broken = frame(spark, (5, "s", "half")).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        library.replace_runs({"a": frame(spark, (5, "s", "half")), "b": broken})
+    assert rows(library.read("a")) == [(2, "s", "y"), (3, "r", "z")]
+    with pytest.raises(ValueError, match="unsafe"):
+        library.replace_runs({"a": frame(spark, (6, "../r", "x"))})
+    library.replace_runs({"a": frame(spark, (0, "r", "x")).limit(0)}, frame(spark, (0, "s", "x")).select("run_id"))
+    assert rows(library.read("a")) == [(3, "r", "z")]
