@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, read
 
 #: Entries that a leaf of the tree has at most.
-LEAF = 4
+LEAF = 8
 #: How much a root of an integer is taken to be off at most, relatively.
 SLACK = 2.0**-48
 #: Vectors that a task walks through the trees together.
