@@ -217,3 +217,62 @@ def test_most_blocks_keep_their_label_without_marks():
     pages = pq.read_table(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001") + "/pages.parquet", columns=["html"])["html"].to_pylist()
     same = [x == y for page in pages for x, y in zip(main_text.label(main_text.blocks(page or "")), main_text.label(main_text.blocks(re.sub("<(/?)article>", r"<\1div>", page or ""))))]
     assert sum(same) > 0.95 * len(same)
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    """The lexicon from plain counts, and every document's score from it by the definitions, over a whole table."""
+    import math
+    import os
+
+    from pyspark.sql import functions as F
+    from test_llm import slow_segments
+
+    from tessella.llm import toxicity as X
+    from tessella.llm.common import read
+
+    sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rows = X.training_rows(docs, labels, ~X.held_out(), 200_000).collect()
+    shared = Counter(k for r in rows for k in r["keys"])
+    counts = defaultdict(lambda: [0, 0])
+    for r in rows:
+        w = max(1, round(64 / min(shared[k] for k in r["keys"])))
+        for f in {f for word in re.findall(r"[^\W\d_]+", r.text.lower()) for f in (word, *(word[:k] + "*" for k in (6, 5, 4) if len(word) >= k))}:
+            counts[f][r.toxic] += w
+    counts = {f: (a / 64, b / 64) for f, (a, b) in counts.items()}
+    n0, n1 = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    lexicon = {}
+    for f, (a, b) in counts.items():
+        if a + b < 3 or not n1:
+            continue
+        one, zero, mass = b + 0.02 * (a + b), a + 0.02 * (a + b), 0.02 * (n0 + n1)
+        delta = math.log(one / (n1 + mass - one)) - math.log(zero / (n0 + mass - zero))
+        z = abs(delta) / math.sqrt(1 / one + 1 / zero)
+        if z >= 4 or z >= 2 and delta >= 3.9:
+            lexicon[f] = max(-3.0, min(6.0, delta))
+    model = X.learn(docs, labels, ~X.held_out())
+    assert model.scores.keys() == lexicon.keys() and all(abs(model.scores[f] - s) < 1e-9 for f, s in lexicon.items())
+
+    def word_score(token):
+        best = -3.0
+        for word in re.findall(r"[^\W\d_]+", token) or [""]:
+            best = max(best, next((lexicon[f] for f in (word, *(word[:k] + "*" for k in (6, 5, 4) if len(word) >= k)) if f in lexicon), 0.0))
+        return min(6.0, best) - 0.15
+
+    def plain(text):
+        scores = [word_score(t) for t in text.lower().split()]
+        found = [math.fsum(scores[a:b]) for a, b in slow_segments(scores)]
+        logs = [math.log(model.k * len(scores)) - model.lam * s for s in found]
+        evidence = math.fsum(-e for e in logs if e <= math.log(0.05)) or 0.001 * max(found, default=0.0)
+        at = min(evidence / 0.25, 398.999)
+        curve = model.curve[int(at)] + (model.curve[int(at) + 1] - model.curve[int(at)]) * (at - int(at))
+        return 0.98 * curve + 0.02 * evidence / (1 + evidence) * (max(model.curve) > 0)
+
+    got = {r.doc_id: r.score for r in X.toxicity(docs, labels).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    assert all(abs(got[i] - plain(t)) < 1e-6 for i, t in texts.items() if len(t) < 1500)  # the plain search takes cubic time
+    toxic = {r.doc_id for r in labels.groupBy("doc_id").agg(F.max("toxic").alias("t")).filter("t = 1").collect()}
+    caught = {i for i, s in got.items() if s >= 0.3}
+    if len(toxic) >= 30:
+        assert len(caught & toxic) > 0.6 * len(toxic) and len(caught - toxic) < 0.1 * len(texts)
