@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import stable_id
 from tessella.operators import imports as I
 from tessella.operators import outbox as X
 from tessella.plans.queries import table
