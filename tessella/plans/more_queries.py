@@ -262,6 +262,18 @@ def _unescaped(sql: str) -> str:
 
 _HTML = f"""b AS (SELECT page_id, unnest(found) AS x, unnest(range(0, len(found))) AS block_no FROM (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<style>.*?</style>|<script>.*?</script>', '', 'g'), '(?s)<h1>.*?</h1>|<p>.*?</p>|<li>.*?</li>') AS found FROM pages)),
 t AS (SELECT page_id, block_no, x[2:3] AS tag, trim(regexp_replace({_unescaped("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM b)"""
+#: Children of pages as Markdown: blocks grouped into parents one by one, then windows over each parent's tokens.
+_HTML_CHUNKS = f"""m0 AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) AS k, CASE tag WHEN 'li' THEN '- ' ELSE '' END || text AS txt, coalesce(last_value(CASE WHEN tag = 'h1' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block_no), '') AS path FROM t WHERE text <> ''),
+m1 AS (SELECT *, len(regexp_extract_all(txt, '{T.CHUNK_RE}')) AS n FROM m0),
+gr AS (SELECT page_id, k, CAST(0 AS BIGINT) AS parent, n AS held, path FROM m1 WHERE k = 1
+  UNION ALL SELECT m1.page_id, m1.k, CASE WHEN m1.path = gr.path AND held + m1.n <= 2500 THEN parent ELSE parent + 1 END, CASE WHEN m1.path = gr.path AND held + m1.n <= 2500 THEN held + m1.n ELSE m1.n END, m1.path FROM gr JOIN m1 ON m1.page_id = gr.page_id AND m1.k = gr.k + 1),
+pr AS (SELECT gr.page_id, parent, any_value(gr.path) AS path, string_agg(txt, chr(10) || chr(10) ORDER BY gr.k) AS text FROM gr JOIN m1 ON m1.page_id = gr.page_id AND m1.k = gr.k GROUP BY 1, 2),
+tk AS (SELECT page_id, parent, regexp_extract_all(text, '{T.CHUNK_RE}') AS t, regexp_split_to_array(text, '{T.CHUNK_RE}') AS g FROM pr),
+fl AS (SELECT page_id, parent, len(t) AS n, unnest(t) AS tok, unnest(g[1:len(t)]) AS gap, unnest(range(0, len(t))) AS i FROM tk),
+sp AS (SELECT page_id, parent, n, i, length(tok) AS size, CAST(sum(length(gap) + length(tok)) OVER (PARTITION BY page_id, parent ORDER BY i) AS BIGINT) AS e FROM fl),
+w0 AS (SELECT page_id, parent, n, unnest(range(0, CASE WHEN n <= 600 THEN 1 ELSE 1 + CAST(ceil((n - 600) / 520.0) AS BIGINT) END)) AS ordinal FROM (SELECT DISTINCT page_id, parent, n FROM sp)),
+w1 AS (SELECT w0.page_id, w0.parent, w0.ordinal, min(sp.e - sp.size) AS s, max(sp.e) AS e, count(*) AS n FROM w0 JOIN sp ON sp.page_id = w0.page_id AND sp.parent = w0.parent AND sp.i >= w0.ordinal * 520 AND sp.i < least(w0.ordinal * 520 + 600, w0.n) GROUP BY 1, 2, 3),
+ch AS (SELECT w1.*, pr.path, substr(pr.text, w1.s + 1, w1.e - w1.s) AS text, sha256('page-' || w1.page_id || chr(31) || w1.parent || chr(31) || 'parent-child-v1') AS pid FROM w1 JOIN pr ON pr.page_id = w1.page_id AND pr.parent = w1.parent)"""
 _FUSED = """a AS (SELECT 'c' || doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20),
 h AS (SELECT 'c' || doc_id AS id, row_number() OVER (ORDER BY n_chars % 1000 DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20),
 fu AS (SELECT coalesce(a.id, h.id) AS id, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + h.rank), 0) AS rrf FROM a FULL JOIN h ON a.id = h.id),
@@ -276,6 +288,7 @@ def oracles(bm25) -> dict[str, str]:
         "html_blocks": f"""WITH {_HTML}, n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_no) - 1 AS block_no, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, text,
   coalesce(last_value(CASE WHEN tag = 'h1' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block_no), '') AS title_path FROM t WHERE text <> '')
 SELECT 'page-' || p.page_id AS run_id, nullif(trim(regexp_replace({_unescaped("regexp_extract(p.html, '<title>([^<]*)', 1)")}, '\\s+', ' ', 'g')), '') AS title, CAST(block_no AS INTEGER) AS block_no, CASE WHEN block_no IS NOT NULL THEN 1 END AS page_number, kind, text, title_path FROM pages p LEFT JOIN n ON n.page_id = p.page_id""",
+        "html_chunks": f"""WITH RECURSIVE {_HTML}, {_HTML_CHUNKS} SELECT sha256(pid || chr(31) || ordinal || chr(31) || 'parent-child-v1') AS id, pid AS parent_chunk_id, 'page-' || page_id AS ingestion_run_id, path AS heading_path, ordinal, CAST(s AS INTEGER) AS parent_char_start, CAST(e AS INTEGER) AS parent_char_end, CAST(n AS INTEGER) AS token_count, sha256(text) AS text_hash FROM ch""",
         "html_markdown": f"""WITH {_HTML} SELECT 'page-' || page_id AS run_id, trim(string_agg(CASE tag WHEN 'h1' THEN '# ' WHEN 'li' THEN '- ' ELSE '' END || text, chr(10) || chr(10) ORDER BY block_no), ' ') || chr(10) AS markdown FROM t WHERE text <> '' GROUP BY page_id""",
         "mastery_projection": """WITH RECURSIVE o AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('purchase', 'error')),
 f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0.2 AS DOUBLE) AS p FROM o UNION ALL SELECT o.user_id, o.k, least(0.98, greatest(0.05, q + (1 - q) * 0.1)) FROM (SELECT o.user_id, o.k, CASE WHEN ok THEN p * 0.85 / (p * 0.85 + (1 - p) * 0.2) ELSE p * 0.15 / (p * 0.15 + (1 - p) * 0.8) END AS q FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) o)

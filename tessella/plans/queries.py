@@ -106,7 +106,8 @@ def html_markdown(spark, sf_dir):
 
 def html_chunks(spark, sf_dir):
     b = P.text_blocks(html_markdown(spark, sf_dir).withColumnRenamed("markdown", "text"))
-    return C.children(C.parents(b)).select("id", "ingestion_run_id", "heading_path", "token_count")
+    c = C.children(C.parents(b))
+    return c.select("id", "parent_chunk_id", "ingestion_run_id", F.array_join("heading_path", " / ").alias("heading_path"), F.col("ordinal").cast("long").alias("ordinal"), "parent_char_start", "parent_char_end", "token_count", F.sha2("text", 256).alias("text_hash"))
 
 
 def sparse_postings(spark, sf_dir):
