@@ -46,5 +46,5 @@ def without_overlaps(parents: DataFrame, share: float = 0.5, width: int = 4096)
         for name in ("better", "worse"):
             left = left.join(hit.withColumnRenamed("id", name), ["query_id", name], "left_anti")
         # a pair whose better one stays is settled too: its worse one is among those that went
-        open_pairs = keep(left)
+        open_pairs = keep(left, open_pairs)
     return parents if gone is None else parents.join(gone.distinct(), key, "left_anti")

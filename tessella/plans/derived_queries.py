@@ -96,7 +96,7 @@ def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
     a, b = F.col("l_partkey") % 256, F.col("l_suppkey") % 256
     four = F.concat_ws(".", F.when(F.col("l_linenumber") == 1, 10).when(F.col("l_linenumber") == 2, 172).when(F.col("l_linenumber") == 3, 100).when(F.col("l_linenumber") == 4, 192).otherwise(F.col("l_orderkey") % 300), a, b, F.col("l_orderkey") % 256)
-    hex_ = lambda c: F.lower(F.hex(c))
+    hex_ = lambda c: F.lower(F.hex(c % 65536))
     first = F.get(F.array(*map(F.lit, ("2001", "fd00", "fe80", "2a00", "2001:db8"))), (F.col("l_orderkey") % 5).cast("int"))
     six = F.when(F.col("l_orderkey") % 7 == 0, F.concat(F.lit("::ffff:"), four)).otherwise(F.concat(first, F.lit(":"), hex_(F.col("l_partkey")), F.lit("::"), hex_(F.col("l_suppkey"))))
     text = F.when(F.col("l_orderkey") % 2 == 0, four).otherwise(six)
@@ -204,11 +204,11 @@ SELECT user_id, point_id, round(p, 6) AS mastery, round(h, 6) AS half_life, ts A
 i AS (SELECT user_id, count(*) AS n, max(day) AS last FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d) GROUP BY user_id, island)
 SELECT user_id, CAST(sum(n) AS BIGINT) AS n_days, max(n) AS longest, max(CASE WHEN last BETWEEN DATE '2024-04-06' AND DATE '2024-04-07' THEN n ELSE 0 END) AS current FROM i GROUP BY 1""",
     "address_classes": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
-a AS (SELECT *, CASE n WHEN 1 THEN 10 WHEN 2 THEN 172 WHEN 3 THEN 100 WHEN 4 THEN 192 ELSE o % 300 END AS x, o % 2 = 0 OR o % 7 = 0 AS four FROM l),
-h AS (SELECT *, CASE WHEN x < 256 THEN printf('%02x%02x%02x%02x', x, p % 256, s % 256, o % 256) END AS d4, CASE WHEN o % 5 = 4 THEN printf('20010db8%04x%012x%08x', p, 0, s) ELSE ['2001', 'fd00', 'fe80', '2a00'][o % 5 + 1] || printf('%04x%016x%08x', p, 0, s) END AS d6 FROM a),
+a AS (SELECT *, p % 65536 AS v, s % 65536 AS w, CASE n WHEN 1 THEN 10 WHEN 2 THEN 172 WHEN 3 THEN 100 WHEN 4 THEN 192 ELSE o % 300 END AS x, o % 2 = 0 OR o % 7 = 0 AS four FROM l),
+h AS (SELECT *, CASE WHEN x < 256 THEN printf('%02x%02x%02x%02x', x, p % 256, s % 256, o % 256) END AS d4, CASE WHEN o % 5 = 4 THEN printf('20010db8%04x%012x%08x', v, 0, w) ELSE ['2001', 'fd00', 'fe80', '2a00'][o % 5 + 1] || printf('%04x%016x%08x', v, 0, w) END AS d6 FROM a),
 g AS (SELECT *, p % 256 AS y, s % 256 AS z, CASE WHEN o % 2 = 0 THEN d4 WHEN o % 7 = 0 THEN '00000000000000000000ffff' || d4 ELSE d6 END AS digits FROM h)
 SELECT concat_ws('-', o, n, p, s) AS id, digits, CASE WHEN digits IS NULL THEN NULL WHEN four THEN NOT (x IN (0, 10, 127) OR x >= 240 OR (x = 172 AND y BETWEEN 16 AND 31) OR (x = 100 AND y BETWEEN 64 AND 127) OR (x = 192 AND y = 168) OR (x = 192 AND y = 0 AND (z = 2 OR (z = 0 AND o % 256 NOT IN (9, 10)))) OR (x = 169 AND y = 254) OR (x = 198 AND (y IN (18, 19) OR (y = 51 AND z = 100))) OR (x = 203 AND y = 0 AND z = 113))
-  WHEN o % 5 IN (1, 2, 4) THEN false WHEN o % 5 = 3 THEN true ELSE p >= 512 OR p IN (3) OR (p BETWEEN 32 AND 63) END AS reachable FROM g""",
+  WHEN o % 5 IN (1, 2, 4) THEN false WHEN o % 5 = 3 THEN true ELSE (v >= 512 AND v <> 3512) OR v = 3 OR v BETWEEN 32 AND 63 OR (v = 1 AND w IN (1, 2)) END AS reachable FROM g""",
     "embedding_runs": f"""WITH c AS (SELECT doc_id, k, length(text[k * {PIECE} + 1 : (k + 1) * {PIECE}]) AS n FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // {PIECE} + 1)) AS k FROM documents WHERE length(text) > 0)),
 b AS (SELECT doc_id, k // 32 AS b, sum(n) AS total, count(*) AS size FROM c GROUP BY 1, 2),
 r AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS n, CAST(sum(total) AS DOUBLE) AS letters, CAST(sum(size * size) AS DOUBLE) AS sizes, arg_min(CASE WHEN total % 23 = 0 THEN 'embedding_rejected' ELSE 'embedding_unavailable' END, b) FILTER (total % 23 = 0 OR total % 11 = 0) AS e1, bool_or(total % 13 = 0) AS e2 FROM b GROUP BY 1),

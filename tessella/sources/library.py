@@ -166,8 +166,17 @@ class Library:
                     raise
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written to the workspace and read back, so that what it took isn't done again, and a lost executor costs no recomputation."""
-    path = workspace(df.sparkSession)
+def keep(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df written to the workspace and read back, so that what it took isn't done again, and a lost executor costs no recomputation.
+
+    done: tables kept earlier that nothing needs any more once df is written; their files go.
+    """
+    spark = df.sparkSession
+    path = workspace(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in done:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old._kept)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
