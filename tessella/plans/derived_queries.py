@@ -54,7 +54,7 @@ def overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scored intervals of their supplier's parts, without those that overlap a better one."""
     li = table(spark, sf_dir, "lineitem")
     start = (F.col("l_partkey") * 37 + F.col("l_orderkey") * 11) % 3000
-    parents = li.select(F.col("l_returnflag").alias("query_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (F.col("l_suppkey") % 50 + F.col("l_orderkey") % 97 * 50).alias("document_id"), start.alias("start"), (start + 100 + F.col("l_orderkey") % 300).alias("end"), F.col("l_extendedprice").alias("score"))
+    parents = li.select(F.col("l_returnflag").alias("query_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"), (F.col("l_suppkey") % 50 + F.col("l_orderkey") % 97 * 50).alias("document_id"), start.alias("start"), (start + 100 + F.col("l_orderkey") % 300).alias("end"), F.col("l_extendedprice").alias("score"))
     return V.without_overlaps(parents, 0.5, 256).select("query_id", "id")
 
 
@@ -215,7 +215,7 @@ r AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS n, CAST(sum(total) AS DOUBLE)
 o AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'embedding_not_authorized' ELSE coalesce(e1, '') END AS f1, CASE WHEN doc_id % 19 = 0 THEN 'embedding_not_authorized' WHEN e2 THEN 'embedding_unavailable' ELSE '' END AS f2 FROM r),
 p AS (SELECT *, f1 = 'embedding_unavailable' AS second, CASE WHEN f1 = 'embedding_unavailable' THEN f2 ELSE f1 END AS error FROM o)
 SELECT 'run-' || doc_id AS run_id, CASE WHEN second THEN 'second' ELSE 'first' END AS provider, second AS used_fallback, error, CASE WHEN error = '' THEN n ELSE 0 END AS n, CASE WHEN error = '' THEN CASE WHEN second THEN -letters ELSE letters END ELSE 0.0 END AS letters, CASE WHEN error = '' THEN sizes ELSE 0.0 END AS sizes FROM p""",
-    "overlap_removal": """WITH RECURSIVE i AS (SELECT l_returnflag AS q, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_suppkey % 50 + l_orderkey % 97 * 50 AS doc, (l_partkey * 37 + l_orderkey * 11) % 3000 AS s, (l_partkey * 37 + l_orderkey * 11) % 3000 + 100 + l_orderkey % 300 AS e, l_extendedprice AS score FROM lineitem),
+    "overlap_removal": """WITH RECURSIVE i AS (SELECT l_returnflag AS q, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, l_suppkey % 50 + l_orderkey % 97 * 50 AS doc, (l_partkey * 37 + l_orderkey * 11) % 3000 AS s, (l_partkey * 37 + l_orderkey * 11) % 3000 + 100 + l_orderkey % 300 AS e, l_extendedprice AS score FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY q, doc ORDER BY score DESC, id) AS k FROM i),
 g AS (SELECT q, doc, k, [struct_pack(id := id, s := s, e := e)] AS kept FROM r WHERE k = 1
   UNION ALL SELECT g.q, g.doc, r.k, CASE WHEN len([z FOR z IN g.kept IF least(z.e, r.e) - greatest(z.s, r.s) > 0 AND least(z.e, r.e) - greatest(z.s, r.s) >= 0.5 * least(z.e - z.s, r.e - r.s)]) > 0 THEN g.kept ELSE list_append(g.kept, struct_pack(id := r.id, s := r.s, e := r.e)) END FROM g JOIN r ON r.q = g.q AND r.doc = g.doc AND r.k = g.k + 1),
