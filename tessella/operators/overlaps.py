@@ -2,49 +2,57 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.library import keep
 
+class Kept:
+    """Intervals that stay in one document: none holds another, so that in order of their starts their ends are in order too."""
 
-def overlapping_pairs(parents: DataFrame, share: float, width: int) -> DataFrame:
-    """(query_id, better, worse): ids of intervals of one query and document whose overlap is `share` of the shorter one or more.
+    def __init__(self, share: float):
+        self.share, self.starts, self.ends = share, [], []
 
-    Intervals meet in bins of `width` characters that both touch, so that only near ones are compared; a pair counts in
-    the first bin they share. Of two intervals the better has the higher score, at one score the smaller id.
-    """
-    bins = parents.filter("end > start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    other = bins.select("query_id", "document_id", "bin", *(F.col(c).alias(f"o_{c}") for c in ("id", "start", "end", "score")))
-    both = bins.join(other, ["query_id", "document_id", "bin"])
-    better = (F.col("score") > F.col("o_score")) | ((F.col("score") == F.col("o_score")) & (F.col("id") < F.col("o_id")))
-    first = F.floor(F.greatest("start", "o_start") / width) == F.col("bin")
-    common = F.least("end", "o_end") - F.greatest("start", "o_start")
-    shorter = F.least(F.col("end") - F.col("start"), F.col("o_end") - F.col("o_start"))
-    return both.filter(better & first & (common > 0) & (common >= share * shorter)).select("query_id", F.col("id").alias("better"), F.col("o_id").alias("worse"))
+    def add(self, start: float, end: float) -> bool:
+        """Whether an interval stays: none that stayed shares `share` of the shorter of the two with it."""
+        first, last = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        for k in range(first, last):
+            s, e = self.starts[k], self.ends[k]
+            if min(e, end) - max(s, start) >= self.share * min(e - s, end - start):
+                return False
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
 
 
-def without_overlaps(parents: DataFrame, share: float = 0.5, width: int = 4096) -> DataFrame:
+def without_overlaps(parents: DataFrame, share: float = 0.5, width: int | None = None) -> DataFrame:
     """parents (query_id, id, document_id, start, end, score) without those that overlap a better one that stays.
 
-    Greedy in score order, in rounds over all queries together: what has no undecided better neighbour stays, what overlaps
-    that goes. There are at most as many rounds as a chain of overlaps has links. Intervals without length overlap nothing.
+    Of two intervals of one query and document the better has the higher score, at one score the smaller id; they overlap if what they share is
+    `share` of the shorter one or more. Each document's intervals come sorted to one task, best first, which holds those that stay
+    and no pairs. Intervals without length, and those with a null, overlap nothing. width, of bins in which pairs once met, says nothing now.
     """
-    pairs = keep(overlapping_pairs(parents, share, width))
-    key = ["query_id", "id"]
-    as_id = lambda df, name: df.select("query_id", F.col(name).alias("id")).distinct()
-    gone = None
-    open_pairs = pairs
-    while True:
-        worse = as_id(open_pairs, "worse")
-        stay = as_id(open_pairs, "better").join(worse, key, "left_anti")
-        hit = keep(as_id(open_pairs.join(stay.withColumnRenamed("id", "better"), ["query_id", "better"], "left_semi"), "worse"))
-        if hit.isEmpty():
-            break
-        gone = hit if gone is None else gone.union(hit)
-        left = open_pairs
-        for name in ("better", "worse"):
-            left = left.join(hit.withColumnRenamed("id", name), ["query_id", name], "left_anti")
-        # a pair whose better one stays is settled too: its worse one is among those that went
-        open_pairs = keep(left, open_pairs)
-    return parents if gone is None else parents.join(gone.distinct(), key, "left_anti")
+    if share > 1:
+        return parents
+    columns = parents.columns
+    used = [columns.index(c) for c in ("query_id", "document_id", "start", "end", "score")]
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = kept = None
+        for batch in batches:
+            stays = []
+            for query, document, start, end, score in zip(*(batch.column(c).to_pylist() for c in used)):
+                if query is None or document is None or start is None or end is None or score is None or end <= start:
+                    stays.append(True)
+                    continue
+                if (query, document) != group:
+                    group, kept = (query, document), Kept(share)
+                stays.append(kept.add(start, end))
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    dealt = parents.repartition("query_id", "document_id").sortWithinPartitions("query_id", "document_id", F.desc("score"), "id")
+    return dealt.mapInArrow(passed, parents.schema)
