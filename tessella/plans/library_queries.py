@@ -28,12 +28,13 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """How many rows each table has, and a sum of their hashes over some columns."""
+    """How many rows each table has, and a sum of their hashes over some columns, modulo 2^63: sums of more than some 65,000 rows pass 64 bits."""
     out = None
     for name, names in columns.items():
         row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
         each = F.conv(F.substring(F.sha2(row, 256), 1, 12), 16, 10).cast("long")
-        one = tables[name].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(each), F.lit(0)).alias("digest")).select(F.lit(name).alias("table"), "n", "digest")
+        total = F.pmod(F.coalesce(F.sum(each.cast("decimal(28,0)")), F.lit(0)), F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+        one = tables[name].agg(F.count(F.lit(1)).alias("n"), total.alias("digest")).select(F.lit(name).alias("table"), "n", "digest")
         out = one if out is None else out.union(one)
     return out
 
