@@ -39,15 +39,15 @@ def decoded(content: Column, charset: str | None = None) -> Column:
     return unix_lines(F.coalesce(utf8_sig(content), F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\ufeff", "")))
 
 
-def parsed(files: DataFrame, run: Column) -> DataFrame:
+def parsed(files: DataFrame, run: Column, closed: bool = False) -> DataFrame:
     """Blocks (run_id, title, block_no, page_number, kind, text, title_path) of files (see scan), each by its kind's parser.
 
-    Files of kinds without a parser have no blocks; `unparsed` lists them.
+    Files of kinds without a parser have no blocks; `unparsed` lists them. closed: see html_blocks.
     """
     named = files.select(run.alias("run_id"), "mime_type", "content")
     texts = named.filter(F.col("mime_type").isin("text/plain", "text/markdown")).select("run_id", decoded(F.col("content")).alias("text"))
     pages = named.filter("mime_type = 'text/html'").select("run_id", decoded(F.col("content")).alias("html"))
-    found = html_blocks(pages).filter("block_no is not null")
+    found = html_blocks(pages, closed).filter("block_no is not null")
     return text_blocks(texts).withColumn("title", F.lit(None).cast("string")).select(found.columns).unionByName(found)
 
 
