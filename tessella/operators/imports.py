@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import stable_id
-from tessella.sources.library import Library
+from tessella.sources.library import Library, keep
 
 KEYS = {
     "content_blobs": ["user_id", "content_hash"], "source_documents": ["id"], "source_revisions": ["id"], "ingestion_runs": ["id"], "topic_source_documents": ["topic_id", "source_document_id"],
@@ -170,7 +170,8 @@ class Imports:
     def import_batch(self, requests: DataFrame, now: Column) -> int:
         version = self.library.version()
         t = self.tables(version)
-        judged = outcomes(requests, t["source_import_requests"], t["source_documents"], now)
+        # seven tables are written from what is judged, and judging looks at the requests several times: each is made once
+        judged = keep(outcomes(keep(requests), t["source_import_requests"], t["source_documents"], now))
         return self.library.commit(imported(judged, t["content_blobs"]), expected=version)
 
     def publish(self, commands: DataFrame, now: Column) -> int:
@@ -188,5 +189,5 @@ class Imports:
         return self._without(runs, rows, version)
 
     def _without(self, runs: DataFrame, rows: dict[str, DataFrame], version: int) -> int:
-        held = [t for t in OF_RUNS if self.library.read(t, version) is not None]
+        held, runs = [t for t in OF_RUNS if self.library.read(t, version) is not None], keep(runs)
         return self.library.commit(rows, {t: (runs, ["run_id"]) for t in held}, expected=version)
