@@ -6,21 +6,50 @@ scope, and reduced before any row moves. Statistics of BM25 hold for the scoped
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions.text import cosine, search_tokens
 from tessella.sources.library import keep
 
-#: Distinct query terms up to which chunks are filtered by them in one expression.
-FEW = 10_000
+#: Distinct query terms, and terms of all queries, up to which chunks are filtered and scored by them in one expression; counts held at once there.
+FEW, MANY, CELLS = 10_000, 100_000, 2_000_000
+
+
+def counted(rows: DataFrame, terms: str) -> DataFrame:
+    """rows with an array of tokens `terms`, one row for each different one: term and tf in its place. Tokens are counted where their row is."""
+    others = [c for c in rows.columns if c != terms]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # counts of a few hundred rows at a time, so that memory doesn't follow a batch's texts
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                arrays = batch.column(batch.schema.get_field_index(terms))
+                words = arrays.flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                row = pc.list_parent_indices(arrays).to_numpy(zero_copy_only=False).astype(np.int64)
+                pairs, tf = np.unique(row * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                own, word = pa.array(pairs // len(words.dictionary)), pa.array(pairs % len(words.dictionary))
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).take(own) for c in others), words.dictionary.take(word), pa.array(tf.astype(np.int32))], [*others, "term", "tf"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others) + ", term string, tf int"
+    return rows.select(*others, terms).mapInArrow(count, schema)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(id, run_id, term, tf, document_length) of chunks (id, run_id, text)."""
     terms = chunks.withColumn("terms", search_tokens(F.col("text")))
-    each = terms.select("id", "run_id", F.size("terms").alias("document_length"), F.explode("terms").alias("term"))
-    return each.groupBy("id", "run_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("document_length").alias("document_length"))
+    each = counted(terms.select("id", "run_id", F.size("terms").alias("document_length"), "terms"), "terms")
+    return each.groupBy("id", "run_id", "term").agg(F.sum("tf").cast("int").alias("tf"), F.first("document_length").alias("document_length"))
 
 
 def scoped_stats(chunks: DataFrame) -> DataFrame:
@@ -38,33 +67,66 @@ def bm25(chunks: DataFrame, queries: DataFrame, limit: int = 20, k1: float = 1.2
     """(query_id, id, score, rank) of the best scoped chunks (id, text) for each query (query_id, query).
 
     One scan makes a row a chunk: its length, and those of its tokens that queries ask for. That small table is written
-    once, and all statistics and scores come from it. Up to FEW distinct terms, counted, the scan filters each token
-    array by a set in the expression; of more, tokens meet the terms in a join.
+    once, and all statistics and scores come from it. Up to FEW distinct terms and MANY of all queries, counted, each chunk's scores are
+    summed where its row is, and only a batch's best ones move; of more, tokens meet the terms in a join.
     """
     spark = chunks.sparkSession
     if limit < 1:
         return spark.createDataFrame([], "query_id long, id string, score double, rank int")
     asked = queries.select("query_id", F.posexplode(F.array_distinct(search_tokens(F.col("query")))).alias("place", "term"))
-    terms = asked.select("term").distinct()
-    few = [r["term"] for r in terms.limit(FEW + 1).collect()]
+    few = [r["term"] for r in asked.select("term").distinct().limit(FEW + 1).collect()]
     tokens = chunks.select("id", search_tokens(F.col("text")).alias("terms"))
-    if len(few) <= FEW:
-        own = keep(tokens.select("id", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(few)).alias("terms")))
-        found = own.select("id", "dl", F.explode("terms").alias("term"))
-        near = F.broadcast  # as many rows as there are terms, which were counted
-    else:
-        own = keep(tokens.withColumn("dl", F.size("terms")))
-        found = own.select("id", "dl", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-        near = lambda x: x
+    many = asked.limit(MANY + 1).collect() if len(few) <= FEW else []
+    if len(few) > FEW or len(many) > MANY:
+        return ranked(_joined(tokens, asked, k1, b), limit)
+    own = keep(tokens.select("id", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(few)).alias("terms")))
+    n, avgdl = own.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    if not own.groupBy("id").count().filter("count > 1").isEmpty():  # a chunk in several rows is scored over all of them
+        return ranked(_joined(tokens, asked, k1, b), limit)
+    df = {r["term"]: r["df"] for r in own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    number = {t: k for k, t in enumerate(few)}
+    idf = np.array([math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in few])
+    wanted: dict[object, list[int]] = {}
+    for r in sorted(many, key=lambda r: r["place"]):
+        wanted.setdefault(r["query_id"], []).append(number[r["term"]])
+    kinds = pa.schema([pa.field("query_id", to_arrow_type(asked.schema["query_id"].dataType)), pa.field("id", to_arrow_type(own.schema["id"].dataType)), pa.field("score", pa.float64())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows = pa.array(few, pa.string()), max(1, CELLS // max(1, len(few)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                ids, dl, terms = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "dl", "terms"))
+                cell = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False).astype(np.int64) * len(few)
+                cell += pc.index_in(terms.flatten(), known).to_numpy(zero_copy_only=False)
+                tf = np.bincount(cell, minlength=batch.num_rows * len(few)).reshape(batch.num_rows, len(few))
+                share = k1 * (1 - b + b * dl.to_numpy(zero_copy_only=False) / avgdl) if avgdl else np.zeros(batch.num_rows)
+                with np.errstate(invalid="ignore"):
+                    part = np.ascontiguousarray(np.where(tf > 0, idf * tf * (k1 + 1) / (tf + share[:, None]), 0.0).T)
+                for query, places in wanted.items():
+                    total = np.zeros(batch.num_rows)
+                    for k in places:
+                        total += part[k]
+                    least = np.partition(total, -limit)[-limit] if limit < len(total) else 0.0
+                    found = np.flatnonzero((total > 0) & (total >= least))
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array([query] * len(found), kinds.field(0).type), ids.take(pa.array(found)).cast(kinds.field(1).type), pa.array(total[found])], schema=kinds)
+
+    return ranked(own.mapInArrow(score, f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {own.schema['id'].dataType.simpleString()}, score double"), limit)
+
+
+def _joined(tokens: DataFrame, asked: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score) of chunks (id, terms) for queries' terms (query_id, place, term) of any number."""
+    own = keep(tokens.withColumn("dl", F.size("terms")))
+    found = own.select("id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     whole = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hits = found.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(near(df), "term").join(asked, "term").join(F.broadcast(whole))
+    scored = hits.join(df, "term").join(asked, "term").join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     in_order = F.array_sort(F.collect_list(F.struct("place", part.alias("s"))))
-    total = scored.groupBy("query_id", "id").agg(F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x["s"]).alias("score")).filter("score > 0")
-    return ranked(total, limit)
+    return scored.groupBy("query_id", "id").agg(F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x["s"]).alias("score")).filter("score > 0")
 
 
 def dense(vectors: DataFrame, query: Column, limit: int = 20, dimension: int | None = None) -> DataFrame:
