@@ -1,73 +1,105 @@
 """Parent and child chunks of parsed blocks.
 
-blocks: run_id, block_no, page_number, kind, text, title_path. Token windows come from array expressions on
-each block, the separators and offsets from one window a run, and the greedy grouping into parents from a pass over
+blocks: run_id, block_no, page_number, kind, text, title_path. Token windows come from arrays over the code points of
+many blocks at once, the separators and offsets from one window a run, and the greedy grouping into parents from a pass over
 the run's sorted units that keeps a count and a path. No run is collected: what meets in a row is a block or a parent.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import CHUNK_RE, stable_id
-
-
-#: Windows whose lengths are summed together.
-GROUP = 32
+from tessella.functions.text import stable_id
+
+
+#: Code points that are read together, for one text at least.
+GROUP = 1 << 18
+#: What a code point may be in a chunk token: of a word of [A-Za-z0-9_], of a word of letters, the beginning of such a word, a token by itself.
+WORD, LETTER, FOREIGN, ALONE = 1, 2, 4, 8
+
+
+@cache
+def token_classes() -> np.ndarray:
+    """The bits of each code point by CHUNK_RE; 0 stands between tokens."""
+    names = [unicodedata.category(chr(c)) for c in range(0x40000)]  # beyond are no letters or numbers
+    kinds = {k: (LETTER | FOREIGN) if k[0] == "L" or k in ("Nl", "No") else 0 if k == "Nd" else ALONE for k in set(names)}
+    found = np.full(sys.maxunicode + 1, ALONE, np.uint8)
+    found[: len(names)] = [kinds[k] for k in names]
+    found[[*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
+    found[0x3400:0xA000] = found[0x3400:0xA000] & LETTER | ALONE
+    for c in map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        found[c] = WORD | LETTER
+    found[[ord(c) for c in "0123456789_"]] = WORD
+    return found
+
+
+def token_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the chunk tokens of an array of code points."""
+    bits = token_classes()[points]
+    kind = (bits & WORD) + (bits & ALONE)
+    foreign = (bits & FOREIGN) > 0
+    if foreign.any():  # from its first foreign letter on a run of letters is one token
+        at = np.arange(len(bits), dtype=np.int32)
+        kind[np.maximum.accumulate(np.where(foreign, at, -1)) > np.maximum.accumulate(np.where(bits & LETTER, -1, at))] = LETTER
+    change = np.ones(len(kind) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+    alone, some = kind == ALONE, kind > 0
+    return np.flatnonzero(some & (change[:-1] | alone)), np.flatnonzero(some & (change[1:] | alone)) + 1
+
+
+def windows_of(texts: list[bytes], maximum: int, step: int) -> tuple[np.ndarray, ...]:
+    """How many token windows each text has, and the starts, ends and tokens of all, in order."""
+    whole = [t.decode("utf-8", "replace") for t in texts]
+    begins = np.cumsum([0, *(len(t) + 1 for t in whole)])  # what joins them is no token
+    starts, ends = token_bounds(np.frombuffer("\n".join(whole).encode("utf-32-le"), np.uint32))
+    first = np.searchsorted(starts, begins)
+    n = np.diff(first)
+    count = np.where(n == 0, 0, 1 + np.maximum(0, -((maximum - n) // step)))
+    row = np.repeat(np.arange(len(n)), count)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    head, tail = first[row] + k * step, first[row] + np.minimum(k * step + maximum, n[row])
+    return count, starts[head] - begins[row], ends[tail - 1] - begins[row], tail - head
 
 
 def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> DataFrame:
     """Add windows: array of (start, end, tokens) of token windows over a text column.
 
-    Sums over runs of tokens give the offsets at which windows start and end, so that time follows the text.
-    Intermediate arrays pass generators of one row: without them Catalyst would put the regular expressions in
-    every use of their result.
+    Texts are read as code points, many at once; no token becomes an object of its own.
     """
     if maximum < 1 or not 0 <= overlap < maximum:
         raise ValueError("windows need a maximum of 1 or more and an overlap below it")
-    step = maximum - overlap
-
-    def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
-        return frame.withColumn(name, F.explode(F.array(value)))
-
-    def total(lengths: Column) -> Column:
-        return F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
-
-    tokens, gaps = F.regexp_extract_all(F.col(text), F.lit(CHUNK_RE), F.lit(0)), F.split(F.col(text), CHUNK_RE, -1)
-    found = once(df, "_s", F.struct(F.transform(gaps, F.length).alias("g"), F.transform(tokens, F.length).alias("t")))
-    n = F.size("_s.t")
-    count = F.when(n == 0, 0).when(n <= maximum, 1).otherwise(1 + F.ceil((n - maximum) / step)).cast("int")
-    found = once(found, "_l", F.struct(F.zip_with(F.slice("_s.g", 1, n), F.col("_s.t"), lambda g, t: g + t).alias("both"), F.col("_s.g").alias("g"), n.alias("n"), count.alias("count"))).drop("_s")
-    own = F.transform(F.sequence(F.lit(0), F.col("_l.count") - 1), lambda k: F.struct(k.alias("k"), total(F.slice("_l.both", k * step + 1, F.lit(step))).alias("step"), total(F.slice("_l.both", k * step + 1, F.lit(maximum))).alias("whole"), F.get("_l.g", k * step).alias("gap")))
-    none = F.expr("cast(array() as array<struct<k:int,step:int,whole:int,gap:int>>)")
-    found = once(found, "_w", F.when(F.col("_l.count") > 0, own).otherwise(none))
-
-    # sums of whole groups of windows first, so that a window adds up its own group alone
-    sums = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["step"])
-    found = once(found, "_g", F.transform(F.sequence(F.lit(0), F.floor(F.size("_w") / GROUP).cast("int")), lambda g: sums(F.slice("_w", g * GROUP + 1, F.lit(GROUP)))))
 
-    def window(w: Column) -> Column:
-        group = F.floor(w["k"] / GROUP).cast("int")
-        before = total(F.slice("_g", F.lit(1), group)) + sums(F.slice("_w", group * GROUP + 1, w["k"] - group * GROUP))
-        return F.struct((before + w["gap"]).alias("start"), (before + w["whole"]).alias("end"), (F.least(w["k"] * step + maximum, F.col("_l.n")) - w["k"] * step).alias("tokens"))
+    def windows(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_binary())
+        groups = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy()) // GROUP
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
+        found = [windows_of([t or b"" for t in column.slice(a, b - a).to_pylist()], maximum, maximum - overlap) for a, b in zip(cuts, cuts[1:])]
+        count, *fields = (np.concatenate(x).astype(np.int32) for x in zip(*found))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["start", "end", "tokens"]))
 
-    return once(found, "windows", F.transform("_w", window)).drop("_w", "_l", "_g")
+    # not deterministic: else a filter on the windows would read the texts a second time
+    found = F.arrow_udf(windows, "array<struct<start:int,end:int,tokens:int>>").asNondeterministic()
+    return df.withColumn("windows", found(F.col(text)))
 
 
 def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
     """One row a unit: run_id, unit (ordinal), page, title_path, separator, text, tokens, document_start, document_end."""
     found = with_windows(blocks, "text", maximum).withColumn("parts", F.size("windows"))
     before = Window.partitionBy("run_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    some = F.coalesce(F.sum("parts").over(before), F.lit(0)) > 0
-    lead = found.withColumn("separator", F.when(some, "\n\n").otherwise(""))
+    lead = found.withColumn("earlier", F.coalesce(F.sum("parts").over(before), F.lit(0))).withColumn("separator", F.when(F.col("earlier") > 0, "\n\n").otherwise(""))
     cursor = F.coalesce(F.sum(F.length("separator") + F.length("text")).over(before), F.lit(0)) + F.length("separator")
     each = lead.withColumn("cursor", cursor).select("*", F.posexplode("windows").alias("part", "w"))
     return each.select(
-        "run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("block_no", "part")) - 1).alias("unit"), F.coalesce("page_number", F.lit(1)).alias("page"), "title_path",
+        "run_id", (F.col("earlier") + F.col("part")).cast("int").alias("unit"), F.coalesce("page_number", F.lit(1)).alias("page"), "title_path",
         F.when(F.col("part") == 0, F.col("separator")).otherwise("").alias("separator"), F.substring(F.col("text"), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("text"),
         F.col("w.tokens").alias("tokens"), (F.col("cursor") + F.col("w.start")).cast("int").alias("document_start"), (F.col("cursor") + F.col("w.end")).cast("int").alias("document_end"),
     )
@@ -80,12 +112,12 @@ def grouped_units(units: DataFrame, maximum: int) -> DataFrame:
     nothing is held but the open parent's count and path.
     """
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         run = path = None
         parent = held = 0
-        for batch in batches:
+        for batch in columns:
             out = []
-            for own, own_path, tokens in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("run_id", "title_path", "tokens"))):
+            for own, own_path, tokens in zip(*(column.to_pylist() for column in batch)):
                 if own != run:
                     run, parent, held = own, 0, tokens
                 elif own_path != path or held + tokens > maximum:
@@ -94,10 +126,11 @@ def grouped_units(units: DataFrame, maximum: int) -> DataFrame:
                     held += tokens
                 path = own_path
                 out.append(parent)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "parent"])
+            yield pa.array(out, pa.int32())
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", parent int"
-    return units.repartition("run_id").sortWithinPartitions("run_id", "unit").mapInArrow(number, schema)
+    # not deterministic: it depends on the order, which Catalyst then keeps
+    numbers = F.arrow_udf(number, "int").asNondeterministic()
+    return units.repartition("run_id").sortWithinPartitions("run_id", "unit").withColumn("parent", numbers("run_id", "title_path", "tokens"))
 
 
 def parents(blocks: DataFrame, chunking_version: str = "parent-child-v1", maximum: int = 2500) -> DataFrame:
@@ -111,12 +144,12 @@ def parents(blocks: DataFrame, chunking_version: str = "parent-child-v1", maximu
     ordered = lambda *c: F.array_sort(F.collect_list(F.struct("unit", *c)))
     whole = units.groupBy("run_id", "parent").agg(
         ordered("sep", "text").alias("p"), ordered("from", "to", "page").alias("ranges"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
-        F.min("document_start").alias("document_char_start"), F.max("document_end").alias("document_char_end"), F.first("title_path").alias("heading_path"),
+        F.min("document_start").alias("document_char_start"), F.max("document_end").alias("document_char_end"), F.first("title_path").alias("heading_path"), F.sum("tokens").cast("int").alias("token_count"),
     )
     text = F.array_join(F.transform("p", lambda x: F.concat(x["sep"], x["text"])), "")
     return whole.select(
         stable_id(F.col("run_id"), F.col("parent"), F.lit(chunking_version)).alias("id"), F.col("run_id").alias("ingestion_run_id"), F.col("parent").alias("ordinal"), "heading_path", "page_start", "page_end",
-        "document_char_start", "document_char_end", F.regexp_count(text, F.lit(CHUNK_RE)).alias("token_count"), text.alias("text"), "ranges",
+        "document_char_start", "document_char_end", "token_count", text.alias("text"), "ranges",
     )
 
 
