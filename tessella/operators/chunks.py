@@ -7,9 +7,9 @@ the run's sorted units that keeps a count and a path. No run is collected: what
 
 from __future__ import annotations
 
-import sys
+import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import stable_id
 
 
-#: Code points that are read together, for one text at least.
+#: Bytes of text that are read together, one text at least.
 GROUP = 1 << 18
 #: What a code point may be in a chunk token: of a word of [A-Za-z0-9_], of a word of letters, the beginning of such a word, a token by itself.
 WORD, LETTER, FOREIGN, ALONE = 1, 2, 4, 8
@@ -29,45 +29,56 @@ WORD, LETTER, FOREIGN, ALONE = 1, 2, 4, 8
 
 @cache
 def token_classes() -> np.ndarray:
-    """The bits of each code point by CHUNK_RE; 0 stands between tokens."""
-    names = [unicodedata.category(chr(c)) for c in range(0x40000)]  # beyond are no letters or numbers
+    """The bits of each code point by CHUNK_RE, 0 between tokens; all from the last on are tokens by themselves."""
+    names = [unicodedata.category(chr(c)) for c in range(0x40000)]
     kinds = {k: (LETTER | FOREIGN) if k[0] == "L" or k in ("Nl", "No") else 0 if k == "Nd" else ALONE for k in set(names)}
-    found = np.full(sys.maxunicode + 1, ALONE, np.uint8)
-    found[: len(names)] = [kinds[k] for k in names]
+    found = np.array([kinds[k] for k in names], np.uint8)
     found[[*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 0
     found[0x3400:0xA000] = found[0x3400:0xA000] & LETTER | ALONE
-    for c in map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
-        found[c] = WORD | LETTER
-    found[[ord(c) for c in "0123456789_"]] = WORD
+    found[[ord(c) for c in string.ascii_letters]] = WORD | LETTER
+    found[[ord(c) for c in string.digits + "_"]] = WORD
     return found
 
 
-def token_bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the chunk tokens of an array of code points."""
-    bits = token_classes()[points]
-    kind = (bits & WORD) + (bits & ALONE)
-    foreign = (bits & FOREIGN) > 0
-    if foreign.any():  # from its first foreign letter on a run of letters is one token
-        at = np.arange(len(bits), dtype=np.int32)
-        kind[np.maximum.accumulate(np.where(foreign, at, -1)) > np.maximum.accumulate(np.where(bits & LETTER, -1, at))] = LETTER
-    change = np.ones(len(kind) + 1, bool)
-    np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
-    alone, some = kind == ALONE, kind > 0
-    return np.flatnonzero(some & (change[:-1] | alone)), np.flatnonzero(some & (change[1:] | alone)) + 1
-
-
-def windows_of(texts: list[bytes], maximum: int, step: int) -> tuple[np.ndarray, ...]:
-    """How many token windows each text has, and the starts, ends and tokens of all, in order."""
-    whole = [t.decode("utf-8", "replace") for t in texts]
-    begins = np.cumsum([0, *(len(t) + 1 for t in whole)])  # what joins them is no token
-    starts, ends = token_bounds(np.frombuffer("\n".join(whole).encode("utf-32-le"), np.uint32))
-    first = np.searchsorted(starts, begins)
-    n = np.diff(first)
-    count = np.where(n == 0, 0, 1 + np.maximum(0, -((maximum - n) // step)))
-    row = np.repeat(np.arange(len(n)), count)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    head, tail = first[row] + k * step, first[row] + np.minimum(k * step + maximum, n[row])
-    return count, starts[head] - begins[row], ends[tail - 1] - begins[row], tail - head
+def window_finder(maximum: int, step: int) -> Callable[[pa.Array], pa.Array]:
+    """A function from texts to their token windows. It carries what it needs, so that workers can do without this module."""
+    classes = token_classes()
+
+    def bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the tokens of an array of code points."""
+        bits = classes.take(points, mode="clip")
+        kind = (bits & WORD) + (bits & ALONE)
+        foreign = (bits & FOREIGN) > 0
+        if foreign.any():  # from its first foreign letter on a run of letters is one token
+            at = np.arange(len(bits), dtype=np.int32)
+            kind[np.maximum.accumulate(np.where(foreign, at, -1)) > np.maximum.accumulate(np.where(bits & LETTER, -1, at))] = LETTER
+        change = np.ones(len(kind) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+        alone, some = kind == ALONE, kind > 0
+        return np.flatnonzero(some & (change[:-1] | alone)), np.flatnonzero(some & (change[1:] | alone)) + 1
+
+    def found(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+        """How many windows each text has, and the starts, ends and tokens of all, in order."""
+        whole = [(t or b"").decode("utf-8", "replace") for t in texts]
+        begins = np.cumsum([0, *(len(t) + 1 for t in whole)])  # what joins them is no token
+        starts, ends = bounds(np.frombuffer("\n".join(whole).encode("utf-32-le"), np.uint32))
+        first = np.searchsorted(starts, begins)
+        n = np.diff(first)
+        count = np.where(n == 0, 0, 1 + np.maximum(0, -((maximum - n) // step)))
+        row = np.repeat(np.arange(len(n)), count)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        head, tail = first[row] + k * step, first[row] + np.minimum(k * step + maximum, n[row])
+        return count, starts[head] - begins[row], ends[tail - 1] - begins[row], tail - head
+
+    def windows(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_binary())
+        groups = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy()) // GROUP
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
+        parts = [found(column.slice(a, b - a).to_pylist()) for a, b in zip(cuts, cuts[1:])]
+        count, *fields = (np.concatenate(x).astype(np.int32) for x in zip(*parts))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["start", "end", "tokens"]))
+
+    return windows
 
 
 def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> DataFrame:
@@ -77,18 +88,9 @@ def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> Da
     """
     if maximum < 1 or not 0 <= overlap < maximum:
         raise ValueError("windows need a maximum of 1 or more and an overlap below it")
-
-    def windows(column: pa.Array) -> pa.Array:
-        column = column.cast(pa.large_binary())
-        groups = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy()) // GROUP
-        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
-        found = [windows_of([t or b"" for t in column.slice(a, b - a).to_pylist()], maximum, maximum - overlap) for a, b in zip(cuts, cuts[1:])]
-        count, *fields = (np.concatenate(x).astype(np.int32) for x in zip(*found))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields], ["start", "end", "tokens"]))
-
     # not deterministic: else a filter on the windows would read the texts a second time
-    found = F.arrow_udf(windows, "array<struct<start:int,end:int,tokens:int>>").asNondeterministic()
-    return df.withColumn("windows", found(F.col(text)))
+    windows = F.arrow_udf(window_finder(maximum, maximum - overlap), "array<struct<start:int,end:int,tokens:int>>").asNondeterministic()
+    return df.withColumn("windows", windows(F.col(text)))
 
 
 def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
