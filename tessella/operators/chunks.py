@@ -93,9 +93,18 @@ def with_windows(df: DataFrame, text: str, maximum: int, overlap: int = 0) -> Da
     return df.withColumn("windows", windows(F.col(text)))
 
 
-def source_units(blocks: DataFrame, maximum: int) -> DataFrame:
-    """One row a unit: run_id, unit (ordinal), page, title_path, separator, text, tokens, document_start, document_end."""
-    found = with_windows(blocks, "text", maximum).withColumn("parts", F.size("windows"))
+def source_units(blocks: DataFrame, maximum: int, whole: bool = False) -> DataFrame:
+    """One row a unit: run_id, unit (ordinal), page, title_path, separator, text, tokens, document_start, document_end.
+
+    whole: a block is one unit from its first letter to its last, however many tokens it has; else it is cut into units of the maximum.
+    """
+    if whole:
+        found = with_windows(blocks, "text", 2**31 - 1)
+        one = F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.coalesce(F.get("windows", F.lit(0))["tokens"], F.lit(0)).alias("tokens"))
+        found = found.withColumn("windows", F.array(one))
+    else:
+        found = with_windows(blocks, "text", maximum)
+    found = found.withColumn("parts", F.size("windows"))
     before = Window.partitionBy("run_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     lead = found.withColumn("earlier", F.coalesce(F.sum("parts").over(before), F.lit(0))).withColumn("separator", F.when(F.col("earlier") > 0, "\n\n").otherwise(""))
     cursor = F.coalesce(F.sum(F.length("separator") + F.length("text")).over(before), F.lit(0)) + F.length("separator")
@@ -135,9 +144,12 @@ def grouped_units(units: DataFrame, maximum: int) -> DataFrame:
     return units.repartition("run_id").sortWithinPartitions("run_id", "unit").withColumn("parent", numbers("run_id", "title_path", "tokens"))
 
 
-def parents(blocks: DataFrame, chunking_version: str = "parent-child-v1", maximum: int = 2500) -> DataFrame:
-    """Parent chunks, with the ranges of their units for page spans of children."""
-    units = grouped_units(source_units(blocks, maximum), maximum)
+def parents(blocks: DataFrame, chunking_version: str = "parent-child-v1", maximum: int = 2500, whole: bool = False) -> DataFrame:
+    """Parent chunks, with the ranges of their units for page spans of children.
+
+    whole: no block is cut (see source_units), so that one of more tokens than the maximum is a parent by itself.
+    """
+    units = grouped_units(source_units(blocks, maximum, whole), maximum)
     by = Window.partitionBy("run_id", "parent").orderBy("unit")
     sep = F.when(F.row_number().over(by) == 1, "").otherwise(F.col("separator"))
     units = units.withColumn("sep", sep)
