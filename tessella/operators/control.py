@@ -48,20 +48,24 @@ def fail(jobs: DataFrame, now: Column, retry_seconds: int = 30) -> DataFrame:
     return jobs.withColumn("available_at", F.when(over, F.col("available_at")).otherwise(later)).withColumn("status", F.when(over, "failed").otherwise("queued"))
 
 
-def reserve(requests: DataFrame) -> DataFrame:
+def reserve(requests: DataFrame, ttl_days: int | None = None) -> DataFrame:
     """Outcome of each request (key, hash, at, seq[, done_at]) by its key's record, which its first request makes.
 
     created: it is the first one; conflict: it asks for something else; in_progress: the first one isn't done by then
     (if there is a done_at); replay: it is answered as the first one was. A record that has outlived its time counts until it is
-    cleared away (see expired_records). A key's first request is an aggregate that tasks combine before the shuffle; the join
-    splits hot keys.
+    cleared away (see expired_records); with ttl_days, expired says whether the record of a request that didn't make it had by then.
+    A key's first request is an aggregate that tasks combine before the shuffle; the join splits hot keys.
     """
     known = "done_at" in requests.columns
     head = F.min(F.struct("at", "seq", "hash", *(["done_at"] if known else []))).alias("first")
     out = requests.join(requests.groupBy("key").agg(head), "key")
     pending = (F.col("first.done_at").isNull() | (F.col("first.done_at") > F.col("at"))) if known else F.lit(False)
     outcome = F.when(F.col("seq") == F.col("first.seq"), "created").when(F.col("hash") != F.col("first.hash"), "conflict").when(pending, "in_progress").otherwise("replay")
-    return out.withColumn("outcome", outcome).drop("first")
+    out = out.withColumn("outcome", outcome)
+    if ttl_days is not None:
+        late = F.col("first.at") + F.make_dt_interval(F.lit(ttl_days)) <= F.col("at")
+        out = out.withColumn("expired", (F.col("outcome") != "created") & late)
+    return out.drop("first")
 
 
 def expired_records(records: DataFrame, now: Column, ttl_days: int = 7) -> DataFrame:
